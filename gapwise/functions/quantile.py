@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 ACCURACY = 10_000
-COLLECT_VALUES = 2_000
+COLLECT_VALUES = 5_000
 
 
 @dataclass
@@ -22,8 +22,8 @@ class _Search:
     ranks: tuple[int, int] = (0, 0)
     below: int = 0
     inside: int = 0
-    low: float = 0.0
-    high: float = 0.0
+    low: float = float("-inf")
+    high: float = float("inf")
     guess: tuple[float, float] | None = None
     stalled: bool = False
     median: float | None = None
@@ -41,16 +41,15 @@ def exact_medians(df: DataFrame, columns, collect_values: int = COLLECT_VALUES,
         return {}
     half = F.array(*[F.lit(p) for p in (0.5 - 2 / accuracy, 0.5 + 2 / accuracy)])
     first = df.agg(*[
-        F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"),
-                 F.percentile_approx(c, half, F.lit(accuracy)).alias("guess")).alias(f"s{i}")
-        for i, c in enumerate(columns)]).first()
+        f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (
+            ("n", F.count),
+            ("guess", lambda c: F.percentile_approx(c, half, F.lit(accuracy))))]).first()
     searches = []
-    for found, c in zip(first, columns):
-        s = _Search(c)
-        if found["n"]:
-            s.ranks = ((found["n"] - 1) // 2, found["n"] // 2)
-            s.inside, s.low, s.high = found["n"], found["low"], found["high"]
-            s.guess = tuple(found["guess"])
+    for i, c in enumerate(columns):
+        s, n = _Search(c), first[f"n{i}"]
+        if n:
+            s.ranks = ((n - 1) // 2, n // 2)
+            s.inside, s.guess = n, tuple(first[f"guess{i}"])
         searches.append(s)
     pending = [s for s in searches if s.inside]
     while pending:
@@ -86,17 +85,17 @@ def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
         ranges = {"under": (c >= F.lit(s.low)) & (c < F.lit(low)),
                   "within": s.bracket(low, high),
                   "over": (c > F.lit(high)) & (c <= F.lit(s.high))}
-        return F.struct(*[
-            f.alias(f"{name}_{kind}") for name, inside in ranges.items()
+        return [
+            f.alias(f"{name}_{kind}{i}") for name, inside in ranges.items()
             for kind, f in (("n", F.count_if(inside)), ("min", F.min(F.when(inside, c))),
-                            ("max", F.max(F.when(inside, c))))]).alias(f"m{i}")
+                            ("max", F.max(F.when(inside, c))))]
 
-    row = df.agg(*[measures(s, i) for i, s in enumerate(searches)]).first()
-    for m, s in zip(row, searches):
+    row = df.agg(*[m for i, s in enumerate(searches) for m in measures(s, i)]).first()
+    for i, s in enumerate(searches):
         parts, at = [], s.below
         for name in ("under", "within", "over"):
-            parts.append((at, m[f"{name}_n"], m[f"{name}_min"], m[f"{name}_max"]))
-            at += m[f"{name}_n"]
+            parts.append((at, *[row[f"{name}_{kind}{i}"] for kind in ("n", "min", "max")]))
+            at += parts[-1][1]
         held = [p for p in parts if p[1] and p[0] <= s.ranks[1] and p[0] + p[1] > s.ranks[0]]
         if len(held) == 2:
             s.median = (held[0][3] + held[1][2]) / 2

@@ -28,6 +28,7 @@ FOREST_SETTINGS = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
 BOOSTED_SETTINGS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05,
                     "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 PATIENCE = 20
+RIDGE = 1e-8
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,12 @@ def training_vectors(df: DataFrame, features, medians: Mapping[str, float], labe
 
 
 def fit_linear(train: DataFrame) -> Model:
-    """Ordinary least squares."""
-    return LinearRegression(labelCol=LABEL, regParam=0.0, solver="normal").fit(train)
+    """Ordinary least squares.
+
+    Constant or collinear features make the normal equations singular; the ridge is
+    just large enough to pick the least-norm solution among the equally good ones.
+    """
+    return LinearRegression(labelCol=LABEL, regParam=RIDGE, solver="normal").fit(train)
 
 
 def fit_forest(train: DataFrame, seed: int = SEED, **settings) -> Model:

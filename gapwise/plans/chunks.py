@@ -5,13 +5,12 @@ All frames of this library reach a fixed number of rows back and ahead, so a lon
 series can be cut into chunks if each chunk also receives copies of the rows just
 before and after it. ``over_series`` does that, exactly and only where needed:
 
-1. Rows are counted per (entity, time slot): a two-column scan with map-side
-   aggregation, whose result is as small as the calendar.
-2. If no entity has more than ``chunk_rows`` rows, windows run per entity: one
-   shuffle, nothing copied.
-3. Otherwise running counts over the slots of the long entities give every slot
-   its row positions, hence its chunk and the chunks that need copies of it. The
-   rows of other entities get the constant chunk 0.
+1. Rows are counted per entity, a one-column scan with map-side aggregation. If no
+   entity has more than ``chunk_rows`` rows, windows run per entity: one shuffle,
+   nothing copied.
+2. Otherwise the rows of the long entities are counted per time slot. Running counts
+   over the slots give every slot its row positions, hence its chunk and the chunks
+   that need copies of it. The rows of other entities get the constant chunk 0.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ def over_series(df: DataFrame, spec: PanelSpec, fn: SeriesFn, history: int,
     order by ``spec.time``, with frames of at most ``history`` rows back and
     ``lookahead`` rows ahead.
 
-    Runs one aggregate over (entity, time) when called, to size the chunks.
+    Runs the count per entity when called.
     """
     places = _chunk_places(df, spec, history, lookahead, chunk_rows)
     if places is None:
@@ -63,26 +62,21 @@ def _chunk_places(df: DataFrame, spec: PanelSpec, history: int, lookahead: int,
     more than ``chunk_rows`` rows, or None if there are none."""
     if chunk_rows <= history + lookahead:
         raise ValueError("chunk_rows must exceed the rows a frame can reach")
-    long_entities = None
+    sizes = (df.filter(F.col(spec.entity).isNotNull())
+             .groupBy(spec.entity).agg(F.count("*").alias("n")))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= chunk_rows:
+        return None
+    long_entities = sizes.filter(F.col("n") > chunk_rows).select(spec.entity)
     for micros in _slot_widths(spec.step_seconds):
         slot = F.floor(epoch_micros(df, spec.time) / F.lit(micros)).cast("long")
-        rows = df.select(spec.entity, slot.alias(_SLOT)).filter(
-            F.col(spec.entity).isNotNull() & F.col(_SLOT).isNotNull())
-        if long_entities is not None:
-            rows = rows.join(long_entities, spec.entity, "left_semi")
-        counts = rows.groupBy(spec.entity, _SLOT).agg(F.count("*").alias("n"))
-        per_entity = counts.groupBy(spec.entity).agg(
-            F.sum("n").alias("rows"), F.count("*").alias("slots"), F.max("n").alias("fullest"))
-        hot = per_entity.filter(F.col("rows") > chunk_rows)
-        found = hot.agg(F.count("*").alias("entities"), F.sum("slots").alias("slots"),
-                        F.max("fullest").alias("fullest")).first()
-        if found["entities"] == 0:
-            return None
-        long_entities = hot.select(spec.entity)
+        counts = (
+            df.select(spec.entity, slot.alias(_SLOT)).filter(F.col(_SLOT).isNotNull())
+            .join(long_entities, spec.entity, "left_semi")
+            .groupBy(spec.entity, _SLOT).agg(F.count("*").alias("n")))
+        found = counts.agg(F.count("*").alias("slots"), F.max("n").alias("fullest")).first()
         if found["fullest"] <= max(1, chunk_rows // 4):
             break
-    table = _place_slots(counts.join(long_entities, spec.entity, "left_semi"),
-                         spec, history, lookahead, chunk_rows)
+    table = _place_slots(counts, spec, history, lookahead, chunk_rows)
     if found["slots"] <= BROADCAST_ROWS:
         table = F.broadcast(table)
     return slot, table

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gapwise.functions.coerce import parse_time
 from gapwise.operators.coverage import deep_coverage, recommend_subset
 from gapwise.operators.impute import fit_medians
-from gapwise.operators.series import forward_fill
+from gapwise.operators.series import add_target, forward_fill
 from gapwise.operators.split import feature_columns, usable_rows, with_split
 from gapwise.plans.build import feature_table
 from gapwise.plans.chunks import over_series
@@ -25,7 +25,7 @@ USERS_PER_STATION = 30
 
 # Thresholds for 30 days of data.
 TRAIN_END, VALID_END = "2024-01-19", "2024-01-25"
-GATES = {"min_coverage": 0.60, "min_span_days": 28, "min_records": 500}
+GATES = {"min_coverage": 0.82, "min_span_days": 28, "min_records": 500}
 DEEP_GATES = {"max_missing": 60.0, "min_continuity": 85.0, "size": 3}
 LONG_HISTORY = 60
 
@@ -111,9 +111,18 @@ def features(spark, sf_dir, only=None) -> DataFrame:
     return feature_table(panel, SPEC, fill=True)
 
 
+def labelled(spark, sf_dir) -> DataFrame:
+    """Filled readings with the target: all that coverage needs of the features."""
+    def fill_then_target(df, by):
+        return add_target(forward_fill(df, SPEC, by=by), SPEC, by=by)
+
+    return over_series(readings(spark, sf_dir), SPEC, fill_then_target,
+                       history=SPEC.fill_limit, lookahead=SPEC.horizon)
+
+
 def recommended_ids(spark, sf_dir) -> list[int]:
     """The chosen stations: at most as many as the subset may hold."""
-    report = deep_coverage(features(spark, sf_dir), SPEC)
+    report = deep_coverage(labelled(spark, sf_dir), SPEC)
     return [r["station_id"] for r in recommend_subset(report, SPEC, **DEEP_GATES).collect()]
 
 

@@ -22,7 +22,7 @@ from gapwise.plans import train as training
 from gapwise.plans.chunks import over_series
 from gapwise.queries.adapters import (
     DEEP_GATES, GATES, LONG_HISTORY, RAW_NAMES, SPEC, TRAIN_END, USER_SPEC, VALID_END,
-    features, filled, fitted_medians, modeling_rows, parsed_snapshot, raw_rows, readings,
+    features, filled, fitted_medians, labelled, modeling_rows, parsed_snapshot, raw_rows, readings,
     recommended_ids, rounded, snapshot_long, stations, table, user_readings)
 from gapwise.session import shared_dir
 from gapwise.sources.bundle import load_bundle, save_bundle
@@ -236,7 +236,7 @@ def select_stations(spark, sf_dir):
 
 
 def _deep(spark, sf_dir) -> DataFrame:
-    return coverage.deep_coverage(features(spark, sf_dir), SPEC)
+    return coverage.deep_coverage(labelled(spark, sf_dir), SPEC)
 
 
 @query
@@ -299,11 +299,7 @@ def rolling_features(spark, sf_dir):
 
 @query
 def target_ahead(spark, sf_dir):
-    def fill_then_target(df, by):
-        return series.add_target(series.forward_fill(df, SPEC, by=by), SPEC, by=by)
-
-    return _over(spark, sf_dir, fill_then_target, SPEC.fill_limit, SPEC.horizon).select(
-        *KEYS, "pm2_5", SPEC.target, SPEC.target_valid)
+    return labelled(spark, sf_dir).select(*KEYS, "pm2_5", SPEC.target, SPEC.target_valid)
 
 
 @query
@@ -335,13 +331,13 @@ def stations_list(spark, sf_dir):
 
 @query
 def usable_rows(spark, sf_dir):
-    return split.usable_rows(features(spark, sf_dir), SPEC).select(*KEYS, "pm2_5", SPEC.target)
+    return split.usable_rows(labelled(spark, sf_dir), SPEC).select(*KEYS, "pm2_5", SPEC.target)
 
 
 @query
 def modeling_set(spark, sf_dir):
     chosen = recommend_subset(spark, sf_dir)
-    return split.modeling_set(features(spark, sf_dir), chosen, SPEC).select(
+    return split.modeling_set(labelled(spark, sf_dir), chosen, SPEC).select(
         *KEYS, "pm2_5", SPEC.target)
 
 
