@@ -23,7 +23,7 @@ def newest_features(clean: DataFrame, spec: PanelSpec,
     """
     tail = newest_rows(clean, spec, max(min_rows, spec.feature_history + 1), rank=_RANK)
     whole = Window.partitionBy(spec.entity)
-    features = add_rolling_means(add_lags(tail, spec), spec)
+    features = add_lags(add_rolling_means(tail, spec), spec)
     features = features.withColumn(_ROWS, F.count("*").over(whole))
     newest = features.filter((F.col(_RANK) == 1) & (F.col(_ROWS) >= min_rows))
     return add_cyclic_features(add_time_features(newest.drop(_RANK, _ROWS), spec.time), spec.time)

@@ -11,6 +11,8 @@ shuffle and sort; ``by`` defaults to the entity.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapwise.functions.coerce import epoch_micros
@@ -27,10 +29,6 @@ def _series(spec: PanelSpec, by):
     return Window.partitionBy(*(by or [spec.entity])).orderBy(spec.time)
 
 
-def _last_known(column: str, w, limit: int) -> Column:
-    return F.last(column, ignorenulls=True).over(w.rowsBetween(-limit, 0))
-
-
 def forward_fill(df: DataFrame, spec: PanelSpec, columns=None, limit: int | None = None,
                  whole_gap_only: bool = False, by=None) -> DataFrame:
     """Carry the last value into at most ``limit`` rows after it and mark them.
@@ -41,14 +39,20 @@ def forward_fill(df: DataFrame, spec: PanelSpec, columns=None, limit: int | None
     """
     limit = spec.fill_limit if limit is None else limit
     w = _series(spec, by)
+    present = spec.present(df.columns, columns or spec.values)
+    known = {"__known_" + c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0))
+             for c in present}
+    if whole_gap_only:
+        known |= {"__fits_" + c: _gap_fits(c, w, limit) for c in present}
+    ready = df.withColumns(known)
     out = {}
-    for c in spec.present(df.columns, columns or spec.values):
-        filled = _last_known(c, w, limit)
+    for c in present:
+        filled = F.col("__known_" + c)
         if whole_gap_only:
-            filled = F.when(F.col(c).isNotNull() | _gap_fits(c, w, limit), filled)
+            filled = F.when(F.col(c).isNotNull() | F.col("__fits_" + c), filled)
         out[c] = filled
         out[c + FILLED_SUFFIX] = F.col(c).isNull() & filled.isNotNull()
-    return df.withColumns(out)
+    return ready.withColumns(out).drop(*known)
 
 
 def _gap_fits(column: str, w, limit: int) -> Column:
@@ -80,15 +84,33 @@ def add_lags(df: DataFrame, spec: PanelSpec, columns=None, lags=None, by=None) -
 def add_rolling_means(df: DataFrame, spec: PanelSpec, columns=None, windows=None,
                       by=None) -> DataFrame:
     """Mean of the ``n`` rows before the current one, null unless at least half of
-    them (and at least one) have a value."""
+    them (and at least one) have a value.
+
+    Sum and count of a short block of rows are computed once per row; a window is a
+    chain of earlier blocks. That costs a few look-ups per row, where a sliding frame
+    would add up all ``n`` rows again.
+    """
     w = _series(spec, by)
-    out = {}
-    for c in spec.present(df.columns, columns or spec.lagged):
-        for n in windows or spec.windows:
-            frame = w.rowsBetween(-n, -1)
-            enough = F.count(c).over(frame) >= max(1, n // 2)
-            out[f"{c}_roll_mean_{n}h"] = F.when(enough, F.avg(c).over(frame))
-    return df.withColumns(out)
+    windows = sorted(windows or spec.windows)
+    present = spec.present(df.columns, columns or spec.lagged)
+    block = math.gcd(*windows)
+    frame = w.rowsBetween(-block, -1)
+    parts = {}
+    for c in present:
+        parts[f"__sum_{c}"] = F.coalesce(F.sum(c).over(frame), F.lit(0.0))
+        parts[f"__n_{c}"] = F.count(c).over(frame).cast("int")
+    earlier = {f"{p}_{back}": F.lag(p, back, 0.0 if p.startswith("__sum_") else 0).over(w)
+               for p in parts for back in range(block, windows[-1], block)}
+    means = {}
+    for c in present:
+        total, n, reach = F.col(f"__sum_{c}"), F.col(f"__n_{c}"), block
+        for size in windows:
+            while reach < size:
+                total = total + F.col(f"__sum_{c}_{reach}")
+                n = n + F.col(f"__n_{c}_{reach}")
+                reach += block
+            means[f"{c}_roll_mean_{size}h"] = F.when(n >= max(1, size // 2), total / n)
+    return df.withColumns(parts).withColumns(earlier).withColumns(means).drop(*parts, *earlier)
 
 
 def add_target(df: DataFrame, spec: PanelSpec, by=None) -> DataFrame:
@@ -99,13 +121,14 @@ def add_target(df: DataFrame, spec: PanelSpec, by=None) -> DataFrame:
     """
     w = _series(spec, by)
     h, step = spec.horizon, spec.step_seconds * 1_000_000
-    now = epoch_micros(df, spec.time)
-    off = F.abs(F.lead(now, h).over(w) - now - F.lit(h * step))
-    valid = F.coalesce(off <= F.lit(int((1e-8 + 1e-5 * h) * step)), F.lit(False))
-    return df.withColumns({
-        spec.target_valid: valid,
-        spec.target: F.when(valid, F.lead(spec.target_of, h).over(w)),
-    })
+    ready = df.withColumns({"__then": F.lead(spec.time, h).over(w),
+                            "__value": F.lead(spec.target_of, h).over(w)})
+    ahead = epoch_micros(ready, "__then") - epoch_micros(ready, spec.time)
+    close = F.abs(ahead - F.lit(h * step)) <= F.lit(int((1e-8 + 1e-5 * h) * step))
+    valid = F.coalesce(close, F.lit(False))
+    return ready.withColumns({
+        spec.target_valid: valid, spec.target: F.when(valid, F.col("__value")),
+    }).drop("__then", "__value")
 
 
 def newest_rows(df: DataFrame, spec: PanelSpec, rows: int, rank: str | None = None) -> DataFrame:

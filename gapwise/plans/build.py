@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.functions.calendar import add_cyclic_features, add_time_features
+from gapwise.functions.calendar import (
+    CYCLIC_FEATURES, TIME_FEATURES, add_cyclic_features, add_time_features)
 from gapwise.functions.coerce import coerce_numeric, parse_time, parse_time_or_drop
 from gapwise.functions.flags import add_geo_flag, add_impossible_flag, add_negative_flag
 from gapwise.functions.names import snake_columns
@@ -59,18 +60,33 @@ def feature_table(clean: DataFrame, spec: PanelSpec, selected: DataFrame | None
     means and the checked target.
 
     All window columns share one shuffle and one sort. ``fill`` fills short gaps on
-    the way, for a panel that was not cleaned yet.
+    the way, for a panel that was not cleaned yet. Rolling means come first because
+    their helper columns are dropped before the row grows wide.
     """
     panel = clean if selected is None else keep_selected(clean, selected, spec.entity)
 
     def windows(df, by):
         if fill:
             df = forward_fill(df, spec, by=by)
-        df = add_lags(df, spec, by=by)
         df = add_rolling_means(df, spec, by=by)
-        return add_target(df, spec, by=by)
+        return add_lags(add_target(df, spec, by=by), spec, by=by)
 
     reach = spec.feature_history + (spec.fill_limit if fill else 0)
     table = over_series(panel, spec, windows, history=reach, lookahead=spec.horizon,
                         chunk_rows=chunk_rows)
-    return add_cyclic_features(add_time_features(table, spec.time), spec.time)
+    table = add_cyclic_features(add_time_features(table, spec.time), spec.time)
+    return table.select(*_in_order(table.columns, spec))
+
+
+def _in_order(columns, spec: PanelSpec) -> list[str]:
+    """Panel columns, calendar, lags, rolling means, target."""
+    def place(name: str) -> int:
+        if name in (spec.target, spec.target_valid):
+            return 4
+        if "_roll_mean_" in name:
+            return 3
+        if "_lag_" in name:
+            return 2
+        return 1 if name in (*TIME_FEATURES, *CYCLIC_FEATURES) else 0
+
+    return sorted(columns, key=place)
