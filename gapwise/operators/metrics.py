@@ -56,11 +56,11 @@ def add_residual(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts in equal bins between the smallest and the largest value, the largest
     included in the last bin. Bins without values give no row."""
-    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
     value = F.col(column)
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
     placed = df.filter(value.isNotNull()).select(
-        value.alias("v"), low.alias("low"), ((high - low) / F.lit(bins)).alias("width"))
+        value.alias("v"), ends["low"].alias("low"),
+        ((ends["high"] - ends["low"]) / F.lit(bins)).alias("width"))
     number = F.when(F.col("width") == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1)))
     return (

@@ -6,8 +6,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapwise.functions.coerce import to_number
@@ -76,9 +77,17 @@ def training_vectors(df: DataFrame, features, medians: Mapping[str, float], labe
 def fit_linear(train: DataFrame) -> Model:
     """Ordinary least squares.
 
-    Constant or collinear features make the normal equations singular; the ridge is
-    just large enough to pick the least-norm solution among the equally good ones.
+    Collinear features make the normal equations singular; the ridge is just large
+    enough to pick the least-norm solution among the equally good ones. Features that
+    are constant in training are set to 0 and get the weight 0: scaled by a spread
+    that is only rounding error they would spoil the rest.
     """
+    ends = train.select(Summarizer.metrics("min", "max").summary(F.col(VECTOR)).alias("s")).first()[0]
+    varies = [float(high > low) for low, high in zip(ends["min"], ends["max"])]
+    if not all(varies):
+        kept = F.zip_with(vector_to_array(VECTOR), F.array(*[F.lit(v) for v in varies]),
+                          lambda x, v: x * v)
+        train = train.withColumn(VECTOR, array_to_vector(kept))
     return LinearRegression(labelCol=LABEL, regParam=RIDGE, solver="normal").fit(train)
 
 

@@ -20,15 +20,15 @@ from gapwise.spec import SNAPSHOT_POLLUTANTS, SNAPSHOT_TIME_FORMAT, PanelSpec
 
 def clean_panel(readings: DataFrame, stations: DataFrame, spec: PanelSpec,
                 fill: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Raw readings and stations to the cleaned panel: names, exact duplicates,
-    times, first row of each key, numbers, negative flag, station columns, fill.
+    """Raw readings and stations to the cleaned panel: names, times, duplicates,
+    numbers, negative flag, station columns, fill.
 
     Rows with a null entity or time belong to no series and are left out;
     ``audit.stage_counts`` counts them. Of several rows with one key the first by its
-    values stays.
+    values stays, which removes exact duplicates in the same shuffle.
     """
-    panel = drop_exact_duplicates(snake_columns(readings))
-    panel, _ = split_null_entities(parse_time_or_drop(panel, spec.time), spec)
+    raw = snake_columns(readings)
+    panel, _ = split_null_entities(parse_time_or_drop(raw, spec.time), spec)
     rest = [c for c in panel.columns if c not in spec.keys]
     panel = keep_first(panel, spec.keys, [F.col(c).asc_nulls_last() for c in rest])
     panel = add_negative_flag(coerce_numeric(panel, spec.values),
@@ -37,7 +37,7 @@ def clean_panel(readings: DataFrame, stations: DataFrame, spec: PanelSpec,
     if not fill:
         return panel
     return over_series(panel, spec, lambda d, by: forward_fill(d, spec, by=by),
-                       history=spec.fill_limit, chunk_rows=chunk_rows)
+                       history=spec.fill_limit, chunk_rows=chunk_rows, bound=raw)
 
 
 def clean_snapshot(snapshot: DataFrame, pollutants=SNAPSHOT_POLLUTANTS,

@@ -32,14 +32,19 @@ SeriesFn = Callable[[DataFrame, list[str]], DataFrame]
 
 
 def over_series(df: DataFrame, spec: PanelSpec, fn: SeriesFn, history: int,
-                lookahead: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                lookahead: int = 0, chunk_rows: int = CHUNK_ROWS,
+                bound: DataFrame | None = None) -> DataFrame:
     """Apply ``fn(df, by)``, whose windows partition by the columns ``by`` and
     order by ``spec.time``, with frames of at most ``history`` rows back and
     ``lookahead`` rows ahead.
 
-    Runs the count per entity when called.
+    Runs the count per entity when called. ``bound`` may name a cheaper table that
+    has at least as many rows per entity, such as the raw table behind ``df``; ``df``
+    is counted only if that one holds a long entity.
     """
-    places = _chunk_places(df, spec, history, lookahead, chunk_rows)
+    places = None
+    if bound is None or _longest(bound, spec) > chunk_rows:
+        places = _chunk_places(df, spec, history, lookahead, chunk_rows)
     if places is None:
         return fn(df, [spec.entity])
     slot, table = places
@@ -62,11 +67,9 @@ def _chunk_places(df: DataFrame, spec: PanelSpec, history: int, lookahead: int,
     more than ``chunk_rows`` rows, or None if there are none."""
     if chunk_rows <= history + lookahead:
         raise ValueError("chunk_rows must exceed the rows a frame can reach")
-    sizes = (df.filter(F.col(spec.entity).isNotNull())
-             .groupBy(spec.entity).agg(F.count("*").alias("n")))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= chunk_rows:
+    if _longest(df, spec) <= chunk_rows:
         return None
-    long_entities = sizes.filter(F.col("n") > chunk_rows).select(spec.entity)
+    long_entities = _sizes(df, spec).filter(F.col("n") > chunk_rows).select(spec.entity)
     for micros in _slot_widths(spec.step_seconds):
         slot = F.floor(epoch_micros(df, spec.time) / F.lit(micros)).cast("long")
         counts = (
@@ -82,6 +85,15 @@ def _chunk_places(df: DataFrame, spec: PanelSpec, history: int, lookahead: int,
     return slot, table
 
 
+def _sizes(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    known = df.filter(F.col(spec.entity).isNotNull())
+    return known.groupBy(spec.entity).agg(F.count("*").alias("n"))
+
+
+def _longest(df: DataFrame, spec: PanelSpec) -> int:
+    return _sizes(df, spec).agg(F.max("n")).first()[0] or 0
+
+
 def _slot_widths(step_seconds: int) -> list[int]:
     """Slot widths in microseconds, from a day of steps down to one microsecond;
     narrower slots are tried while a slot alone could overfill a chunk."""

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A broadcast side may have at most this many (narrow) rows.
+# A broadcast side may have at most this many rows and bytes of text form.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if a count proves it small.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                       max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if counting its rows and bytes proves it small.
 
     A larger side is returned as it is: the join then shuffles, and adaptive
     execution splits the skewed partitions.
     """
-    rows = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).first()
+    small = found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
+    return F.broadcast(df) if small else df

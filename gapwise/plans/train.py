@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.operators import attribution, metrics
@@ -96,7 +97,6 @@ def _scored(forecaster: Forecaster, vectors: DataFrame) -> DataFrame:
     """Predictions for rows that are imputed and assembled already."""
     if forecaster.model is None:
         at = forecaster.features.index(forecaster.current)
-        from pyspark.ml.functions import vector_to_array
         return vectors.withColumn(PREDICTION, vector_to_array(VECTOR)[at])
     return forecaster.model.transform(vectors)
 
@@ -131,7 +131,8 @@ def explain(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec, means=None
             sample_rows: int = ATTRIBUTION_SAMPLE_ROWS) -> dict[str, DataFrame]:
     """Attribution of a seeded sample: importance of all features, and the example
     with the largest prediction in detail."""
-    sample = seeded_sample(rows, spec.keys, sample_rows)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    sample = seeded_sample(rows, spec.keys, sample_rows).repartition(tasks, *spec.keys)
     shares = attribution.attribute(sample, forecaster, means)
     shares = shares.select(*spec.keys, spec.target, PREDICTION, "base", "phi", "x").persist(
         StorageLevel.MEMORY_AND_DISK)

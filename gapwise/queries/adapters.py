@@ -111,12 +111,16 @@ def features(spark, sf_dir, only=None) -> DataFrame:
     return feature_table(panel, SPEC, fill=True)
 
 
-def labelled(spark, sf_dir) -> DataFrame:
+def labelled(spark, sf_dir, only=None) -> DataFrame:
     """Filled readings with the target: all that coverage needs of the features."""
+    panel = readings(spark, sf_dir)
+    if only is not None:
+        panel = panel.filter(F.col("station_id").isin(only))
+
     def fill_then_target(df, by):
         return add_target(forward_fill(df, SPEC, by=by), SPEC, by=by)
 
-    return over_series(readings(spark, sf_dir), SPEC, fill_then_target,
+    return over_series(panel, SPEC, fill_then_target,
                        history=SPEC.fill_limit, lookahead=SPEC.horizon)
 
 
@@ -126,10 +130,16 @@ def recommended_ids(spark, sf_dir) -> list[int]:
     return [r["station_id"] for r in recommend_subset(report, SPEC, **DEEP_GATES).collect()]
 
 
-def modeling_rows(spark, sf_dir) -> DataFrame:
-    """Usable rows of the chosen stations with their split, kept for several passes."""
-    rows = usable_rows(features(spark, sf_dir, recommended_ids(spark, sf_dir)), SPEC)
-    return with_split(rows, SPEC, TRAIN_END, VALID_END).persist()
+def modeling_rows(spark, sf_dir, columns=None) -> DataFrame:
+    """Usable rows of the chosen stations with their split, kept for several passes.
+    With ``columns`` only those and what they need are computed."""
+    ids = recommended_ids(spark, sf_dir)
+    plain = columns is not None and set(columns) <= set(SPEC.values)
+    table_of = labelled if plain else features
+    rows = with_split(usable_rows(table_of(spark, sf_dir, ids), SPEC), SPEC, TRAIN_END, VALID_END)
+    if columns is not None:
+        rows = rows.select(*SPEC.keys, "split", SPEC.target, *columns)
+    return rows.persist()
 
 
 def fitted_medians(rows: DataFrame, columns=None) -> dict[str, float]:

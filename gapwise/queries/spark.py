@@ -349,7 +349,7 @@ def chrono_split(spark, sf_dir):
 
 @query
 def split_summary(spark, sf_dir):
-    return split.split_summary(modeling_rows(spark, sf_dir), SPEC)
+    return split.split_summary(modeling_rows(spark, sf_dir, ["pm2_5"]), SPEC)
 
 
 @query
@@ -359,7 +359,7 @@ def median_fit(spark, sf_dir):
 
 @query
 def median_impute(spark, sf_dir):
-    rows = modeling_rows(spark, sf_dir)
+    rows = modeling_rows(spark, sf_dir, SPEC.values)
     ready = impute(rows, fitted_medians(rows, SPEC.values))
     return rounded(ready.select(*KEYS, "split", *SPEC.values))
 
@@ -379,13 +379,13 @@ def _persistence(rows: DataFrame, part: str) -> DataFrame:
 
 
 def _test_pairs(spark, sf_dir) -> DataFrame:
-    return _persistence(modeling_rows(spark, sf_dir), "test")
+    return _persistence(modeling_rows(spark, sf_dir, ["pm2_5"]), "test")
 
 
 @query
 def persistence_metrics(spark, sf_dir):
     return rounded(metrics.regression_metrics(
-        _persistence(modeling_rows(spark, sf_dir), "valid"), "actual", "predicted"))
+        _persistence(modeling_rows(spark, sf_dir, ["pm2_5"]), "valid"), "actual", "predicted"))
 
 
 @query
@@ -422,7 +422,7 @@ def _line(rows: DataFrame, feature: str, medians) -> tuple[float, float]:
 
 @query
 def ols_slope(spark, sf_dir):
-    rows = modeling_rows(spark, sf_dir)
+    rows = modeling_rows(spark, sf_dir, ["pm2_5"])
     ready = impute(rows.filter(F.col("split") == "train"), fitted_medians(rows, ["pm2_5"]))
     return rounded(ready.agg(
         F.regr_slope(SPEC.target, "pm2_5").alias("slope"),
@@ -432,8 +432,9 @@ def ols_slope(spark, sf_dir):
 
 @query
 def select_model(spark, sf_dir):
-    rows = modeling_rows(spark, sf_dir)
-    medians = fitted_medians(rows, ["pm2_5", "pm2_5_roll_mean_3h"])
+    used = ["pm2_5", "pm2_5_roll_mean_3h"]
+    rows = modeling_rows(spark, sf_dir, used)
+    medians = fitted_medians(rows, used)
     slope, intercept = _line(rows, "pm2_5", medians)
     valid = impute(rows, medians).filter(F.col("split") == "valid")
     candidates = {
@@ -452,15 +453,14 @@ def select_model(spark, sf_dir):
 
 @query
 def score_latest(spark, sf_dir):
-    rows = modeling_rows(spark, sf_dir)
-    medians = fitted_medians(rows, ["pm2_5"])
+    medians = fitted_medians(modeling_rows(spark, sf_dir, ["pm2_5"]), ["pm2_5"])
     model = Forecaster(PERSISTENCE, ("pm2_5",), medians)
     panel = joins.enrich(filled(spark, sf_dir), stations(spark, sf_dir), "station_id")
     return rounded(score_newest(panel, model, SPEC))
 
 
 def _line_attribution(spark, sf_dir) -> DataFrame:
-    rows = modeling_rows(spark, sf_dir)
+    rows = modeling_rows(spark, sf_dir, EXPLAINED)
     medians = fitted_medians(rows, EXPLAINED)
     ready = impute(rows, medians)
     weights = [_line(rows, f, medians)[0] for f in EXPLAINED]
