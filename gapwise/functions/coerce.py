@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gapwise.functions.names import named
+
 # Fixed value: text that counts as a number.
 NUMBER_PATTERN = (
     r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
@@ -12,12 +14,12 @@ EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def nan_to_null(column: str) -> Column:
-    return F.when(~F.isnan(column), F.col(column))
+    return F.when(~F.isnan(named(column)), named(column))
 
 
 def to_number(column: str, data_type: T.DataType) -> Column:
     """The column as a double; unreadable text and NaN become null."""
-    c = F.col(column)
+    c = named(column)
     if isinstance(data_type, T.StringType):
         return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
@@ -35,7 +37,7 @@ def coerce_numeric(df: DataFrame, columns) -> DataFrame:
 
 def to_time(column: str, data_type: T.DataType, pattern: str | None = None) -> Column:
     """The column as a timestamp without zone; unreadable text becomes null."""
-    c = F.col(column)
+    c = named(column)
     if isinstance(data_type, T.StringType):
         if pattern is None:
             return F.trim(c).try_cast("timestamp_ntz")
@@ -54,7 +56,7 @@ def parse_time(df: DataFrame, column: str, pattern: str | None = None,
 def parse_time_or_drop(df: DataFrame, column: str, pattern: str | None = None) -> DataFrame:
     """Parse ``column`` and drop the rows that do not parse; they cannot be placed
     in a series. ``audit.time_range`` counts them."""
-    return parse_time(df, column, pattern).filter(F.col(column).isNotNull())
+    return parse_time(df, column, pattern).filter(named(column).isNotNull())
 
 
 def epoch_micros(df: DataFrame, column: str) -> Column:

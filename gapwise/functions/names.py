@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Where a camel-case boundary lies and what counts as a separator.
 _CAMEL_BOUNDARY = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SEPARATORS = re.compile(r"[^a-z0-9]+")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col(f"`{column}`")
+
+
 def snake_name(name: str, split_camel: bool = True) -> str:
     """``PM2.5`` -> ``pm2_5``; ``StationId`` -> ``station_id``, or ``stationid``
     without the camel split."""

@@ -3,9 +3,13 @@ on its side afterwards."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.functions.coerce import coerce_numeric, to_time
+from gapwise.functions.names import named
+from gapwise.operators.dedup import exact_duplicate_count, rows_in_duplicated_keys
 from gapwise.spec import FILLED_SUFFIX, PanelSpec
 
 
@@ -27,7 +31,7 @@ def missing_values(df: DataFrame) -> DataFrame:
         df, df.columns, "column",
         dtype=lambda c: F.any_value(F.lit(types[c])),
         n_rows=lambda c: F.count(F.lit(1)),
-        n_missing=lambda c: F.count_if(F.col(f"`{c}`").isNull()),
+        n_missing=lambda c: F.count_if(named(c).isNull()),
     )
 
 
@@ -39,7 +43,7 @@ def table_shape(df: DataFrame, name: str) -> DataFrame:
 def distinct_counts(df: DataFrame, columns) -> DataFrame:
     """Distinct values of every column, nulls left out."""
     return _per_column(df, columns, "column",
-                       n_distinct=lambda c: F.count_distinct(F.col(f"`{c}`")))
+                       n_distinct=lambda c: F.count_distinct(named(c)))
 
 
 def time_range(df: DataFrame, column: str, pattern: str | None = None) -> DataFrame:
@@ -53,20 +57,51 @@ def numeric_ranges(df: DataFrame, columns) -> DataFrame:
     """Per column: min, max, mean, nulls and their share in percent."""
     columns = [c for c in columns if c in df.columns]
     return _per_column(
-        coerce_numeric(df.select(*[f"`{c}`" for c in columns]), columns), columns, "column",
-        min=lambda c: F.min(f"`{c}`"), max=lambda c: F.max(f"`{c}`"),
-        mean=lambda c: F.avg(f"`{c}`"),
-        n_missing=lambda c: F.count_if(F.col(f"`{c}`").isNull()),
+        coerce_numeric(df.select(*map(named, columns)), columns), columns, "column",
+        min=lambda c: F.min(named(c)), max=lambda c: F.max(named(c)),
+        mean=lambda c: F.avg(named(c)),
+        n_missing=lambda c: F.count_if(named(c).isNull()),
         missing_pct=lambda c: F.round(
-            F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100, 2),
+            F.avg(named(c).isNull().cast("double")) * 100, 2),
     )
 
 
 def negative_counts(df: DataFrame, columns) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     return _per_column(
-        coerce_numeric(df.select(*[f"`{c}`" for c in columns]), columns), columns, "column",
-        n_negative=lambda c: F.count_if(F.col(f"`{c}`") < 0))
+        coerce_numeric(df.select(*map(named, columns)), columns), columns, "column",
+        n_negative=lambda c: F.count_if(named(c) < 0))
+
+
+def table_report(df: DataFrame, name: str, distinct=(), time: str | None = None,
+                 pattern: str | None = None, values=(), keys=()) -> DataFrame:
+    """The whole audit of one table as rows (table, column, measure, value), the value
+    as text. Columns that are absent are skipped."""
+    def there(columns):
+        return [c for c in columns if c in df.columns]
+
+    parts = [table_shape(df, name).drop("table"), missing_values(df),
+             exact_duplicate_count(df).select("duplicate_rows")]
+    if there(distinct):
+        parts.append(distinct_counts(df, there(distinct)))
+    if time in df.columns:
+        parts.append(time_range(df, time, pattern).withColumn("column", F.lit(time)))
+    if keys and there(keys) == list(keys):
+        parts.append(rows_in_duplicated_keys(df, keys))
+    if there(values):
+        parts += [numeric_ranges(df, values), negative_counts(df, values)]
+    long = [_in_rows(p, name) for p in parts]
+    return reduce(DataFrame.unionByName, long)
+
+
+def _in_rows(report: DataFrame, name: str) -> DataFrame:
+    """One row per measure of a small report."""
+    column = F.col("column") if "column" in report.columns else F.lit(None).cast("string")
+    measures = [c for c in report.columns if c != "column"]
+    entries = F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("string").alias("value"))
+        for m in measures])
+    return report.select(F.lit(name).alias("table"), column.alias("column"), F.inline(entries))
 
 
 def fill_report(filled: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -85,7 +120,7 @@ def fill_report(filled: DataFrame, spec: PanelSpec) -> DataFrame:
 def stage_counts(raw: DataFrame, spec: PanelSpec, pattern: str | None = None) -> DataFrame:
     """Rows left after each cleaning step, from one pass over the raw table:
     read, exact duplicates dropped, unreadable times dropped, first of each key."""
-    copies = raw.groupBy(*[f"`{c}`" for c in raw.columns]).agg(F.count("*").alias("__copies"))
+    copies = raw.groupBy(*map(named, raw.columns)).agg(F.count("*").alias("__copies"))
     time = to_time(spec.time, raw.schema[spec.time].dataType, pattern)
     per_key = copies.groupBy(spec.entity, time.alias("__time")).agg(
         F.sum("__copies").alias("raw"), F.count("*").alias("distinct"))

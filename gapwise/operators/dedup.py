@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gapwise.functions.names import named
+
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     """One row of every set of equal rows; nulls count as equal."""
@@ -16,7 +18,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def exact_duplicate_count(df: DataFrame) -> DataFrame:
     """Rows, distinct rows and the surplus, as one row."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+    copies = df.groupBy(*map(named, df.columns)).agg(F.count("*").alias("copies"))
     rows = F.coalesce(F.sum("copies"), F.lit(0))
     return copies.agg(
         rows.alias("n_rows"), F.count("*").alias("n_distinct"),
@@ -25,7 +27,7 @@ def exact_duplicate_count(df: DataFrame) -> DataFrame:
 
 def rows_in_duplicated_keys(df: DataFrame, keys) -> DataFrame:
     """How many rows share their key with another row, counting all of them."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(*map(named, keys)).agg(F.count("*").alias("n"))
     shared = F.when(F.col("n") > 1, F.col("n"))
     return sizes.agg(
         F.coalesce(F.sum(shared), F.lit(0)).alias("rows_in_duplicated_keys"),

@@ -20,10 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapwise.functions.coerce import epoch_micros
-from gapwise.plans.sizing import BROADCAST_ROWS
+from gapwise.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 from gapwise.spec import PanelSpec
 
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 50_000
 SLOT_STEPS = 24
 
 _SLOT, _CHUNK, _OWN, _PLACES = "__slot", "__chunk", "__own", "__places"
@@ -69,13 +69,14 @@ def _chunk_places(df: DataFrame, spec: PanelSpec, history: int, lookahead: int,
         raise ValueError("chunk_rows must exceed the rows a frame can reach")
     if _longest(df, spec) <= chunk_rows:
         return None
-    long_entities = _sizes(df, spec).filter(F.col("n") > chunk_rows).select(spec.entity)
+    long_entities = broadcast_if_small(
+        _sizes(df, spec).filter(F.col("n") > chunk_rows).select(spec.entity))
     for micros in _slot_widths(spec.step_seconds):
         slot = F.floor(epoch_micros(df, spec.time) / F.lit(micros)).cast("long")
         counts = (
             df.select(spec.entity, slot.alias(_SLOT)).filter(F.col(_SLOT).isNotNull())
-            .join(long_entities, spec.entity, "left_semi")
-            .groupBy(spec.entity, _SLOT).agg(F.count("*").alias("n")))
+            .groupBy(spec.entity, _SLOT).agg(F.count("*").alias("n"))
+            .join(long_entities, spec.entity, "left_semi"))
         found = counts.agg(F.count("*").alias("slots"), F.max("n").alias("fullest")).first()
         if found["fullest"] <= max(1, chunk_rows // 4):
             break

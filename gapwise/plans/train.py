@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.operators import attribution, metrics
@@ -88,6 +89,8 @@ def train(features: DataFrame, selected: DataFrame, spec: PanelSpec,
         spark.createDataFrame(comparison, compared.schema)).first()["selected_model"]
     test = metrics.regression_metrics(
         _scored(fitted[chosen], part["test"]), LABEL, PREDICTION).first().asDict()
+    center = part["train"].select(Summarizer.mean(F.col(VECTOR))).first()[0]
+    extra["training_means"] = dict(zip(names, map(float, center)))
     vectors.unpersist()
     rows.unpersist()
     return Training(fitted, comparison, chosen, test, counts, extra)

@@ -26,7 +26,7 @@ USERS_PER_STATION = 30
 # Thresholds for 30 days of data.
 TRAIN_END, VALID_END = "2024-01-19", "2024-01-25"
 GATES = {"min_coverage": 0.82, "min_span_days": 28, "min_records": 500}
-DEEP_GATES = {"max_missing": 60.0, "min_continuity": 85.0, "size": 3}
+DEEP_GATES = {"max_missing": 60.0, "min_continuity": 70.0, "size": 3}
 LONG_HISTORY = 60
 
 
