@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.ml import Model
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from gapwise.session import shared_dir
 
@@ -15,8 +15,6 @@ from gapwise.session import shared_dir
 def node_table(model: Model) -> pd.DataFrame:
     """One row per node of the ensemble. Its size is that of the model (number of
     trees and depth), not of the data."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
     model.write().save(path)

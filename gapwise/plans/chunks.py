@@ -25,8 +25,10 @@ from gapwise.spec import PanelSpec
 
 CHUNK_ROWS = 50_000
 SLOT_STEPS = 24
+STRETCH_SLOTS = 4096
 
-_SLOT, _CHUNK, _OWN, _PLACES = "__slot", "__chunk", "__own", "__places"
+_SLOT, _STRETCH, _CHUNK, _OWN, _PLACES = (
+    "__slot", "__stretch", "__chunk", "__own", "__places")
 
 SeriesFn = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -102,6 +104,12 @@ def _slot_widths(step_seconds: int) -> list[int]:
     return sorted({SLOT_STEPS * step, step, 1_000_000, 1_000, 1}, reverse=True)
 
 
+def _before(column: str, window) -> Column:
+    """Running sum of the rows before the current one."""
+    frame = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(frame), F.lit(0).cast("long"))
+
+
 def _place_slots(counts: DataFrame, spec: PanelSpec, history: int, lookahead: int,
                  chunk_rows: int) -> DataFrame:
     """Which chunks each slot belongs to, from row positions alone.
@@ -111,9 +119,18 @@ def _place_slots(counts: DataFrame, spec: PanelSpec, history: int, lookahead: in
     ``k * chunk_rows`` and end before ``(k + 1) * chunk_rows + fullest``, so a slot
     is copied to every chunk whose bounds, widened by the reach of the frames,
     touch it. A copy too many only lengthens the margin.
+
+    Positions are running counts in two levels, over stretches of ``STRETCH_SLOTS``
+    slots and over the slots of a stretch, so that no task sees all slots of an entity.
     """
+    counts = counts.withColumn(_STRETCH, F.floor(F.col(_SLOT) / F.lit(STRETCH_SLOTS)))
     series = Window.partitionBy(spec.entity)
-    before = series.orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = (
+        counts.groupBy(spec.entity, _STRETCH)
+        .agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+        .select(spec.entity, _STRETCH, F.max("most").over(series).alias("fullest"),
+                _before("rows", series.orderBy(_STRETCH)).alias("base")))
+    inside = Window.partitionBy(spec.entity, _STRETCH).orderBy(_SLOT)
     start, end = F.col("start"), F.col("start") + F.col("n")
     size = F.lit(chunk_rows).cast("long")
     home = F.floor(start / size)
@@ -121,10 +138,9 @@ def _place_slots(counts: DataFrame, spec: PanelSpec, history: int, lookahead: in
         F.floor((start - F.col("fullest") - F.lit(lookahead)) / size), F.lit(0).cast("long"))
     last = F.floor((end + F.lit(history) - 1) / size)
     return (
-        counts.withColumns({
-            "start": F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")),
-            "fullest": F.max("n").over(series),
-        })
+        counts.withColumn("inside", _before("n", inside))
+        .join(stretches, [spec.entity, _STRETCH])
+        .withColumn("start", F.col("base") + F.col("inside"))
         .withColumns({"home": home, "first": first, "last": last})
         .select(
             spec.entity, _SLOT,

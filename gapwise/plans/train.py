@@ -120,7 +120,7 @@ def batch_score(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec) -> Dat
 def evaluate(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec,
              names: DataFrame | None = None) -> dict[str, DataFrame]:
     """All test reports of a trained forecaster; nothing is fitted."""
-    scored = batch_score(rows, forecaster, spec)
+    scored = batch_score(rows, forecaster, spec).persist(StorageLevel.MEMORY_AND_DISK)
     pair = (spec.target, PREDICTION)
     return {
         "overall": metrics.regression_metrics(scored, *pair),

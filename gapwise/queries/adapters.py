@@ -85,7 +85,7 @@ def snapshot_long(spark, sf_dir) -> DataFrame:
         pollutant[F.col("event_type")].alias("pollutant_id"),
     ).agg((F.min(value) - 1.0).alias("pollutant_min"), F.max(value).alias("pollutant_max"),
           F.when(F.count("*") > 1, F.avg(value)).alias("pollutant_avg"))
-    return grouped.join(F.broadcast(place), "station_id", "left").select(
+    return grouped.join(place, "station_id", "left").select(
         F.lit("IN").alias("country"), "state", "city",
         F.concat(F.lit("S"), F.col("station_id").cast("string")).alias("station"),
         F.date_format("hour", SNAPSHOT_TIME_FORMAT).alias("last_update"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from gapwise.functions.aqi import add_forecast_change, aqi_category
 from gapwise.functions.calendar import (
     CYCLIC_FEATURES, TIME_FEATURES, add_cyclic_features, add_time_features)
-from gapwise.functions.coerce import coerce_numeric, parse_time_or_drop
+from gapwise.functions.coerce import coerce_numeric, parse_time, parse_time_or_drop
 from gapwise.functions.flags import add_geo_flag, add_impossible_flag, add_negative_flag
 from gapwise.functions.names import snake_columns
 from gapwise.operators import attribution as attr
@@ -35,7 +35,8 @@ SMALL_BOOST = {"maxIter": 30, "maxDepth": 4}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query; a name that is taken by its operator carries a suffix."""
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -46,9 +47,6 @@ def snake_columns_query(spark, sf_dir):
     return snake_columns(readings(spark, sf_dir).toDF(*RAW_NAMES))
 
 
-QUERIES["snake_columns"] = QUERIES.pop("snake_columns_query")
-
-
 @query
 def parse_drop_bad_time(spark, sf_dir):
     return parse_time_or_drop(raw_rows(spark, sf_dir), "datetime")
@@ -60,7 +58,6 @@ def parse_snapshot_time(spark, sf_dir):
         table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
     text = F.when(F.col("event_type") == "click", F.col("datetime")).otherwise(
         F.date_format("ts", "dd-MM-yyyy HH:mm:ss"))
-    from gapwise.functions.coerce import parse_time
     return parse_time(rows.select("event_id", text.alias("last_update")), "last_update",
                       "dd-MM-yyyy HH:mm:ss", into="timestamp")
 
@@ -78,9 +75,6 @@ def coerce_numeric_query(spark, sf_dir):
     return rounded(coerce_numeric(e.select("event_id", text.alias("reading")), ["reading"]))
 
 
-QUERIES["coerce_numeric"] = QUERIES.pop("coerce_numeric_query")
-
-
 def _balances(spark, sf_dir) -> DataFrame:
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     return c.join(s, F.col("c_custkey") == F.col("s_suppkey"), "left").select(
@@ -95,7 +89,7 @@ def negative_flag(spark, sf_dir):
 @query
 def geo_flag(spark, sf_dir):
     e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
-    at = e.join(F.broadcast(n), F.col("user_id") == F.col("n_nationkey"), "left").select(
+    at = e.join(n, F.col("user_id") == F.col("n_nationkey"), "left").select(
         "event_id", (F.col("user_id") / 2.0).alias("latitude"),
         (F.col("n_nationkey") + 60.0).alias("longitude"))
     return add_geo_flag(at)
@@ -116,9 +110,6 @@ def aqi_category_query(spark, sf_dir):
         *KEYS, "pm2_5", aqi_category(F.col("pm2_5")).alias("category"))
 
 
-QUERIES["aqi_category"] = QUERIES.pop("aqi_category_query")
-
-
 @query
 def forecast_change(spark, sf_dir):
     rows = readings(spark, sf_dir).select(

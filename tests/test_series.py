@@ -35,9 +35,10 @@ def test_features_equal_pandas(spark, seed):
     assert_same(got, expected_features(pdf))
 
 
-@pytest.mark.parametrize("chunk_rows", [33, 40, 64, 101])
-def test_chunked_windows_equal_whole_series(spark, chunk_rows):
+@pytest.mark.parametrize("chunk_rows, stretch", [(33, 4096), (40, 3), (64, 1), (101, 7)])
+def test_chunked_windows_equal_whole_series(spark, chunk_rows, stretch, monkeypatch):
     """One station holds most rows; chunks must change nothing."""
+    monkeypatch.setattr("gapwise.plans.chunks.STRETCH_SLOTS", stretch)
     pdf = random_panel(chunk_rows, stations=("a", "b", "c"), hours=60)
     hot = random_panel(7, stations=("hot",), hours=900)
     import pandas as pd
