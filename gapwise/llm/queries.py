@@ -4,18 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gapwise.llm.bpe import bpe_digests
 from gapwise.llm.content_sort import exact_duplicates
+from gapwise.llm.fm_index import contamination_digests
+from gapwise.llm.jaccard_join import jaccard_groups
+from gapwise.llm.token_files import read_tokens, write_tokens
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+    return read_tokens(manifest, as_ids=False)
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(_table(spark, sf_dir, "documents"),
+                                 _table(spark, sf_dir, "benchmark"))
+
+
+def bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_ngram_jaccard": ngram_jaccard,
+    "op5_token_files": token_files,
+    "op7_decontamination": decontamination,
+    "op9_bpe": bpe_codes,
     "op10_content_sort": content_sort,
 }
 
