@@ -110,6 +110,7 @@ def signatures(of: np.ndarray, value: np.ndarray, n_docs: int, bands: Bands
         if step:
             member &= bands.reaches_next(sizes, own)
         band = np.minimum(own + step, len(bands.parts) - 1)
+        member &= bands.parts[band] > 0
         parts = np.where(member, bands.parts[band], 0)
         cells = 3 * parts
         base = np.cumsum(cells) - cells
