@@ -8,7 +8,10 @@ from gapwise.llm.bpe import bpe_digests
 from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination_digests
 from gapwise.llm.jaccard_join import jaccard_groups
+from gapwise.llm.page_text import page_texts
 from gapwise.llm.token_files import read_tokens, write_tokens
+from gapwise.llm.toxicity import toxicity_scores
+from gapwise.llm.warc import read_warc, write_warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +26,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(_table(spark, sf_dir, "pages")))
+
+
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -46,6 +61,9 @@ def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": warc,
+    "op2_page_text": main_text,
+    "op3_toxicity": toxicity,
     "op4_ngram_jaccard": ngram_jaccard,
     "op5_token_files": token_files,
     "op7_decontamination": decontamination,

@@ -103,7 +103,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                 tokenizer.no_padding()
                 system, local = filesystem(path)
                 system.create_dir(local.rpartition("/")[0], recursive=True)
-                out = system.open_output_stream(local)
+                out = system.open_output_stream(local, compression=None)
                 writer = _Writer(out)
             pieces, code, first = distinct_pieces(data, offsets)
             found = tokenizer.encode_batch_fast(pieces.cast(pa.large_string()).to_pylist(),
