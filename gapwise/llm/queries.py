@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gapwise.llm.bpe import bpe_digests
+from gapwise.llm.chains import shared_passages
 from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination_digests
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
+from gapwise.llm.repeats import without_repeats
 from gapwise.llm.token_files import read_tokens, write_tokens
 from gapwise.llm.toxicity import toxicity_scores
 from gapwise.llm.warc import read_warc, write_warc
@@ -47,6 +49,14 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, as_ids=False)
 
 
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digests(_table(spark, sf_dir, "documents"),
                                  _table(spark, sf_dir, "benchmark"))
@@ -66,7 +76,9 @@ QUERIES = {
     "op3_toxicity": toxicity,
     "op4_ngram_jaccard": ngram_jaccard,
     "op5_token_files": token_files,
+    "op6_repeats": repeats,
     "op7_decontamination": decontamination,
+    "op8_chains": chains,
     "op9_bpe": bpe_codes,
     "op10_content_sort": content_sort,
 }
