@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.llm.shared import texts
-from gapwise.llm.units import distinct_pieces, gather
+from gapwise.llm.units import PieceIds, gather
 from gapwise.llm.words import chunks
 
 # Fixed value: the public byte-level pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _SHIFT = 20
 
 
@@ -149,47 +150,61 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces of text one after another, and the number of ids of each."""
-        number: dict[str, int] = {}
-        codes: list[int] = []
+        whole = b"\xff".join(pieces)
+        if any(s.encode() in whole for s in self.special):
+            return self._with_special(pieces)
+        words: list[str] = []
         counts = np.empty(len(pieces), np.int64)
-        find, special = self.pattern.findall, self.special
+        find = self.pattern.findall
         for i, piece in enumerate(pieces):
-            text = piece.decode()
-            parts = [text] if self.split is None or "<" not in text and not any(
-                s in text for s in special) else self.split.split(text)
-            before = len(codes)
-            for part in parts:
-                if part in special:
-                    codes.append(-1 - special[part])
-                else:
-                    codes += [number.setdefault(w, len(number)) for w in find(part)]
-            counts[i] = len(codes) - before
-        ids, sizes = self.encode_words([w.encode() for w in number])
-        # special tokens stand behind the words
-        extra = sorted(special.values())
-        ids = np.concatenate([ids, np.array(extra, ids.dtype)])
-        sizes = np.concatenate([sizes, np.ones(len(extra), np.int64)])
-        take = np.array(codes, np.int64)
-        low = take < 0
-        take[low] = len(number) + np.searchsorted(extra, -1 - take[low])
-        flat, ends = gather(ids, np.cumsum(sizes) - sizes, sizes, take)
+            own = find(piece.decode())
+            counts[i] = len(own)
+            words += own
+        ids, sizes = self.encode_words([w.encode() for w in words])
         edge = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(counts, out=edge[1:])
-        return flat, np.diff(ends[edge])
+        ends = np.append(0, np.cumsum(sizes))
+        return ids, np.diff(ends[edge])
+
+    def _with_special(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Cut special tokens out first; what stands between them is ordinary text."""
+        parts: list[bytes] = []
+        tokens, counts = [], []
+        for piece in pieces:
+            own = self.split.split(piece.decode())
+            counts.append(len(own))
+            tokens += [self.special.get(x, -1) for x in own]
+            parts += [b"" if x in self.special else x.encode() for x in own]
+        token = np.array(tokens)
+        plain = token < 0
+        ids, sizes = self.encode_pieces([p for p, ok in zip(parts, plain) if ok])
+        every = np.ones(len(parts), np.int64)
+        every[plain] = sizes
+        flat = np.empty(int(every.sum()), ids.dtype)
+        low = np.repeat(plain, every)
+        flat[low], flat[~low] = ids, token[~plain]
+        edge = np.cumsum([0, *counts])
+        return flat, np.diff(np.append(0, np.cumsum(every))[edge])
 
     def decode(self, ids: np.ndarray) -> str:
         return gather(self.bytes, self.starts, self.sizes, ids)[0].tobytes().decode(
             "utf-8", "replace")
 
 
-def encoded(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]
+@lru_cache(maxsize=2)
+def coder(text: str) -> tuple[Vocabulary, PieceIds]:
+    """The vocabulary of a tokenizer file and its encoder, kept by a worker from task to
+    task."""
+    vocabulary = Vocabulary(text)
+    return vocabulary, PieceIds(vocabulary.encode_pieces)
+
+
+def encoded(text: str, batches: Iterator[pa.RecordBatch]
             ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document ids, token ids, offsets of the documents in them), chunk by chunk."""
+    _, pieces = coder(text)
     for doc_ids, data, offsets in chunks(batches, CHUNK_BYTES):
-        pieces, code, first = distinct_pieces(data, offsets)
-        flat, sizes = vocabulary.encode_pieces(pieces.to_pylist())
-        ids, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, code)
-        yield doc_ids, ids, ends[first]
+        yield doc_ids, *pieces.ids(data, offsets)
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
@@ -204,8 +219,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     shared = _shared_vocabulary(docs, tokenizer_path)
 
     def run(batches):
-        vocabulary = Vocabulary(shared.value)
-        for doc_ids, ids, ends in encoded(vocabulary, batches):
+        vocabulary, _ = coder(shared.value)
+        for doc_ids, ids, ends in encoded(shared.value, batches):
             decoded = [vocabulary.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -228,9 +243,9 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     shared = _shared_vocabulary(docs, tokenizer_path)
 
     def run(batches):
-        vocabulary = Vocabulary(shared.value)
+        vocabulary, _ = coder(shared.value)
         numeral = [b"%d" % i for i in range(len(vocabulary.sizes))]
-        for doc_ids, ids, ends in encoded(vocabulary, batches):
+        for doc_ids, ids, ends in encoded(shared.value, batches):
             sha, decoded = [], []
             for a, b in zip(ends[:-1], ends[1:]):
                 own = ids[a:b]
@@ -244,11 +259,3 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     return texts(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def with_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The rows of ``docs`` that hold a text the vocabulary gives back unchanged, with its
-    digests; see ``bpe_digests``."""
-    done = bpe_digests(docs, tokenizer_path)
-    want = texts(docs).select("doc_id", F.sha2("text", 256).alias("sha"))
-    return done.join(want.distinct(), "doc_id").filter("sha = decoded_sha256").drop("sha")

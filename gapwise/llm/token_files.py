@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapwise.llm import simple8b
+from gapwise.llm.bpe import Vocabulary
 from gapwise.llm.shared import filesystem, keep, scratch, texts
-from gapwise.llm.units import distinct_pieces, gather
+from gapwise.llm.units import LEAD_BYTES, PieceIds
 from gapwise.llm.words import chunks
 
 MAGIC = b"GWTOK8B1"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+# Pieces that the library encodes as one text.
+JOINED_PIECES = 2_000
 # Blocks that are decoded at a time.
 READ_BLOCKS = 256
 _TAIL = 7
@@ -34,6 +38,53 @@ _TAIL = 7
 _MANIFEST = "path string, range int, n_docs long, n_ids long, n_bytes long"
 
 
+@lru_cache(maxsize=2)
+def library_coder(text: str) -> PieceIds:
+    """An encoder by the tokenizers library, kept by a worker from task to task.
+
+    Pieces that begin with white space are encoded many at a time as one text, which the
+    pre-tokenizer cuts between them again; the bytes of the tokens tell the pieces apart.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(text)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    n_bytes = Vocabulary(text).sizes
+
+    def joins(piece: bytes) -> bool:
+        first, last = piece[0], piece[-1]
+        return (first == 32 or 9 <= first <= 13) and (32 < last < 127 or (
+            last > 127 and piece[-2] not in LEAD_BYTES and piece[-3] not in LEAD_BYTES))
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.zeros(len(pieces), np.int64)
+        joined = [i for i, p in enumerate(pieces) if len(p) > 3 and joins(p)]
+        parts = []
+        chosen = set(joined)
+        for at in range(0, len(joined), JOINED_PIECES):
+            own = joined[at:at + JOINED_PIECES]
+            body = b"".join(pieces[i] for i in own).decode()
+            ids = np.array(tokenizer.encode_batch_fast([body], add_special_tokens=False)[0].ids)
+            edge = np.cumsum([len(pieces[i]) for i in own])
+            split = np.searchsorted(np.cumsum(n_bytes[ids]), edge, "left") + 1
+            sizes[own] = np.diff(split, prepend=0)
+            parts.append((own, ids, split))
+        alone = [i for i in range(len(pieces)) if i not in chosen]
+        found = [tokenizer.encode(pieces[i].decode(), add_special_tokens=False).ids for i in alone]
+        sizes[alone] = [len(f) for f in found]
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.int64)
+        for i, ids in zip(alone, found):
+            flat[starts[i]:starts[i] + len(ids)] = ids
+        for own, ids, split in parts:
+            n = sizes[own]
+            flat[np.repeat(starts[own] - (split - n), n) + np.arange(len(ids))] = ids
+        return flat, sizes
+
+    return PieceIds(encode)
+
+
 class _Writer:
     """Packs ids as they come; only the index is held until the end."""
 
@@ -92,27 +143,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         shared = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, writer = None, None
+        writer = None
         path = f"{folder}/ids-{uuid.uuid4().hex}.tok"
         for doc_ids, data, offsets in chunks(batches, CHUNK_BYTES):
             if writer is None:
-                tokenizer = Tokenizer.from_str(shared.value)
-                tokenizer.no_truncation()
-                tokenizer.no_padding()
+                pieces = library_coder(shared.value)
                 system, local = filesystem(path)
                 system.create_dir(local.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(local, compression=None)
                 writer = _Writer(out)
-            pieces, code, first = distinct_pieces(data, offsets)
-            found = tokenizer.encode_batch_fast(pieces.cast(pa.large_string()).to_pylist(),
-                                                add_special_tokens=False)
-            lists = [e.ids for e in found]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for own in lists for i in own), np.int64, int(sizes.sum()))
-            ids, ends = gather(flat, np.cumsum(sizes) - sizes, sizes, code)
-            ends = ends[first]
+            ids, ends = pieces.ids(data, offsets)
             ids = np.insert(ids, ends[1:], end_id)
             writer.add(doc_ids, np.diff(ends) + 1, ids)
         if writer is not None:

@@ -1,37 +1,46 @@
-"""Cut texts where a byte-level BPE's pre-tokenizer cuts for certain, and look only at
+"""Cut texts where a byte-level BPE's pre-tokenizer cuts for certain, and encode only
 distinct pieces.
 
-The public byte-level pattern never joins white space to the character before it, so a text
-may be cut before any ASCII white space that follows something else; each piece then has the
-same tokens alone as in its text. A collection has far fewer distinct pieces than pieces.
+The public byte-level pattern never joins white space to the character before it, nor a
+letter to a mark other than the apostrophe behind it. A text may be cut there, and each piece
+has the same tokens alone as in its text. A collection has far fewer distinct pieces than
+pieces; a task keeps the ids of those it has met, up to a bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-# Control characters, and bytes that may begin a Unicode white space.
-_UNSURE = np.zeros(256, bool)
-_UNSURE[:33] = True
+# Distinct pieces whose ids a worker keeps.
+KEPT_PIECES = 600_000
+
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+# Bytes that may begin a white space beyond ASCII.
 _LEADS = np.zeros(256, bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+LEAD_BYTES = frozenset(np.flatnonzero(_LEADS).tolist())
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Offsets of the pieces of all texts; every text's own offsets are among them."""
-    at = np.flatnonzero(_WHITE[data])
-    at = at[at > 0]
-    before = data[at - 1]
-    bad = _UNSURE[before]
-    wide = np.flatnonzero(before >= 128)
-    if len(wide):
-        p = at[wide]
-        bad[wide] |= _LEADS[data[np.maximum(p - 2, 0)]] | _LEADS[data[np.maximum(p - 3, 0)]]
-    return np.union1d(at[~bad], offsets)
+    n = len(data)
+    at = np.zeros(n + 1, bool)
+    if n > 1:
+        before = data[:-1]
+        low = before | 32
+        letter = (low >= 97) & (low <= 122)
+        white = (data[1:] == 32) | (data[1:] >= 9) & (data[1:] <= 13)
+        at[1:n] = white & (before > 32) | letter & _MARKS[data[1:]]
+        wide = np.flatnonzero(at[1:n] & (before >= 128)) + 1
+        bad = _LEADS[data[np.maximum(wide - 2, 0)]] | _LEADS[data[np.maximum(wide - 3, 0)]]
+        at[wide[bad]] = False
+    at[offsets] = True
+    return np.flatnonzero(at)
 
 
 def distinct_pieces(data: np.ndarray, offsets: np.ndarray
@@ -56,3 +65,39 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, take: np.nda
     index = np.repeat(starts[take] - ends[:-1], n)
     index += np.arange(ends[-1])
     return flat[index], ends
+
+
+class PieceIds:
+    """Ids of whole texts from ``encode``, which gets distinct pieces it has not met and
+    returns their ids one after another and the number of each."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces = pa.array([], pa.large_binary())
+        self.flat, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them)."""
+        pieces, code, first = distinct_pieces(data, offsets)
+        place = self._places(pieces)
+        if len(self.pieces) > KEPT_PIECES and len(self.pieces) > len(pieces):
+            self.clear()
+            place = self._places(pieces)
+        ids, ends = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, place[code])
+        return ids, ends[first]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        known = pc.index_in(pieces, value_set=self.pieces)
+        new = pc.is_null(known)
+        place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = pieces.filter(new)
+        if len(fresh):
+            flat, sizes = self.encode(fresh.to_pylist())
+            place[place < 0] = len(self.pieces) + np.arange(len(fresh))
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+        return place
