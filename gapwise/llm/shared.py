@@ -42,18 +42,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        ).filter(F.col("doc_id").isNotNull())
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``ids``. The ids are broadcast only if counting
-    proves them few. ``once`` also leaves one row of an id that occurs several times."""
-    rows = docs.join(broadcast_if_small(ids.select("doc_id")), "doc_id", "left_semi").select(
+def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is in the written table ``ids``. The ids are
+    broadcast only if counting proves them few."""
+    return docs.join(broadcast_if_small(ids.select("doc_id")), "doc_id", "left_semi").select(
         *[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is not in ``ids``; rows without an id, which no
+    operator can judge, go as well. ``once`` also leaves one row of an id that occurs several times."""
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    gone = broadcast_if_small(keep(ids.select("doc_id").distinct(), "rejected"))
+    rows = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if not once:
         return rows
-    again = keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    again = broadcast_if_small(again)
-    single = rows.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(
-        rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    again = broadcast_if_small(keep(
+        docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.join(again, "doc_id", "left_anti").select(*names).unionByName(
+        rows.join(again, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
