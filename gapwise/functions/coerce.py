@@ -10,6 +10,8 @@ from gapwise.functions.names import named
 NUMBER_PATTERN = (
     r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 )
+# Fixed value: text that counts as a time without a pattern: a full date, perhaps a time of day.
+TIME_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}([.]\d{1,9})?)?)?\s*$"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -40,7 +42,7 @@ def to_time(column: str, data_type: T.DataType, pattern: str | None = None) -> C
     c = named(column)
     if isinstance(data_type, T.StringType):
         if pattern is None:
-            return F.trim(c).try_cast("timestamp_ntz")
+            return F.when(c.rlike(TIME_PATTERN), F.trim(c).try_cast("timestamp_ntz"))
         return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
     return c.cast("timestamp_ntz")
 

@@ -2,19 +2,21 @@
 
 Each round is one aggregate over the table. A round keeps, for every column, a
 bracket around the middle ranks; approximate quantiles of the values inside the
-bracket give a bracket thousands of times narrower for the next round. Only when a
-bracket holds few values are they looked at one by one.
+bracket give a bracket dozens of times narrower for the next round. Their accuracy is
+low, so that what every task sends of a column is a few hundred numbers. Where quantiles
+stop narrowing, the bracket is halved by the order of the doubles' bits, which ends after
+at most 64 halvings. Only when a bracket holds few values are they looked at one by one.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-ACCURACY = 10_000
-# Up to this many rows the built-in median may hold all values of a column.
-BUILT_IN_ROWS = 20_000
+ACCURACY = 200
 # Up to this many values of a column are sorted in one place at the end.
 COLLECT_VALUES = 5_000
 
@@ -35,17 +37,14 @@ class _Search:
         return F.col(self.column).between(F.lit(low), F.lit(high))
 
 
-def exact_medians(df: DataFrame, columns, built_in_rows: int = BUILT_IN_ROWS,
-                  collect_values: int = COLLECT_VALUES,
+def exact_medians(df: DataFrame, columns, collect_values: int = COLLECT_VALUES,
                   accuracy: int = ACCURACY) -> dict[str, float | None]:
     """The median of every column (nulls ignored; mean of the two middle values for
-    an even count); None for a column without values."""
+    an even count); None for a column without values, or whose middle values are the two
+    infinities, which have no mean."""
     columns = list(columns)
     if not columns:
         return {}
-    if df.select(F.lit(1)).limit(built_in_rows + 1).count() <= built_in_rows:
-        row = df.agg(*[F.median(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-        return dict(zip(columns, row))
     half = F.array(*[F.lit(p) for p in (0.5 - 2 / accuracy, 0.5 + 2 / accuracy)])
     first = df.agg(*[
         f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (
@@ -69,7 +68,20 @@ def exact_medians(df: DataFrame, columns, built_in_rows: int = BUILT_IN_ROWS,
         pending = [s for s in pending if s.median is None]
         if pending:
             _narrow(df, pending, accuracy)
-    return {s.column: s.median for s in searches}
+    return {s.column: None if s.median is None or math.isnan(s.median) else s.median
+            for s in searches}
+
+
+def _bits(x: float) -> int:
+    """The place of a double in the order of all doubles."""
+    n = struct.unpack("<q", struct.pack("<d", x))[0]
+    return n if n >= 0 else -(n & 0x7FFFFFFFFFFFFFFF)
+
+
+def _halfway(low: float, high: float) -> float:
+    """The double in the middle between two, counted in doubles."""
+    n = (_bits(low) + _bits(high)) // 2
+    return struct.unpack("<d", struct.pack("<q", n if n >= 0 else -n | -0x8000000000000000))[0]
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
@@ -115,10 +127,10 @@ def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
 
 
 def _guess(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Approximate quantiles around the middle ranks inside each bracket; the middle
-    of the bracket's range where quantiles stopped narrowing it."""
+    """Approximate quantiles around the middle ranks inside each bracket; the double
+    halfway between its ends where quantiles stopped narrowing it."""
     for s in [s for s in searches if s.stalled]:
-        middle = s.low + (s.high - s.low) / 2
+        middle = _halfway(s.low, s.high)
         s.guess = (middle, middle)
     searches = [s for s in searches if not s.stalled]
     if not searches:

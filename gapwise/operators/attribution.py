@@ -26,20 +26,22 @@ class NotExplainable(ValueError):
     """The forecaster has no fitted function to explain."""
 
 
-def attribute(df: DataFrame, forecaster: Forecaster, means=None) -> DataFrame:
+def attribute(df: DataFrame, forecaster: Forecaster, means=None, kept=None) -> DataFrame:
     """Attribution by kind of model: exact path-dependent Shapley values for trees,
-    the closed form for linear models (which needs the training means)."""
+    the closed form for linear models (which needs the training means). ``kept`` names the
+    columns of ``df`` the result carries (default: all)."""
     if forecaster.model is None:
         raise NotExplainable("persistence has no learned function to explain")
     if hasattr(forecaster.model, "trees"):
-        return tree_attribution(df, forecaster)
+        return tree_attribution(df, forecaster, kept)
     if hasattr(forecaster.model, "coefficients"):
         if means is None:
             raise NotExplainable("a linear model needs the training means of its features")
         weights = [float(w) for w in forecaster.model.coefficients]
-        return linear_attribution(
+        shares = linear_attribution(
             forecaster.predict(df), forecaster.features, forecaster.inputs(df), weights,
             means, forecaster.model.intercept)
+        return shares if kept is None else shares.select(*kept, PREDICTION, "base", "phi", "x")
     raise NotExplainable(f"no explanation for {type(forecaster.model).__name__}")
 
 
@@ -53,7 +55,7 @@ def linear_attribution(df: DataFrame, features, inputs, weights, means,
                            "x": F.array(*inputs)})
 
 
-def tree_attribution(df: DataFrame, forecaster: Forecaster) -> DataFrame:
+def tree_attribution(df: DataFrame, forecaster: Forecaster, kept=None) -> DataFrame:
     """Shapley values of a tree ensemble, with the training counts of the nodes as
     the weights of absent features (arXiv:1802.03888).
 
@@ -65,6 +67,9 @@ def tree_attribution(df: DataFrame, forecaster: Forecaster) -> DataFrame:
     scored = forecaster.predict(df).withColumns({
         "base": F.lit(base), "x": F.array(*forecaster.inputs(df)),
         "phi": F.array_repeat(F.lit(0.0), n)})
+    if kept is not None:
+        # Only these columns travel through Python.
+        scored = scored.select(*kept, PREDICTION, "base", "x", "phi")
     spark = df.sparkSession
     for group in groups:
         shared = spark.sparkContext.broadcast(group)

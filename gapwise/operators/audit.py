@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.functions.coerce import coerce_numeric, to_time
+from gapwise.functions.coerce import coerce_numeric, to_number, to_time
 from gapwise.functions.names import named
 from gapwise.operators.dedup import exact_duplicate_count, rows_in_duplicated_keys
 from gapwise.spec import FILLED_SUFFIX, PanelSpec
@@ -76,22 +76,45 @@ def negative_counts(df: DataFrame, columns) -> DataFrame:
 def table_report(df: DataFrame, name: str, distinct=(), time: str | None = None,
                  pattern: str | None = None, values=(), keys=()) -> DataFrame:
     """The whole audit of one table as rows (table, column, measure, value), the value
-    as text. Columns that are absent are skipped."""
+    as text. Columns that are absent are skipped. Three scans: one for all profiles, one
+    for equal rows, one for keys."""
     def there(columns):
         return [c for c in columns if c in df.columns]
 
-    parts = [table_shape(df, name).drop("table"), missing_values(df),
-             exact_duplicate_count(df).select("duplicate_rows")]
-    if there(distinct):
-        parts.append(distinct_counts(df, there(distinct)))
+    numbers = {f"__number_{c}": to_number(c, df.schema[c].dataType) for c in there(values)}
     if time in df.columns:
-        parts.append(time_range(df, time, pattern).withColumn("column", F.lit(time)))
+        numbers["__time"] = to_time(time, df.schema[time].dataType, pattern)
+    entries = _profile(df.withColumns(numbers), df.dtypes, there(distinct), time, there(values))
+    measured = df.withColumns(numbers).agg(*[
+        value.cast("string").alias(f"m{i}") for i, (_, _, value) in enumerate(entries)])
+    profile = measured.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("table"), F.lit(column).cast("string").alias("column"),
+                 F.lit(measure).alias("measure"), F.col(f"m{i}").alias("value"))
+        for i, (column, measure, _) in enumerate(entries)])))
+    parts = [profile, _in_rows(exact_duplicate_count(df).select("duplicate_rows"), name)]
     if keys and there(keys) == list(keys):
-        parts.append(rows_in_duplicated_keys(df, keys))
-    if there(values):
-        parts += [numeric_ranges(df, values), negative_counts(df, values)]
-    long = [_in_rows(p, name) for p in parts]
-    return reduce(DataFrame.unionByName, long)
+        parts.append(_in_rows(rows_in_duplicated_keys(df, keys), name))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _profile(df: DataFrame, dtypes, distinct, time, values) -> list[tuple]:
+    """(column, measure, aggregate) of all that one scan can tell."""
+    rows = F.count(F.lit(1))
+    entries = [(None, "n_rows", rows), (None, "n_columns", F.any_value(F.lit(len(dtypes))))]
+    for c, kind in dtypes:
+        entries += [(c, "dtype", F.any_value(F.lit(kind))), (c, "n_rows", rows),
+                    (c, "n_missing", F.count_if(named(c).isNull()))]
+    entries += [(c, "n_distinct", F.count_distinct(named(c))) for c in distinct]
+    if "__time" in df.columns:
+        entries += [(time, "min_time", F.min("__time")), (time, "max_time", F.max("__time")),
+                    (time, "unparseable", F.count_if(F.col("__time").isNull()))]
+    for c in values:
+        v = named(f"__number_{c}")
+        share = F.round(F.avg(v.isNull().cast("double")) * 100, 2)
+        entries += [(c, "min", F.min(v)), (c, "max", F.max(v)), (c, "mean", F.avg(v)),
+                    (c, "n_unreadable", F.count_if(v.isNull())), (c, "missing_pct", share),
+                    (c, "n_negative", F.count_if(v < 0))]
+    return entries
 
 
 def _in_rows(report: DataFrame, name: str) -> DataFrame:
@@ -119,16 +142,19 @@ def fill_report(filled: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def stage_counts(raw: DataFrame, spec: PanelSpec, pattern: str | None = None) -> DataFrame:
     """Rows left after each cleaning step, from one pass over the raw table:
-    read, exact duplicates dropped, unreadable times dropped, first of each key."""
+    read, exact duplicates dropped, unreadable times dropped, null entities dropped, first
+    of each key. The last number is that of the rows of the cleaned panel."""
     copies = raw.groupBy(*map(named, raw.columns)).agg(F.count("*").alias("__copies"))
     time = to_time(spec.time, raw.schema[spec.time].dataType, pattern)
     per_key = copies.groupBy(spec.entity, time.alias("__time")).agg(
         F.sum("__copies").alias("raw"), F.count("*").alias("distinct"))
     readable = F.col("__time").isNotNull()
+    placed = readable & F.col(spec.entity).isNotNull()
     counts = per_key.agg(
         F.sum("raw").alias("raw"), F.sum("distinct").alias("exact_dedup"),
         F.sum(F.when(readable, F.col("distinct"))).alias("parsed_time"),
-        F.count_if(readable).alias("first_of_key"))
+        F.sum(F.when(placed, F.col("distinct"))).alias("known_entity"),
+        F.count_if(placed).alias("first_of_key"))
     entries = [F.struct(F.lit(stage).alias("stage"),
                         F.coalesce(stage, F.lit(0)).alias("n_rows"))
                for stage in counts.columns]

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapwise.functions.coerce import to_number
 from gapwise.functions.names import require_columns
 from gapwise.operators.impute import impute
+from gapwise.session import shared_dir
 from gapwise.spec import SEED
 
 VECTOR, LABEL, PREDICTION = "features", "label", "prediction"
@@ -114,12 +117,30 @@ def fit_boosted(train: DataFrame, valid: DataFrame, seed: int = SEED,
     """Boosted trees cut back to the best number of rounds by validation MAE; returns
     the model and that number.
 
-    Rounds are repeatable for a seed, so the shorter model is a second, shorter fit.
+    The shorter model is made of the first trees of the fitted one. Long fits need a
+    checkpoint folder, so that the lineage of the rounds stays short.
     """
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(train.sparkSession))
     learner = GBTRegressor(labelCol=LABEL, seed=seed, cacheNodeIds=True,
                            **(BOOSTED_SETTINGS | settings))
     full = learner.fit(train)
     rounds = best_prefix(full.evaluateEachIteration(valid, "absolute"), patience)
     if rounds == full.getNumTrees:
         return full, rounds
-    return learner.copy({learner.maxIter: rounds}).fit(train), rounds
+    return first_rounds(full, rounds), rounds
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The boosted model of the first ``rounds`` trees."""
+    context = SparkContext._active_spark_context
+    old, jvm = model._java_obj, context._jvm
+    trees = context._gateway.new_array(
+        jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(jvm.double, rounds)
+    for i, weight in enumerate(model.treeWeights[:rounds]):
+        trees[i], weights[i] = old.trees()[i], float(weight)
+    made = jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        old.uid(), trees, weights, old.numFeatures())
+    return GBTRegressionModel(old.copyValues(made, old.extractParamMap()))

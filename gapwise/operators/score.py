@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gapwise.functions.calendar import add_cyclic_features, add_time_features
 from gapwise.operators.models import Forecaster
 from gapwise.operators.series import (
-    add_lags, add_rolling_means, newest_rows, short_histories)
+    add_lags, add_rolling_means, forward_fill, is_entity, newest_rows, short_histories)
 from gapwise.spec import MIN_HISTORY_ROWS, PanelSpec
 
 _RANK, _ROWS = "__rank", "__rows"
 
 
-def newest_features(clean: DataFrame, spec: PanelSpec,
-                    min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
+def newest_features(clean: DataFrame, spec: PanelSpec, min_rows: int = MIN_HISTORY_ROWS,
+                    fill: bool = False) -> DataFrame:
     """The feature row of every entity's newest reading, for entities with at least
     ``min_rows`` rows.
 
     Only the rows those features look at leave the scan, so windows hold a few dozen
-    rows per entity however long its series is.
+    rows per entity however long its series is. ``fill`` fills short gaps of a panel that
+    was not filled; the rows a fill reaches back to come along.
     """
-    tail = newest_rows(clean, spec, max(min_rows, spec.feature_history + 1), rank=_RANK)
+    rows = max(min_rows, spec.feature_history + 1)
+    tail = newest_rows(clean, spec, rows + (spec.fill_limit if fill else 0), rank=_RANK)
+    if fill:
+        tail = forward_fill(tail, spec).filter(F.col(_RANK) <= rows)
     whole = Window.partitionBy(spec.entity)
     features = add_lags(add_rolling_means(tail, spec), spec)
     features = features.withColumn(_ROWS, F.count("*").over(whole))
@@ -30,7 +34,8 @@ def newest_features(clean: DataFrame, spec: PanelSpec,
 
 
 def score_latest(clean: DataFrame, forecaster: Forecaster, spec: PanelSpec, entity=None,
-                 min_rows: int = MIN_HISTORY_ROWS, trained_on=None) -> DataFrame:
+                 min_rows: int = MIN_HISTORY_ROWS, trained_on=None,
+                 fill: bool = False) -> DataFrame:
     """One forecast per entity (or for one entity): the current and the predicted
     value, not below 0, with both times.
 
@@ -39,8 +44,8 @@ def score_latest(clean: DataFrame, forecaster: Forecaster, spec: PanelSpec, enti
     """
     known = clean.filter(F.col(spec.entity).isNotNull() & F.col(spec.time).isNotNull())
     if entity is not None:
-        known = known.filter(F.col(spec.entity).cast("string") == F.lit(str(entity)))
-    scored = forecaster.predict(newest_features(known, spec, min_rows), into="__predicted")
+        known = known.filter(is_entity(known, spec, entity))
+    scored = forecaster.predict(newest_features(known, spec, min_rows, fill), into="__predicted")
     city = F.coalesce(F.col("city"), F.lit("Unknown")) if "city" in clean.columns else F.lit("Unknown")
     ahead = F.expr(f"INTERVAL {spec.horizon * spec.step_seconds} SECONDS")
     out = [
@@ -61,12 +66,12 @@ def score_latest(clean: DataFrame, forecaster: Forecaster, spec: PanelSpec, enti
 
 
 def score_station(clean: DataFrame, forecaster: Forecaster, spec: PanelSpec, entity,
-                  min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
+                  min_rows: int = MIN_HISTORY_ROWS, fill: bool = False) -> DataFrame:
     """The forecast of one entity; raises if it is unknown or its history too short."""
-    rows = clean.filter(F.col(spec.entity).cast("string") == F.lit(str(entity)))
+    rows = clean.filter(is_entity(clean, spec, entity))
     short = short_histories(rows, spec, min_rows).first()
     if short is not None:
         raise ValueError(f"station {entity}: {short['reason']}")
     if rows.limit(1).count() == 0:
         raise ValueError(f"no rows for station {entity}")
-    return score_latest(rows, forecaster, spec, min_rows=min_rows)
+    return score_latest(rows, forecaster, spec, min_rows=min_rows, fill=fill)

@@ -25,6 +25,13 @@ def split_null_entities(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, Data
     return df.filter(known), df.filter(~known)
 
 
+def is_entity(df: DataFrame, spec: PanelSpec, entity) -> Column:
+    """Rows of one entity, given in any type: the value takes the column's type, so that the
+    filter reaches the scan. A value that type cannot hold matches nothing."""
+    kind = df.schema[spec.entity].dataType
+    return F.col(spec.entity) == F.lit(str(entity)).try_cast(kind)
+
+
 def _series(spec: PanelSpec, by):
     return Window.partitionBy(*(by or [spec.entity])).orderBy(spec.time)
 
@@ -148,7 +155,7 @@ def recent_trend(df: DataFrame, spec: PanelSpec, entity=None, rows: int = TREND_
                  columns=None) -> DataFrame:
     """Time and value of the last ``rows`` rows, of one entity or of all."""
     if entity is not None:
-        df = df.filter(F.col(spec.entity).cast("string") == F.lit(str(entity)))
+        df = df.filter(is_entity(df, spec, entity))
     kept = df.select(*spec.keys, *(columns or [spec.target_of]))
     return newest_rows(kept.filter(F.col(spec.time).isNotNull()), spec, rows)
 

@@ -57,19 +57,19 @@ def feature_columns(columns, spec: PanelSpec) -> list[str]:
 
 
 def seeded_sample(df: DataFrame, keys, rows: int, seed: int = SEED) -> DataFrame:
-    """Exactly ``rows`` rows (or all, if there are fewer) in the order of a hash of
-    the keys, so neither partitioning nor retries change the choice.
+    """Exactly ``rows`` rows (or all, if there are fewer) in the order of the MD5 of seed and
+    keys as text, so neither partitioning nor retries change the choice.
 
     A cutoff on the hash, derived from a count, lets only about ``rows`` rows through
     to the final sort; it is dropped if it let too few pass.
     """
-    mark = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     marked = df.withColumn("__mark", mark)
     total = df.count()
     if total > 4 * rows:
         share = (rows + 8 * math.sqrt(rows) + 16) / total
-        below = int(-(2 ** 63) + share * 2 ** 64)
-        few = marked.filter(F.col("__mark") <= F.lit(below))
+        below = f"{min(int(share * 16 ** 8), 16 ** 8 - 1):08x}"
+        few = marked.filter(F.substring("__mark", 1, 8) <= F.lit(below))
         if few.count() >= rows:
             marked = few
     return marked.orderBy("__mark", *keys).limit(rows).drop("__mark")

@@ -6,29 +6,43 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapwise.functions.calendar import (
     CYCLIC_FEATURES, TIME_FEATURES, add_cyclic_features, add_time_features)
-from gapwise.functions.coerce import coerce_numeric, parse_time, parse_time_or_drop
+from gapwise.functions.coerce import coerce_numeric, parse_time, to_time
 from gapwise.functions.flags import add_geo_flag, add_impossible_flag, add_negative_flag
 from gapwise.functions.names import snake_columns
 from gapwise.operators.dedup import drop_exact_duplicates, keep_first
 from gapwise.operators.joins import enrich, keep_selected
-from gapwise.operators.series import (
-    add_lags, add_rolling_means, add_target, forward_fill, split_null_entities)
+from gapwise.operators.series import add_lags, add_rolling_means, add_target, forward_fill
 from gapwise.operators.snapshot import snapshot_wide
 from gapwise.plans.chunks import CHUNK_ROWS, over_series
-from gapwise.spec import SNAPSHOT_POLLUTANTS, SNAPSHOT_TIME_FORMAT, PanelSpec
+from gapwise.spec import SNAPSHOT_TIME_FORMAT, PanelSpec
+
+
+def split_readings(readings: DataFrame, spec: PanelSpec, pattern: str | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
+    """Readings with a readable time and a station, and the rejected rows as they were read
+    with the ``reason``: unreadable_time or null_entity."""
+    raw = snake_columns(readings)
+    time = to_time(spec.time, raw.schema[spec.time].dataType, pattern)
+    reason = F.when(time.isNull(), "unreadable_time").when(
+        F.col(spec.entity).isNull(), "null_entity")
+    marked = raw.withColumn("reason", reason)
+    good = parse_time(marked.filter(F.col("reason").isNull()).drop("reason"), spec.time, pattern)
+    return good, marked.filter(F.col("reason").isNotNull())
 
 
 def clean_panel(readings: DataFrame, stations: DataFrame, spec: PanelSpec,
-                fill: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                fill: bool = True, chunk_rows: int = CHUNK_ROWS,
+                pattern: str | None = None) -> DataFrame:
     """Raw readings and stations to the cleaned panel: names, times, duplicates,
     numbers, negative flag, station columns, fill.
 
-    Rows with a null entity or time belong to no series and are left out;
-    ``audit.stage_counts`` counts them. Of several rows with one key the first by its
+    Rows with a null entity or time belong to no series and are left out:
+    ``split_readings`` returns them, ``audit.stage_counts`` counts them. ``pattern`` is the
+    format of the times; without it they are read as ISO times. Of several rows with one key the first by its
     values stays, which removes exact duplicates in the same shuffle.
     """
     raw = snake_columns(readings)
-    panel, _ = split_null_entities(parse_time_or_drop(raw, spec.time), spec)
+    panel, _ = split_readings(readings, spec, pattern)
     rest = [c for c in panel.columns if c not in spec.keys]
     panel = keep_first(panel, spec.keys, [F.col(c).asc_nulls_last() for c in rest])
     panel = add_negative_flag(coerce_numeric(panel, spec.values),
@@ -40,18 +54,21 @@ def clean_panel(readings: DataFrame, stations: DataFrame, spec: PanelSpec,
                        history=spec.fill_limit, chunk_rows=chunk_rows, bound=raw)
 
 
-def clean_snapshot(snapshot: DataFrame, pollutants=SNAPSHOT_POLLUTANTS,
+def clean_snapshot(snapshot: DataFrame, pollutants=None,
                    drop_null_keys: bool = False) -> DataFrame:
-    """Raw long snapshot to one row per station with flags. Rows with an unreadable
-    time stay."""
+    """Raw long snapshot to one row per station with flags and a column per pollutant
+    found. Rows with an unreadable time stay."""
+    return snapshot_wide(flagged_snapshot(snapshot), pollutants, drop_null_keys=drop_null_keys)
+
+
+def flagged_snapshot(snapshot: DataFrame) -> DataFrame:
+    """The long snapshot with names, types and both flags, exact duplicates dropped."""
     df = drop_exact_duplicates(snake_columns(snapshot))
     time = "last_update" if "last_update" in df.columns else "timestamp"
     df = parse_time(df, time, SNAPSHOT_TIME_FORMAT, into="timestamp")
     df = coerce_numeric(df, ["pollutant_min", "pollutant_max", "pollutant_avg",
                              "latitude", "longitude"])
-    df = add_impossible_flag(add_geo_flag(df))
-    return snapshot_wide(df, pollutants, order=("pollutant_avg", "pollutant_min", "pollutant_max"),
-                         drop_null_keys=drop_null_keys)
+    return add_impossible_flag(add_geo_flag(df))
 
 
 def feature_table(clean: DataFrame, spec: PanelSpec, selected: DataFrame | None = None,

@@ -5,12 +5,12 @@ All frames of this library reach a fixed number of rows back and ahead, so a lon
 series can be cut into chunks if each chunk also receives copies of the rows just
 before and after it. ``over_series`` does that, exactly and only where needed:
 
-1. Rows are counted per entity, a one-column scan with map-side aggregation. If no
-   entity has more than ``chunk_rows`` rows, windows run per entity: one shuffle,
-   nothing copied.
-2. Otherwise the rows of the long entities are counted per time slot. Running counts
-   over the slots give every slot its row positions, hence its chunk and the chunks
-   that need copies of it. The rows of other entities get the constant chunk 0.
+1. Rows are counted per entity and time slot, a two-column scan with map-side aggregation
+   whose small result is written and serves all that follows. If no entity has more than
+   ``chunk_rows`` rows, windows run per entity: one shuffle, nothing copied.
+2. Otherwise running counts over the slots of the long entities give every slot its row
+   positions, hence its chunk and the chunks that need copies of it. The rows of other
+   entities get the constant chunk 0.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapwise.functions.coerce import epoch_micros
-from gapwise.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from gapwise.plans.sizing import BROADCAST_ROWS, broadcast_if_small, written
 from gapwise.spec import PanelSpec
 
 CHUNK_ROWS = 50_000
@@ -40,9 +40,9 @@ def over_series(df: DataFrame, spec: PanelSpec, fn: SeriesFn, history: int,
     order by ``spec.time``, with frames of at most ``history`` rows back and
     ``lookahead`` rows ahead.
 
-    Runs the count per entity when called. ``bound`` may name a cheaper table that
-    has at least as many rows per entity, such as the raw table behind ``df``; ``df``
-    is counted only if that one holds a long entity.
+    Runs the count per entity and slot when called, which evaluates ``df`` once.
+    ``bound`` may name a cheaper table that has at least as many rows per entity, such as
+    the raw table behind ``df``; ``df`` is counted only if that one holds a long entity.
     """
     places = None
     if bound is None or _longest(bound, spec) > chunk_rows:
@@ -69,18 +69,24 @@ def _chunk_places(df: DataFrame, spec: PanelSpec, history: int, lookahead: int,
     more than ``chunk_rows`` rows, or None if there are none."""
     if chunk_rows <= history + lookahead:
         raise ValueError("chunk_rows must exceed the rows a frame can reach")
-    if _longest(df, spec) <= chunk_rows:
-        return None
-    long_entities = broadcast_if_small(
-        _sizes(df, spec).filter(F.col("n") > chunk_rows).select(spec.entity))
+    long_entities = None
     for micros in _slot_widths(spec.step_seconds):
         slot = F.floor(epoch_micros(df, spec.time) / F.lit(micros)).cast("long")
-        counts = (
-            df.select(spec.entity, slot.alias(_SLOT)).filter(F.col(_SLOT).isNotNull())
-            .groupBy(spec.entity, _SLOT).agg(F.count("*").alias("n"))
-            .join(long_entities, spec.entity, "left_semi"))
+        known = df.filter(F.col(spec.entity).isNotNull())
+        counts = known.groupBy(spec.entity, slot.alias(_SLOT)).agg(F.count("*").alias("n"))
+        if long_entities is not None:
+            counts = counts.join(long_entities, spec.entity, "left_semi")
+        counts = written(counts, "slots")
+        if long_entities is None:
+            sizes = counts.groupBy(spec.entity).agg(F.sum("n").alias("n"))
+            long_entities = sizes.filter(F.col("n") > chunk_rows).select(spec.entity)
+            if long_entities.isEmpty():
+                return None
+            long_entities = broadcast_if_small(written(long_entities, "long-series"))
+            counts = counts.join(long_entities, spec.entity, "left_semi")
+        counts = counts.filter(F.col(_SLOT).isNotNull())
         found = counts.agg(F.count("*").alias("slots"), F.max("n").alias("fullest")).first()
-        if found["fullest"] <= max(1, chunk_rows // 4):
+        if (found["fullest"] or 0) <= max(1, chunk_rows // 4):
             break
     table = _place_slots(counts, spec, history, lookahead, chunk_rows)
     if found["slots"] <= BROADCAST_ROWS:

@@ -6,18 +6,18 @@ can be repeated alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapwise.functions.names import snake_columns
-from gapwise.operators import audit, coverage, joins, score, series
+from gapwise.operators import audit, coverage, dedup, joins, score, series
+from gapwise.operators import snapshot as snapshots
 from gapwise.operators.attribution import NotExplainable
 from gapwise.operators.models import MODEL_ORDER
 from gapwise.plans import train as training
-from gapwise.plans.build import clean_panel, clean_snapshot, feature_table
+from gapwise.plans.build import clean_panel, feature_table, flagged_snapshot, split_readings
 from gapwise.sources import bundle, sinks, tables
 from gapwise.spec import (
-    ATTRIBUTION_SAMPLE_ROWS, MIN_HISTORY_ROWS, SNAPSHOT_TIME_FORMAT, TRAIN_END, VALID_END,
-    PanelSpec)
+    MIN_HISTORY_ROWS, SNAPSHOT_TIME_FORMAT, TRAIN_END, VALID_END, PanelSpec)
 
 # Raw columns the audit looks at.
 RAW_VALUES = ("PM2.5", "PM10", "NO", "NO2", "NOx", "NH3", "CO", "SO2", "O3", "Benzene",
@@ -25,8 +25,11 @@ RAW_VALUES = ("PM2.5", "PM10", "NO", "NO2", "NOx", "NH3", "CO", "SO2", "O3", "Be
 
 
 def build(spark: SparkSession, readings: str, stations: str, snapshot: str, out: str,
-          spec: PanelSpec | None = None, gates: dict | None = None) -> None:
-    """Audit and clean the raw tables, choose stations by coverage, build features."""
+          spec: PanelSpec | None = None, gates: dict | None = None,
+          pattern: str | None = None) -> None:
+    """Audit and clean the raw tables, choose stations by coverage, build features. Rows
+    that belong to no series go to ``rejected``. ``pattern`` is the format of the
+    readings' times. Every table is written once and read back for what follows."""
     spec = spec or PanelSpec()
     tables.verify_inputs(spark, [readings, stations, snapshot])
     raw = tables.read_readings(spark, readings)
@@ -34,14 +37,25 @@ def build(spark: SparkSession, readings: str, stations: str, snapshot: str, out:
     current = tables.read_snapshot(spark, snapshot)
     sinks.write_json(audit_raw(raw, places, current), f"{out}/audit")
 
-    sinks.write_table(clean_panel(raw, places, spec), f"{out}/clean")
+    sinks.write_table(clean_panel(raw, places, spec, pattern=pattern), f"{out}/clean")
+    sinks.write_table(split_readings(raw, spec, pattern)[1], f"{out}/rejected")
     clean = tables.read_panel(spark, f"{out}/clean", spec)
-    for name, report in cleaning_log(raw, clean, spec).items():
+    rejected = spark.read.parquet(f"{out}/rejected")
+    for name, report in cleaning_log(raw, places, clean, rejected, spec, pattern).items():
         sinks.write_json(report, f"{out}/cleaning/{name}")
-    sinks.write_table(clean_snapshot(current), f"{out}/snapshot")
 
-    sinks.write_csv(coverage.coverage_report(clean, spec), f"{out}/coverage", single_file=True)
-    chosen = coverage.select_entities(coverage.coverage_report(clean, spec), **(gates or {}))
+    sinks.write_table(flagged_snapshot(current), f"{out}/snapshot_long")
+    long = spark.read.parquet(f"{out}/snapshot_long")
+    sinks.write_table(snapshots.snapshot_wide(long), f"{out}/snapshot")
+    wide = spark.read.parquet(f"{out}/snapshot")
+    for name, report in snapshot_log(current, long, wide).items():
+        sinks.write_json(report, f"{out}/snapshot_log/{name}")
+
+    sinks.write_table(coverage.coverage_report(clean, spec), f"{out}/coverage_table")
+    report = spark.read.parquet(f"{out}/coverage_table")
+    sinks.write_csv(report.orderBy(F.desc("coverage"), spec.entity), f"{out}/coverage",
+                    single_file=True)
+    chosen = coverage.select_entities(report, **(gates or {}))
     sinks.write_table(feature_table(clean, spec, chosen), f"{out}/features")
 
 
@@ -57,10 +71,16 @@ def audit_raw(readings: DataFrame, stations: DataFrame, snapshot: DataFrame) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def cleaning_log(raw: DataFrame, clean: DataFrame, spec: PanelSpec) -> dict[str, DataFrame]:
+def cleaning_log(raw: DataFrame, places: DataFrame, clean: DataFrame, rejected: DataFrame,
+                 spec: PanelSpec, pattern: str | None = None) -> dict[str, DataFrame]:
     """What cleaning did, as small tables."""
+    good, _ = split_readings(raw, spec, pattern)
     return {
-        "stages": audit.stage_counts(snake_columns(raw), spec),
+        "stages": audit.stage_counts(snake_columns(raw), spec, pattern),
+        "duplicated_keys": dedup.rows_in_duplicated_keys(good, spec.keys),
+        "station_duplicates": dedup.exact_duplicate_count(places),
+        "rejected": rejected.groupBy("reason").agg(F.count("*").alias("n_rows")),
+        "negative": clean.agg(F.count_if("negative_value_flag").alias("rows_with_negative_value")),
         "fills": audit.fill_report(clean, spec),
         "time_range": audit.time_range(clean, spec.time),
         "distinct": audit.distinct_counts(clean, [spec.entity, "city"]),
@@ -68,6 +88,23 @@ def cleaning_log(raw: DataFrame, clean: DataFrame, spec: PanelSpec) -> dict[str,
     }
 
 
+def snapshot_log(raw: DataFrame, long: DataFrame, wide: DataFrame) -> dict[str, DataFrame]:
+    """What the snapshot holds, as small tables."""
+    return {
+        "rows": raw.agg(F.count("*").alias("rows_read")).join(long.agg(
+            F.count("*").alias("rows_distinct"),
+            F.count_if(F.col("timestamp").isNull()).alias("unreadable_times"),
+            F.count_if(F.col("lat_lon_flag_invalid")).alias("rows_outside"),
+            F.count_if(F.col("pollutant_flag_impossible")).alias("rows_impossible"),
+            F.count_if(F.col("pollutant_avg").isNull()).alias("missing_averages"),
+            F.count_distinct("station").alias("n_stations"),
+            F.count_distinct("city").alias("n_cities"),
+        )).join(wide.agg(F.count("*").alias("rows_wide"))),
+        "time": snapshots.single_timestamp(long),
+        "duplicate_combinations": snapshots.duplicate_combinations(long),
+    }
+
+
 def learn(spark: SparkSession, out: str, spec: PanelSpec | None = None,
           train_end: str = TRAIN_END, valid_end: str = VALID_END, models=MODEL_ORDER,
           deep_gates: dict | None = None, forest: dict | None = None,
@@ -75,8 +112,10 @@ def learn(spark: SparkSession, out: str, spec: PanelSpec | None = None,
     """Choose the modelling stations, train and keep the best model."""
     spec = spec or PanelSpec()
     features = tables.read_panel(spark, f"{out}/features", spec)
-    report = coverage.deep_coverage(features, spec)
-    sinks.write_csv(report, f"{out}/coverage_deep", single_file=True)
+    sinks.write_table(coverage.deep_coverage(features, spec), f"{out}/coverage_deep_table")
+    report = spark.read.parquet(f"{out}/coverage_deep_table")
+    sinks.write_csv(report.orderBy(F.desc("usable_rows"), spec.entity), f"{out}/coverage_deep",
+                    single_file=True)
     picked = coverage.recommend_subset(report, spec, **(deep_gates or {}))
     ids = [r[spec.entity] for r in picked.collect()]
     done = training.train(features, _ids(spark, ids, spec), spec, train_end, valid_end, models,
@@ -87,9 +126,10 @@ def learn(spark: SparkSession, out: str, spec: PanelSpec | None = None,
 
 
 def judge(spark: SparkSession, out: str, spec: PanelSpec | None = None,
-          sample_rows: int = ATTRIBUTION_SAMPLE_ROWS) -> None:
+          sample_rows: int | None = None) -> None:
     """Error reports of the saved model on the held-out rows, and its explanation.
-    Nothing is fitted; a model without a learned function gets no explanation."""
+    Nothing is fitted; a model without a learned function gets no explanation. All held-out
+    rows are explained, or a sample of ``sample_rows``."""
     spec = spec or PanelSpec()
     forecaster, meta = bundle.load_bundle(spark, f"{out}/model"), bundle.load_metadata(
         spark, f"{out}/model")
@@ -99,7 +139,7 @@ def judge(spark: SparkSession, out: str, spec: PanelSpec | None = None,
                               dates["train_end_date"], dates["valid_end_date"])
     names = None
     if "station_name" in features.columns:
-        names = coverage.deep_coverage(features, spec).select(spec.entity, "station_name")
+        names = spark.read.parquet(f"{out}/coverage_deep_table").select(spec.entity, "station_name")
     for name, report in training.evaluate(rows, forecaster, spec, names).items():
         sinks.write_csv(report, f"{out}/evaluation/{name}", single_file=True)
     try:

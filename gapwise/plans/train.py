@@ -16,8 +16,7 @@ from gapwise.operators.models import (
     fit_boosted, fit_forest, fit_linear, training_vectors)
 from gapwise.operators.split import (
     feature_columns, modeling_set, require_all_splits, seeded_sample, with_split)
-from gapwise.spec import (
-    ATTRIBUTION_SAMPLE_ROWS, SEED, TRAIN_END, VALID_END, PanelSpec)
+from gapwise.spec import SEED, TRAIN_END, VALID_END, PanelSpec
 
 
 @dataclass
@@ -34,14 +33,15 @@ class Training:
         return self.forecasters[self.selected]
 
     def metadata(self, spec: PanelSpec, stations, train_end: str, valid_end: str) -> dict:
+        # Fixed document layout: the names of the fields.
         return {
             "target_column": spec.target, "target_horizon_hours": spec.horizon,
             "stations_used": list(stations), "n_stations": len(list(stations)),
             "split_boundaries": {"train_end_date": train_end, "valid_end_date": valid_end},
             "row_counts": self.row_counts, "n_features": len(self.best.features),
-            "missing_value_handling": "median, fitted on the training split",
+            "missing_value_handling": "nulls take the median of the training rows",
             "random_seed": SEED, "model_comparison": self.comparison,
-            "selected_model": self.selected, "selection_criterion": "lowest validation MAE",
+            "selected_model": self.selected, "selection_criterion": "smallest MAE on valid rows",
             "test_metrics_selected_model_only": self.test, **self.extra,
         }
 
@@ -131,12 +131,14 @@ def evaluate(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec,
 
 
 def explain(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec, means=None,
-            sample_rows: int = ATTRIBUTION_SAMPLE_ROWS) -> dict[str, DataFrame]:
-    """Attribution of a seeded sample: importance of all features, and the example
-    with the largest prediction in detail."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    sample = seeded_sample(rows, spec.keys, sample_rows).repartition(tasks, *spec.keys)
-    shares = attribution.attribute(sample, forecaster, means)
+            sample_rows: int | None = None) -> dict[str, DataFrame]:
+    """Attribution of all rows, or of a seeded sample of ``sample_rows``: importance of all
+    features, and the example with the largest prediction in detail. ``attributions`` is
+    persisted; the caller releases it."""
+    if sample_rows is not None:
+        tasks = rows.sparkSession.sparkContext.defaultParallelism
+        rows = seeded_sample(rows, spec.keys, sample_rows).repartition(tasks, *spec.keys)
+    shares = attribution.attribute(rows, forecaster, means, [*spec.keys, spec.target])
     shares = shares.select(*spec.keys, spec.target, PREDICTION, "base", "phi", "x").persist(
         StorageLevel.MEMORY_AND_DISK)
     example = attribution.highest_prediction(shares, spec.keys)

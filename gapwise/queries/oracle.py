@@ -185,8 +185,8 @@ ORACLES["forecast_change"] = _with(PANEL, select=f"""
 SELECT station_id, datetime, pm2_5 AS current_pm25, pm10 AS predicted_pm25,
   {_r('pm10 - pm2_5')} AS change, {_r('(pm10 - pm2_5) / nullif(pm2_5, 0) * 100')} AS change_pct,
   CASE WHEN pm10 > pm2_5 THEN 'increase' WHEN pm10 < pm2_5 THEN 'decrease'
-    ELSE 'unchanged' END AS direction
-FROM panel WHERE pm2_5 IS NOT NULL AND pm10 IS NOT NULL""")
+    WHEN pm10 = pm2_5 THEN 'unchanged' END AS direction
+FROM panel""")
 
 _USERS_JOINED = "users LEFT JOIN stations ON user_id = stations.station_id"
 ORACLES["enrich_left_join"] = _with(USERS, STATIONS, select=f"""
@@ -242,8 +242,9 @@ ORACLES["stage_counts"] = _with(
     select="""SELECT 'raw' AS stage, count(*) AS n_rows FROM raw
 UNION ALL SELECT 'exact_dedup', count(*) FROM step1
 UNION ALL SELECT 'parsed_time', count(*) FROM step2 WHERE t IS NOT NULL
+UNION ALL SELECT 'known_entity', count(*) FROM step2 WHERE t IS NOT NULL AND station_id IS NOT NULL
 UNION ALL SELECT 'first_of_key', count(*) FROM
-  (SELECT DISTINCT station_id, t FROM step2 WHERE t IS NOT NULL)""")
+  (SELECT DISTINCT station_id, t FROM step2 WHERE t IS NOT NULL AND station_id IS NOT NULL)""")
 
 _TO_COVERAGE = (PANEL, STATIONS, FILLED, COVERAGE)
 ORACLES["coverage_report"] = _with(*_TO_COVERAGE, select=f"""
@@ -375,3 +376,86 @@ SELECT station_id, datetime, CAST(rank AS INTEGER) AS rank, feature, {_r('phi')}
   CASE WHEN phi > 0 THEN 'increases' WHEN phi < 0 THEN 'decreases' ELSE 'neutral' END AS direction
 FROM (SELECT *, row_number() OVER (PARTITION BY station_id, datetime
   ORDER BY abs(phi) DESC, feature) AS rank FROM long) WHERE rank <= 2""")
+
+_IDS = "country, state, city, station, timestamp, latitude, longitude"
+ORACLES["snapshot_repeated_rows"] = f"""
+WITH snap AS (SELECT 'IN' AS country, CAST(NULL AS VARCHAR) AS state,
+    CASE WHEN user_id % 2 = 0 THEN 'even' END AS city, 'U' || user_id % 50 AS station,
+    CAST(date_trunc('day', ts) AS TIMESTAMP) AS timestamp, 20.0::DOUBLE AS latitude,
+    80.0::DOUBLE AS longitude, {_POLLUTANT} AS pollutant_id, value - 1.0::DOUBLE AS pollutant_min,
+    value AS pollutant_max, CASE WHEN event_id % 3 > 0 THEN value END AS pollutant_avg FROM events),
+once AS (SELECT {_IDS}, pollutant_id, pollutant_avg, {_IMPOSSIBLE} AS bad FROM snap
+  QUALIFY row_number() OVER (PARTITION BY {_IDS}, pollutant_id
+    ORDER BY pollutant_avg NULLS LAST, pollutant_min, pollutant_max) = 1)
+SELECT {_IDS}, """ + _list(
+    f"""{_r(f"max(pollutant_avg) FILTER (WHERE pollutant_id = '{p}')")} AS "{p}\""""
+    for p in sorted(SNAPSHOT_NAMES.values())) + """,
+  bool_or(bad) AS pollutant_flag_impossible FROM once GROUP BY ALL"""
+ORACLES["snapshot_is_one_time"] = """
+SELECT true AS is_single, TIMESTAMP '2024-01-05 00:00:00' AS timestamp_value"""
+
+_READINGS = f"""readings AS (SELECT
+  CASE WHEN user_id % 7 > 0 THEN user_id // {USERS_PER_STATION} END AS station_id,
+  CASE event_type WHEN 'error' THEN props WHEN 'signup' THEN '2024-01'
+    ELSE strftime(ts, '%Y-%m-%d %H:00:00') END AS datetime,
+  CASE WHEN event_type != 'click' THEN value - 20.0::DOUBLE END AS pm2_5 FROM events)"""
+_TIME_READ = "try_strptime(datetime, '%Y-%m-%d %H:%M:%S')"
+ORACLES["clean_panel"] = _with(
+    _READINGS, STATIONS, f"""first AS (SELECT station_id, {_TIME_READ} AS datetime, pm2_5
+  FROM readings WHERE station_id IS NOT NULL AND {_TIME_READ} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY station_id, {_TIME_READ}
+    ORDER BY pm2_5 NULLS LAST) = 1)""",
+    select=f"""SELECT station_id, datetime, {_r('last_value(pm2_5 IGNORE NULLS) OVER f')} AS pm2_5,
+  coalesce(pm2_5 < 0, false) AS negative_value_flag, station_name, city, state,
+  pm2_5 IS NULL AND last_value(pm2_5 IGNORE NULLS) OVER f IS NOT NULL AS pm2_5_was_filled
+FROM first LEFT JOIN stations USING (station_id)
+WINDOW f AS (PARTITION BY station_id ORDER BY datetime
+  ROWS BETWEEN {SPEC.fill_limit} PRECEDING AND CURRENT ROW)""")
+ORACLES["rejected_rows"] = _with(_READINGS, select=f"""
+SELECT CAST(station_id AS VARCHAR) AS station_id, datetime, pm2_5,
+  CASE WHEN {_TIME_READ} IS NULL THEN 'unreadable_time'
+  ELSE 'null_entity' END AS reason
+FROM readings WHERE station_id IS NULL OR {_TIME_READ} IS NULL""")
+
+ORACLES["seeded_sample"] = """
+SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000"""
+
+
+def _reports(*models: str) -> str:
+    return _with(*_TO_MODELING, select="\nUNION ALL\n".join(
+        f"SELECT '{m}' AS model, split, count(*) AS n_rows, true AS mae_as_reported, "
+        f"count(*) AS n_reported FROM modeling WHERE split != 'test' GROUP BY split"
+        for m in models))
+
+
+ORACLES["linear_model"] = _reports("persistence_baseline", "linear_regression")
+ORACLES["random_forest"] = _reports("persistence_baseline", "random_forest")
+ORACLES["boosted_trees"] = _reports("persistence_baseline", "boosted_trees")
+ORACLES["test_winner"] = _with(*_TO_MODELING, select="""
+SELECT 4::BIGINT AS n_models, true AS smallest_valid_error, count(*) AS n_rows,
+  true AS mae_as_reported FROM modeling WHERE split = 'test'""")
+_TEST_KEYS = f"station_id, datetime, {SPEC.target}"
+ORACLES["batch_score"] = _with(*_TO_MODELING, select=f"""
+SELECT {_TEST_KEYS}, true AS residual_fits FROM modeling WHERE split = 'test'""")
+ORACLES["save_load_roundtrip"] = _with(*_TO_MODELING, select="""
+SELECT station_id, datetime, true AS same FROM modeling WHERE split = 'test'""")
+ORACLES["tree_attribution"] = ORACLES["model_attribution"] = _with(*_TO_MODELING, select=f"""
+SELECT {_TEST_KEYS}, {len(FEATURE_NAMES)}::BIGINT AS n_features, true AS adds_up
+FROM modeling WHERE split = 'test'""")
+ORACLES["model_importance"] = "\nUNION ALL\n".join(
+    f"SELECT '{f}' AS feature, true AS has_share" for f in FEATURE_NAMES)
+ORACLES["model_top_contributions"] = _with(*_TO_MODELING, select="""
+SELECT station_id, datetime, 5::BIGINT AS n_shares, 5::BIGINT AS n_features, true AS in_order
+FROM modeling WHERE split = 'test'""")
+ORACLES["score_model"] = _with(PANEL, FILLED, STATIONS, select="""
+SELECT CAST(station_id AS VARCHAR) AS station, coalesce(city, 'Unknown') AS city,
+  pm2_5 AS current_pm25, datetime AS current_timestamp, 'linear_regression' AS model,
+  true AS not_negative
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY datetime DESC) AS newest,
+    count(*) OVER (PARTITION BY station_id) AS history FROM filled)
+  LEFT JOIN stations USING (station_id)
+WHERE newest = 1 AND history >= 30""")
+ORACLES["score_one_station"] = f"""
+SELECT * FROM ({ORACLES['score_latest']})
+WHERE station = (SELECT CAST(station_id AS VARCHAR) FROM ({ORACLES['recommend_subset']})
+  ORDER BY usable_rows DESC, station_id LIMIT 1)"""

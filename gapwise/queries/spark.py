@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,22 +17,21 @@ from gapwise.operators import attribution as attr
 from gapwise.operators import audit, coverage, dedup, joins, metrics, series, snapshot, split
 from gapwise.operators.impute import impute, median_table
 from gapwise.operators.models import (
-    BOOSTED, FOREST, LINEAR, PERSISTENCE, PREDICTION, Forecaster)
-from gapwise.operators.score import score_latest as score_newest
+    BOOSTED, FOREST, LINEAR, MODEL_ORDER, PERSISTENCE, PREDICTION, Forecaster)
+from gapwise.operators.score import score_latest as score_newest, score_station
 from gapwise.plans import train as training
+from gapwise.plans.build import clean_panel, split_readings
 from gapwise.plans.chunks import over_series
 from gapwise.queries.adapters import (
-    DEEP_GATES, GATES, LONG_HISTORY, RAW_NAMES, SPEC, TRAIN_END, USER_SPEC, VALID_END,
-    features, filled, fitted_medians, labelled, modeling_rows, parsed_snapshot, raw_rows, readings,
-    recommended_ids, rounded, snapshot_long, stations, table, user_readings)
+    DEEP_GATES, GATES, LONG_HISTORY, RAW_NAMES, SNAPSHOT_NAMES, SPEC, TRAIN_END, USER_SPEC,
+    VALID_END, features, filled, fitted_medians, labelled, modeling_rows, parsed_snapshot, raw_rows,
+    readings, recommended_ids, rounded, snapshot_long, station_of, stations, table, user_readings)
 from gapwise.session import shared_dir
 from gapwise.sources.bundle import load_bundle, save_bundle
 
 QUERIES = {}
 KEYS = SPEC.keys
 EXPLAINED = ("pm2_5", "pm2_5_lag_1h", "pm2_5_roll_mean_3h")
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 8}
-SMALL_BOOST = {"maxIter": 30, "maxDepth": 4}
 
 
 def query(fn):
@@ -114,8 +114,7 @@ def aqi_category_query(spark, sf_dir):
 def forecast_change(spark, sf_dir):
     rows = readings(spark, sf_dir).select(
         *KEYS, F.col("pm2_5").alias("current_pm25"), F.col("pm10").alias("predicted_pm25"))
-    both = rows.filter(F.col("current_pm25").isNotNull() & F.col("predicted_pm25").isNotNull())
-    return rounded(add_forecast_change(both))
+    return rounded(add_forecast_change(rows))
 
 
 # Joins ---------------------------------------------------------------------------
@@ -251,7 +250,56 @@ def snapshot_is_single(spark, sf_dir):
 @query
 def snapshot_wide(spark, sf_dir):
     flagged = add_impossible_flag(add_geo_flag(parsed_snapshot(spark, sf_dir)))
-    return rounded(snapshot.snapshot_wide(flagged, ["CO", "NO2", "PM10", "PM2.5", "SO2"]))
+    return rounded(snapshot.snapshot_wide(flagged))
+
+
+@query
+def snapshot_repeated_rows(spark, sf_dir):
+    """Every event a row: several rows per place and quantity, some places without a city."""
+    e = table(spark, sf_dir, "events")
+    names = F.create_map(*[F.lit(x) for kv in SNAPSHOT_NAMES.items() for x in kv])
+    value = F.col("value")
+    rows = e.select(
+        F.lit("IN").alias("country"), F.lit(None).cast("string").alias("state"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("even")).alias("city"),
+        F.concat(F.lit("U"), (F.col("user_id") % 50).cast("string")).alias("station"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("timestamp"),
+        F.lit(20.0).alias("latitude"), F.lit(80.0).alias("longitude"),
+        names[F.col("event_type")].alias("pollutant_id"), (value - 1.0).alias("pollutant_min"),
+        value.alias("pollutant_max"),
+        F.when(F.col("event_id") % 3 > 0, value).alias("pollutant_avg"))
+    return rounded(snapshot.snapshot_wide(add_impossible_flag(rows)))
+
+
+@query
+def snapshot_is_one_time(spark, sf_dir):
+    one = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_id") % 2 == 0, F.lit("2024-01-05 00:00:00")).cast(
+            "timestamp_ntz").alias("timestamp"))
+    return snapshot.single_timestamp(one)
+
+
+# Cleaning ------------------------------------------------------------------------
+
+def _raw_readings(spark, sf_dir) -> DataFrame:
+    """Readings as files have them: unreadable times, rows without a station, repeated keys."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 7 > 0, station_of()).alias("StationId"),
+        F.when(kind == "error", F.col("props")).when(kind == "signup", F.lit("2024-01")).otherwise(
+            F.date_format("ts", "yyyy-MM-dd HH:00:00")).alias("Datetime"),
+        F.when(kind != "click", F.col("value") - 20.0).alias("PM2.5"))
+
+
+@query
+def clean_panel_query(spark, sf_dir):
+    return rounded(clean_panel(_raw_readings(spark, sf_dir), stations(spark, sf_dir), SPEC))
+
+
+@query
+def rejected_rows(spark, sf_dir):
+    return split_readings(_raw_readings(spark, sf_dir), SPEC)[1].withColumn(
+        "station_id", F.col("station_id").cast("string"))
 
 
 # Series --------------------------------------------------------------------------
@@ -446,8 +494,8 @@ def select_model(spark, sf_dir):
 def score_latest(spark, sf_dir):
     medians = fitted_medians(modeling_rows(spark, sf_dir, ["pm2_5"]), ["pm2_5"])
     model = Forecaster(PERSISTENCE, ("pm2_5",), medians)
-    panel = joins.enrich(filled(spark, sf_dir), stations(spark, sf_dir), "station_id")
-    return rounded(score_newest(panel, model, SPEC))
+    panel = joins.enrich(readings(spark, sf_dir), stations(spark, sf_dir), "station_id")
+    return rounded(score_newest(panel, model, SPEC, fill=True))
 
 
 def _line_attribution(spark, sf_dir) -> DataFrame:
@@ -485,37 +533,53 @@ def _trained(spark, sf_dir, *models) -> training.Training:
     ids = recommended_ids(spark, sf_dir)
     chosen = spark.createDataFrame([(i,) for i in ids], "station_id long")
     return training.train(features(spark, sf_dir, ids), chosen, SPEC, TRAIN_END, VALID_END,
-                          models, SMALL_FOREST, SMALL_BOOST)
+                          models)
 
 
-def _comparison(spark, trained: training.Training) -> DataFrame:
-    rows = [(c["model"], c["split"], c["mae"], c["rmse"], c["r2"], c["n_rows"])
-            for c in trained.comparison]
-    return spark.createDataFrame(
-        rows, "model string, split string, mae double, rmse double, r2 double, n_rows long")
+def _recomputed(spark, sf_dir, trained: training.Training, splits=("train", "valid")) -> DataFrame:
+    """Per model and split: rows, and whether the errors the training reports are those of
+    the fitted model's predictions, which only the model itself could tell."""
+    rows = modeling_rows(spark, sf_dir).filter(F.col("split").isin(*splits))
+    parts = []
+    for report in trained.comparison:
+        if report["split"] not in splits:
+            continue
+        own = trained.forecasters[report["model"]].predict(
+            rows.filter(F.col("split") == report["split"]), into=PREDICTION)
+        miss = F.abs(F.col(SPEC.target) - F.col(PREDICTION))
+        parts.append(own.agg(F.count("*").alias("n_rows"), F.avg(miss).alias("mae")).select(
+            F.lit(report["model"]).alias("model"), F.lit(report["split"]).alias("split"), "n_rows",
+            (F.abs(F.col("mae") - report["mae"]) < 1e-6).alias("mae_as_reported"),
+            F.lit(report["n_rows"]).cast("long").alias("n_reported")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def linear_model(spark, sf_dir):
-    return _comparison(spark, _trained(spark, sf_dir, PERSISTENCE, LINEAR))
+    return _recomputed(spark, sf_dir, _trained(spark, sf_dir, PERSISTENCE, LINEAR))
 
 
 @query
 def random_forest(spark, sf_dir):
-    return _comparison(spark, _trained(spark, sf_dir, PERSISTENCE, FOREST))
+    return _recomputed(spark, sf_dir, _trained(spark, sf_dir, PERSISTENCE, FOREST))
 
 
 @query
 def boosted_trees(spark, sf_dir):
-    return _comparison(spark, _trained(spark, sf_dir, PERSISTENCE, BOOSTED))
+    return _recomputed(spark, sf_dir, _trained(spark, sf_dir, PERSISTENCE, BOOSTED))
 
 
 @query
 def test_winner(spark, sf_dir):
-    trained = _trained(spark, sf_dir, PERSISTENCE, LINEAR)
-    return spark.createDataFrame(
-        [(trained.selected, *[trained.test[k] for k in ("mae", "rmse", "r2", "n_rows")])],
-        "model string, mae double, rmse double, r2 double, n_rows long")
+    """All four candidates; that the winner has the smallest valid error and that its test
+    error is that of its predictions."""
+    trained = _trained(spark, sf_dir, *MODEL_ORDER)
+    valid = {c["model"]: c["mae"] for c in trained.comparison if c["split"] == "valid"}
+    scored = training.batch_score(_test_rows(spark, sf_dir), trained.best, SPEC)
+    return scored.agg(F.count("*").alias("n_rows"), F.avg(F.abs("residual")).alias("mae")).select(
+        F.lit(len(valid)).cast("long").alias("n_models"),
+        F.lit(valid[trained.selected] == min(valid.values())).alias("smallest_valid_error"),
+        "n_rows", (F.abs(F.col("mae") - trained.test["mae"]) < 1e-6).alias("mae_as_reported"))
 
 
 def _test_rows(spark, sf_dir) -> DataFrame:
@@ -525,14 +589,74 @@ def _test_rows(spark, sf_dir) -> DataFrame:
 @query
 def batch_score(spark, sf_dir):
     model = _trained(spark, sf_dir, LINEAR).best
-    return training.batch_score(_test_rows(spark, sf_dir), model, SPEC)
+    scored = training.batch_score(_test_rows(spark, sf_dir), model, SPEC)
+    return scored.select(*KEYS, SPEC.target, (F.abs(
+        F.col(SPEC.target) - F.col(PREDICTION) - F.col("residual")) < 1e-9).alias("residual_fits"))
 
 
 @query
 def tree_attribution(spark, sf_dir):
     model = _trained(spark, sf_dir, FOREST).best
-    shares = attr.attribute(_test_rows(spark, sf_dir), model)
-    return attr.explanation_records(shares, model.features, KEYS, SPEC.target)
+    shares = attr.attribute(_test_rows(spark, sf_dir), model, kept=[*KEYS, SPEC.target])
+    return _adds_up(shares)
+
+
+def _adds_up(shares: DataFrame) -> DataFrame:
+    """Per row: how many features have a share, and whether base and shares make the
+    prediction."""
+    total = F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, b: a + b)
+    return shares.select(*KEYS, SPEC.target, F.size("phi").cast("long").alias("n_features"),
+                         (F.abs(total - F.col(PREDICTION)) < 1e-6).alias("adds_up"))
+
+
+def _model_shares(spark, sf_dir) -> tuple[DataFrame, tuple[str, ...]]:
+    """Attribution of the linear model over all features, for the test rows."""
+    trained = _trained(spark, sf_dir, LINEAR)
+    shares = attr.attribute(_test_rows(spark, sf_dir), trained.best,
+                            trained.extra["training_means"], [*KEYS, SPEC.target])
+    return shares, trained.best.features
+
+
+@query
+def model_attribution(spark, sf_dir):
+    return _adds_up(_model_shares(spark, sf_dir)[0])
+
+
+@query
+def model_importance(spark, sf_dir):
+    """All features with a share of their own, largest first; the shares are the model's."""
+    shares, names = _model_shares(spark, sf_dir)
+    return attr.global_importance(shares, names).select(
+        "feature", (F.col("mean_abs_shap") >= 0).alias("has_share"))
+
+
+@query
+def model_top_contributions(spark, sf_dir):
+    """Per row: that the five largest shares come in order, and differ in feature."""
+    shares, names = _model_shares(spark, sf_dir)
+    top = attr.explanation_records(shares, names, KEYS, SPEC.target)
+    sizes = F.sort_array(F.collect_list(F.struct("rank", "abs_shap_value")))["abs_shap_value"]
+    return top.groupBy(*KEYS).agg(
+        F.count("*").alias("n_shares"), F.count_distinct("feature").alias("n_features"),
+        (F.reverse(F.array_sort(sizes)) == sizes).alias("in_order"))
+
+
+@query
+def score_model(spark, sf_dir):
+    """The newest reading of every station scored by a fitted model."""
+    model = _trained(spark, sf_dir, LINEAR).best
+    panel = joins.enrich(readings(spark, sf_dir), stations(spark, sf_dir), "station_id")
+    return score_newest(panel, model, SPEC, fill=True).select(
+        "station", "city", "current_pm25", "current_timestamp", "model",
+        (F.col("predicted_pm25") >= 0).alias("not_negative"))
+
+
+@query
+def score_one_station(spark, sf_dir):
+    medians = fitted_medians(modeling_rows(spark, sf_dir, ["pm2_5"]), ["pm2_5"])
+    panel = joins.enrich(readings(spark, sf_dir), stations(spark, sf_dir), "station_id")
+    model = Forecaster(PERSISTENCE, ("pm2_5",), medians)
+    return rounded(score_station(panel, model, SPEC, recommended_ids(spark, sf_dir)[0], fill=True))
 
 
 @query
@@ -543,5 +667,4 @@ def save_load_roundtrip(spark, sf_dir):
     save_bundle(spark, model, path)
     both = load_bundle(spark, path).predict(
         model.predict(_test_rows(spark, sf_dir), into="before"), into="after")
-    return both.select(*KEYS, "before", "after",
-                       (F.abs(F.col("before") - F.col("after")) < 1e-9).alias("same"))
+    return both.select(*KEYS, (F.abs(F.col("before") - F.col("after")) < 1e-9).alias("same"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapwise.functions.coerce import coerce_numeric, parse_time_or_drop
 from gapwise.functions.names import require_columns, snake_columns
@@ -21,20 +21,20 @@ SNAPSHOT_COLUMNS = (
 )
 
 # Fixed value: text that means "no value" in a raw file.
-NO_VALUE_TEXTS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "none")
-
-
-def text_schema(columns) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+NO_VALUE_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
-def read_csv(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """A CSV file with a header, every cell as text. ``columns`` gives the layout;
-    without it the header does."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if columns is not None:
-        reader = reader.schema(text_schema(columns)).option("enforceSchema", False)
-    df = reader.csv(path)
+def read_csv(spark: SparkSession, path: str, columns=()) -> DataFrame:
+    """A CSV file with a header, every cell as text. The header names the columns, in any
+    order and number; those of ``columns`` that are there come first, the others follow.
+    Files that are read together need the same header: another one raises."""
+    df = spark.read.options(header=True, mode="PERMISSIVE", enforceSchema=False).csv(path)
+    first = [c for c in columns if c in df.columns]
+    df = df.select(*[F.col(f"`{c}`") for c in
+                     [*first, *[c for c in df.columns if c not in first]]])
     return df.select(*[
         F.when(~F.trim(F.col(f"`{c}`")).isin(*NO_VALUE_TEXTS), F.col(f"`{c}`")).alias(c)
         for c in df.columns])
@@ -59,12 +59,12 @@ def read_table(spark: SparkSession, path: str, split_camel: bool = True) -> Data
 
 
 def read_panel(spark: SparkSession, path: str, spec: PanelSpec,
-               split_camel: bool = True) -> DataFrame:
+               split_camel: bool = True, pattern: str | None = None) -> DataFrame:
     """A cleaned panel or feature table read back: keys checked, times parsed, rows
     without a time left out. Columns nobody uses are pruned by the scan."""
     df = read_table(spark, path, split_camel)
     require_columns(df, spec.keys, "panel")
-    df = coerce_numeric(parse_time_or_drop(df, spec.time), spec.values)
+    df = coerce_numeric(parse_time_or_drop(df, spec.time, pattern), spec.values)
     flags = [c for c, kind in df.dtypes
              if kind == "string" and (c.endswith("_was_filled") or c == spec.target_valid)]
     return df.withColumns({c: F.col(c).cast("boolean") for c in flags})

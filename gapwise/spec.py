@@ -14,7 +14,6 @@ POLLUTANTS = (
     "so2", "o3", "benzene", "toluene", "xylene", "aqi",
 )
 LAGGED_POLLUTANTS = ("pm2_5", "pm10", "no2", "no", "nox", "so2", "co", "o3", "nh3")
-SNAPSHOT_POLLUTANTS = ("CO", "NH3", "NO2", "OZONE", "PM10", "PM2.5", "SO2")
 SNAPSHOT_ID_COLUMNS = (
     "country", "state", "city", "station", "timestamp", "latitude", "longitude",
 )
@@ -61,7 +60,6 @@ MIN_HISTORY_ROWS = 30
 TREND_ROWS = 168
 SEED = 42
 ATTRIBUTION_SAMPLE_ROWS = 3000
-PLOT_SAMPLE_ROWS = 20000
 HISTOGRAM_BINS = 80
 TOP_FEATURES = 5
 GLOBAL_TOP_FEATURES = 20

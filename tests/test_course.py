@@ -48,6 +48,13 @@ def test_course_from_raw_files(spark, tmp_path):
     fills = {r["column"]: r for r in spark.read.json(f"{out}/cleaning/fills").collect()}
     assert len(fills) == 13 and fills["pm2_5"]["filled"] > 0
     assert spark.read.parquet(f"{out}/snapshot").count() == 1
+    assert spark.read.parquet(f"{out}/rejected").count() == 0
+    log = spark.read.json(f"{out}/snapshot_log/rows").first().asDict()
+    assert log == {"rows_read": 2, "rows_distinct": 2, "unreadable_times": 0, "rows_outside": 0,
+                   "rows_impossible": 0, "missing_averages": 1, "n_stations": 1, "n_cities": 1,
+                   "rows_wide": 1}
+    assert spark.read.json(f"{out}/snapshot_log/time").first()["is_single"]
+    assert spark.read.json(f"{out}/cleaning/duplicated_keys").first()["duplicated_keys"] == 0
 
     done = course.learn(spark, out, spec, "2019-01-15", "2019-01-22", (PERSISTENCE, LINEAR))
     assert done.selected == LINEAR

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -166,3 +167,24 @@ def test_feature_table_shuffles_once(spark, tmp_path):
     table = feature_table(spark.read.parquet(path), SPEC, fill=True)
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
+def test_chunked_windows_read_the_source_once(spark, tmp_path):
+    from gapwise.operators.series import add_lags
+    from gapwise.plans.chunks import over_series
+    from gapwise.spec import PanelSpec
+
+    spec = PanelSpec(values=("pm2_5",), lagged=("pm2_5",))
+    spark.range(400).selectExpr(
+        "id % 2 as station_id", "timestampadd(HOUR, id, timestamp_ntz'2020-01-01') as datetime",
+        "cast(id as double) as pm2_5").write.parquet(str(tmp_path / "source"))
+    df = spark.read.parquet(str(tmp_path / "source"))
+
+    def lags(d, by):
+        return add_lags(d, spec, by=by)
+
+    whole = over_series(df, spec, lags, spec.feature_history)
+    cut = over_series(df, spec, lags, spec.feature_history, chunk_rows=60)
+    assert sorted(cut.collect()) == sorted(whole.select(*cut.columns).collect())
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[station_id#\d+L,datetime#", plan)) == 1

@@ -7,8 +7,11 @@ import pandas as pd
 import pytest
 from panels import SPEC, random_panel, to_pandas, to_spark
 
-from gapwise.operators import audit, coverage, dedup, joins, metrics, snapshot, split
-from gapwise.plans.build import clean_panel, clean_snapshot
+from pyspark.sql import functions as F
+
+from gapwise.functions.coerce import parse_time
+from gapwise.operators import audit, coverage, dedup, joins, metrics, series, snapshot, split
+from gapwise.plans.build import clean_panel, clean_snapshot, split_readings
 from gapwise.plans.sizing import broadcast_if_small
 from gapwise.sources import sinks, tables
 from gapwise.spec import PanelSpec
@@ -68,10 +71,17 @@ def test_audit(spark):
 def test_stage_counts_follow_the_cleaning(spark):
     raw = spark.createDataFrame(
         [("a", "2020-01-01 00:00:00", 1.0)] * 3 + [("a", "2020-01-01 00:00:00", 2.0),
-         ("a", "bad", 1.0), ("b", "2020-01-01 00:00:00", None)],
+         ("a", "bad", 1.0), ("b", "2020-01-01 00:00:00", None),
+         (None, "2020-01-01 00:00:00", 1.0), (None, "2020-01-01 00:00:00", 2.0)],
         "station_id string, datetime string, pm2_5 double")
     assert dict(rows(audit.stage_counts(raw, SPEC))) == {
-        "raw": 6, "exact_dedup": 4, "parsed_time": 3, "first_of_key": 2}
+        "raw": 8, "exact_dedup": 6, "parsed_time": 5, "known_entity": 3, "first_of_key": 2}
+    places = spark.createDataFrame([("a", "A")], "station_id string, city string")
+    assert clean_panel(raw, places, SPEC, fill=False).count() == 2
+    good, rejected = split_readings(raw, SPEC)
+    assert good.count() == 5
+    assert sorted(r["reason"] for r in rejected.collect()) == [
+        "null_entity", "null_entity", "unreadable_time"]
 
 
 # Cleaning from raw files
@@ -280,3 +290,58 @@ def test_shuffled_rows_change_nothing(spark):
     df = to_spark(spark, pdf)
     a = coverage.coverage_report(df, SPEC).collect()
     assert a == coverage.coverage_report(to_spark(spark, pdf.sample(frac=1, random_state=1)), SPEC).collect()
+
+
+# Nothing is lost without a word
+
+def test_files_are_read_by_header(spark, tmp_path):
+    for name, lines in (
+            ("few", ["PM2.5,StationId,Datetime,Extra", "5,S1,13-01-2019 02:00,x", "n/a,S1,2019,y"]),
+            ("swapped", ["Datetime,StationId,PM10,PM2.5", "2020-01-01 00:00:00,S1,7,#N/A"])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    few = tables.read_readings(spark, str(tmp_path / "few.csv"))
+    assert few.columns == ["StationId", "Datetime", "PM2.5", "Extra"]
+    assert rows(few) == [("S1", "13-01-2019 02:00", "5", "x"), ("S1", "2019", None, "y")]
+    swapped = tables.read_readings(spark, str(tmp_path / "swapped.csv"))
+    assert rows(swapped) == [("S1", "2020-01-01 00:00:00", None, "7")]
+    places = spark.createDataFrame([("S1", "X")], "station_id string, city string")
+    clean = clean_panel(few, places, PanelSpec(), pattern="dd-MM-yyyy HH:mm")
+    assert [str(r["datetime"]) for r in clean.collect()] == ["2019-01-13 02:00:00"]
+
+
+@pytest.mark.parametrize("text", ["2019", "2019-05", "05", "2019-05-01 7", "", "10:00"])
+def test_part_of_a_time_is_no_time(spark, text):
+    df = spark.createDataFrame([(text,), ("2019-05-01T07:30",)], "t string")
+    assert [str(r[0]) for r in parse_time(df, "t").collect()] == ["None", "2019-05-01 07:30:00"]
+
+
+def test_every_pollutant_is_pivoted(spark):
+    long = snapshot_rows(spark).withColumn("pollutant_id", F.when(
+        F.col("station") == "b", "Lead").otherwise(F.col("pollutant_id")))
+    wide = clean_snapshot(long)
+    assert wide.columns[7:10] == ["CO", "Lead", "PM2.5"]
+    with pytest.raises(ValueError, match="Lead"):
+        clean_snapshot(long, ["CO", "PM2.5"])
+
+
+def test_table_report_scans_three_times(spark, tmp_path):
+    sinks.write_table(spark.range(20).selectExpr("id as k", "cast(id as string) as v", "'x' as t"),
+                      str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    report = audit.table_report(df, "t", ["k"], "t", None, ["v"], ["k"])
+    found = {(r["column"], r["measure"]): r["value"] for r in report.collect()}
+    assert found["v", "max"] == "19.0" and found["k", "n_distinct"] == "20"
+    assert found["t", "unparseable"] == "20" and found[None, "duplicate_rows"] == "0"
+    plan = report._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Scan parquet") <= 3
+
+
+def test_one_entity_reaches_the_scan(spark, tmp_path):
+    sinks.write_table(spark.range(50).selectExpr(
+        "id % 5 as station_id", "timestamp_ntz'2020-01-01 00:00:00' as datetime",
+        "cast(id as double) as pm2_5"), str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    one = series.recent_trend(df, PanelSpec(), entity="3")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(station_id,3)" in plan and one.count() == 10
+    assert series.recent_trend(df, PanelSpec(), entity="x").count() == 0
