@@ -32,6 +32,8 @@ FOREST_SETTINGS = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5}
 BOOSTED_SETTINGS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05,
                     "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 PATIENCE = 20
+# Rounds of the first, shorter fit of boosted trees.
+FIRST_ROUNDS = 50
 RIDGE = 1e-8
 
 
@@ -117,16 +119,24 @@ def fit_boosted(train: DataFrame, valid: DataFrame, seed: int = SEED,
     """Boosted trees cut back to the best number of rounds by validation MAE; returns
     the model and that number.
 
-    The shorter model is made of the first trees of the fitted one. Long fits need a
-    checkpoint folder, so that the lineage of the rounds stays short.
+    Rounds are repeatable for a seed, so a fit of few rounds tells as much as the first
+    rounds of a full one: the number of rounds doubles until ``patience`` runs out or
+    ``maxIter`` is reached. The model returned is made of the first trees of the last fit. Long
+    fits need a checkpoint folder, so that the lineage of the rounds stays short.
     """
     context = train.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(train.sparkSession))
     learner = GBTRegressor(labelCol=LABEL, seed=seed, cacheNodeIds=True,
                            **(BOOSTED_SETTINGS | settings))
-    full = learner.fit(train)
-    rounds = best_prefix(full.evaluateEachIteration(valid, "absolute"), patience)
+    tried, most = 0, learner.getMaxIter()
+    while tried < most:
+        tried = min(most, 2 * tried or FIRST_ROUNDS)
+        full = learner.copy({learner.maxIter: tried}).fit(train)
+        errors = full.evaluateEachIteration(valid, "absolute")
+        rounds = best_prefix(errors, patience)
+        if len(errors) - rounds >= patience:
+            break
     if rounds == full.getNumTrees:
         return full, rounds
     return first_rounds(full, rounds), rounds
