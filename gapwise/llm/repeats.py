@@ -32,9 +32,13 @@ from gapwise.plans.sizing import broadcast_if_small
 LENGTH = 400
 # Bytes of an anchor.
 SEED = 32
+# Bytes of text whose anchors are sought together.
+CHUNK_BYTES = 1 << 20
 # Slices that are built up together, and different slices of one anchor up to which they are.
-ROUND_SLICES = 20_000
-HOT_SLICES = 20_000
+ROUND_SLICES = 4_000
+HOT_SLICES = 4_000
+# Texts a task holds as strings.
+TEXTS_AT_ONCE = 200
 
 _ANCHORS = "doc_id long, at long, n_starts int, lead int, seed long, slice long"
 _FOUND = "doc_id long, at long, starts array<struct<a:int,b:int>>"
@@ -85,7 +89,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, seed: int
                  ) -> Iterator[pa.RecordBatch]:
-    for ids, data, offsets in chunks(batches):
+    for ids, data, offsets in chunks(batches, CHUNK_BYTES):
         doc, p, n_starts, lead, h, s = anchors(data, offsets, length, seed)
         if len(doc):
             yield pa.RecordBatch.from_arrays(
@@ -122,10 +126,8 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, lead: np.ndarray,
     low, high = int(first.min()), int(last.max())
     # one row per column: the symbol of every slice there, from 256 on where it has none
     columns = np.full((high - low, m), 256, np.int16)
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    which = np.repeat(np.arange(m), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (first - low)[which]
-    columns[place, which] = flat
+    for i, (at, body) in enumerate(zip((first - low).tolist(), bodies)):
+        columns[at:at + len(body), i] = np.frombuffer(body, np.uint8)
     order = np.arange(m)
     parts = np.full(m, high)  # column where a slice and the one before it part
     parts_at = np.zeros(m + 1, np.int64)
@@ -298,7 +300,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches
+                  for i in range(0, b.num_rows, TEXTS_AT_ONCE)):
         rows = []
         for doc_id, text, spans in zip(*(batch.column(c).to_pylist()
                                          for c in ("doc_id", "text", "spans"))):
