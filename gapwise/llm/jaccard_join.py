@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.llm.shared import components, keep, keep_rows, texts
+from gapwise.plans.sizing import broadcast_if_small
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
@@ -34,6 +35,8 @@ COMBINE_ROWS = 3_000_000
 SPARE = 1
 # Pairs whose sets a task holds at a time.
 PAIRS_AT_ONCE = 256
+# Members of a signature that are held against each other at a time.
+BLOCK_MEMBERS = 2_000
 _U = np.uint64
 
 
@@ -61,10 +64,46 @@ def _class_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         n = len(ids)
         yield pa.RecordBatch.from_pydict({
             "doc_id": ids, "n_shingles": np.bincount(of, minlength=n),
+            "sketch": _sketches(of, value, n),
             "h1": _sum_by(of, mix(value + _U(1)), n).view(np.int64),
             "h2": _sum_by(of, mix(value ^ _U(0x5851F42D4C957F2D)), n).view(np.int64)})
 
 
+def _sketches(of: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
+    """Per set, a byte for each of about half as many cells as features: their hashes' sum.
+
+    Halving the cells adds the halves, so sketches of different sizes compare. Cells that
+    differ are at most as many as the features in which two sets differ.
+    """
+    sizes = np.bincount(of, minlength=n)
+    cells = 1 << np.ceil(np.log2(np.maximum(sizes / 2, 16))).astype(np.int64)
+    base = np.cumsum(cells) - cells
+    code = mix(value ^ _U(0x8EBC6AF09C88C6E3))
+    cell = base[of] + ((code >> _U(8)) & (cells[of] - 1).astype(_U)).astype(np.int64)
+    body = _sum_by(cell, code & _U(255), int(cells.sum())).astype(np.uint8)
+    return pa.Array.from_buffers(
+        pa.binary(), n, [None, pa.py_buffer(np.append(base, len(body)).astype(np.int32)),
+                         pa.py_buffer(body)])
+
+
+def _may_be_similar(batches: Iterator[pa.RecordBatch], num: int, den: int
+                    ) -> Iterator[pa.RecordBatch]:
+    """Pairs with sketches in; out those whose sketches do not rule similarity out."""
+    def fold(x: np.ndarray, n: int) -> np.ndarray:
+        return x.reshape(-1, n).sum(axis=0, dtype=np.uint8)
+
+    for batch in batches:
+        possible = []
+        for sa, sb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))):
+            x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
+            n = min(len(x), len(y))
+            apart = int(np.count_nonzero(fold(x, n) != fold(y, n)))
+            possible.append((den + num) * apart <= (den - num) * (na + nb))
+        chosen = pa.array(possible, pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c).filter(chosen) for c in ("a", "b")], ["a", "b"])
+
+
 class Bands:
     """Bands of set sizes and the parts of each, for ``num / den`` as least similarity.
 
@@ -248,7 +287,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     rows = texts(docs, id_col, text_col)
     sets = keep(rows.mapInArrow(
-        partial(_class_rows, k=k), "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
+        partial(_class_rows, k=k),
+        "doc_id long, n_shingles long, sketch binary, h1 long, h2 long"), "sets")
     key = ["h1", "h2", "n_shingles"]
     classes = keep(sets.filter("n_shingles > 0").groupBy(*key).agg(
         F.min("doc_id").alias("rep")), "classes")
@@ -257,8 +297,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     found = rows.mapInArrow(partial(_signature_rows, k=k, num=num, den=den),
                             "sig long, a long, b long")
-    # A chunk's own pairs stay where they are; its firsts meet the other chunks' firsts.
-    met = found.repartition("sig").sortWithinPartitions("sig", F.col("b").isNotNull(), "a")
+    # The firsts of all chunks meet by signature; a chunk's own pairs are dealt out by their
+    # second document too, so that a signature of very many documents is spread.
+    met = found.repartition(F.xxhash64("sig", "b")).sortWithinPartitions("sig", F.col("b").isNotNull(), "a")
     pairs = keep(met.mapInArrow(_bucket_pairs, "sig long, a long, b long"), "bucket-pairs")
 
     def as_classes(p: DataFrame) -> DataFrame:
@@ -272,37 +313,121 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     def verified(p: DataFrame) -> DataFrame:
+        own = sets.select("doc_id", "n_shingles", "sketch")
+        p = p.join(own.withColumnsRenamed(
+            {"doc_id": "b", "n_shingles": "nb", "sketch": "sb"}), "b")
+        p = p.join(own.withColumnsRenamed(
+            {"doc_id": "a", "n_shingles": "na", "sketch": "sa"}), "a")
+        return compared(keep(p.mapInArrow(
+            partial(_may_be_similar, num=num, den=den), "a long, b long"), "close-pairs"))
+
+    def compared(p: DataFrame) -> DataFrame:
         return keep(with_texts(p, rows).mapInArrow(
             partial(_similar, k=k, num=num, den=den), "a long, b long"), "links")
 
     first = keep(as_classes(pairs.select("a", "b").distinct()), "candidates")
     links = verified(first)
     labels = components(links)
-    rest = as_classes(_open_pairs(pairs, member, labels)).join(first, ["a", "b"], "left_anti")
-    rest = keep(rest, "open-candidates")
+    label = keep(member.select("rep").distinct().join(
+        labels.withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left").select(
+        "rep", F.coalesce("label", "rep").alias("label")), "class-labels")
+    apart = _open_members(pairs, member, label)
+    own = sets.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+    rest = _open_pairs(apart.join(label, "rep").join(own, "rep"), num, den)
+    rest = keep(rest.join(first, ["a", "b"], "left_anti"), "open-candidates")
     if not rest.isEmpty():
-        labels = components(links.unionByName(verified(rest)))
+        labels = components(links.unionByName(compared(rest)))
     return member.join(labels.withColumnsRenamed({"node": "rep", "root": "top"}), "rep", "left"
                        ).select("doc_id", "n_shingles",
                                 F.coalesce("top", "rep").alias("component_id"))
 
 
-def _open_pairs(pairs: DataFrame, member: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that share a signature of three or more members but no component so far."""
-    label = member.join(labels.withColumnsRenamed({"node": "rep", "root": "top"}), "rep", "left"
-                        ).select("doc_id", F.coalesce("top", "rep").alias("label")).distinct()
-    label = keep(label, "doc-labels")
-    la = label.withColumnsRenamed({"doc_id": "a", "label": "la"})
-    lb = label.withColumnsRenamed({"doc_id": "b", "label": "lb"})
-    split = keep(pairs.join(la, "a").join(lb, "b"), "pair-labels")
-    # Signatures with members in at least two components, and more than two members.
-    open_ = keep(split.groupBy("sig").agg(
-        F.count("*").alias("n"), F.max(F.col("la") != F.col("lb")).alias("apart")).filter(
-        "apart and n > 1").select("sig"), "open")
-    own = split.join(open_, "sig", "left_semi")
-    members = keep(own.select("sig", F.col("a").alias("doc_id"), F.col("la").alias("label")).union(
-        own.select("sig", F.col("b").alias("doc_id"), F.col("lb").alias("label"))).distinct(),
-        "open-members")
-    x = members.withColumnsRenamed({"doc_id": "a", "label": "la"})
-    y = members.withColumnsRenamed({"doc_id": "b", "label": "lb"})
-    return x.join(y, "sig").filter("la < lb").select("a", "b").distinct()
+def _open_members(pairs: DataFrame, member: DataFrame, label: DataFrame) -> DataFrame:
+    """(first, rep): the classes in signatures of three or more documents whose members are
+    not all in one component, under the signature's first document."""
+    of = member.select("doc_id", "rep").distinct().join(label, "rep")
+    la = of.select(F.col("doc_id").alias("a"), F.col("label").alias("la"))
+    lb = of.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+    apart = pairs.select("a", "b").distinct().join(la, "a").join(lb, "b").filter("la <> lb")
+    apart = keep(apart.select("a", "b"), "apart")
+    sigs = pairs.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
+    own = keep(pairs.join(keep(sigs, "open"), "sig", "left_semi"), "open-pairs")
+    firsts = keep(own.groupBy("sig").agg(
+        F.min("a").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    every = own.select("sig", F.col("a").alias("doc_id")).union(
+        own.select("sig", F.col("b").alias("doc_id"))).distinct()
+    every = every.join(firsts, "sig").select("first", "doc_id").distinct()
+    return keep(every.join(member.select("doc_id", "rep").distinct(), "doc_id").select(
+        "first", "rep").distinct(), "open-members")
+
+
+def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (first, rep, label, n_shingles, sketch) of one first, with
+    different labels, that sketches do not rule out. A first of very many members is dealt
+    out in blocks, every block against every block."""
+    large = keep(members.groupBy("first").agg(F.count("*").alias("n")).filter(
+        F.col("n") > BLOCK_MEMBERS).select(
+        "first", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "large")
+    dealt = members.join(broadcast_if_small(large), "first", "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meet = F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least(j, F.col("block")).alias("p"),
+                           F.greatest(j, F.col("block")).alias("q"))))
+    dealt = dealt.withColumn("meet", meet).select(
+        "first", "meet.p", "meet.q", "block", "rep", "label", "n_shingles", "sketch")
+    return dealt.repartition("first", "p", "q").sortWithinPartitions("first", "p", "q").mapInArrow(
+        partial(_compare_blocks, num=num, den=den), "a long, b long").distinct()
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int
+                    ) -> Iterator[pa.RecordBatch]:
+    """Groups (first, p, q), sorted: members of block p against those of block q."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        key = np.stack([table[c].to_numpy() for c in ("first", "p", "q")])
+        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        for i, j in zip(edge[:-1], edge[1:]):
+            yield from _compare_group(table.slice(i, j - i), num, den)
+        held = table.slice(edge[-1]) if len(edge) else None
+    if held is not None and held.num_rows:
+        yield from _compare_group(held, num, den)
+
+
+def _compare_group(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    rep, label, size, block = (table[c].to_numpy() for c in (
+        "rep", "label", "n_shingles", "block"))
+    p, q = table["p"][0].as_py(), table["q"][0].as_py()
+    bodies = table["sketch"].to_pylist()
+    length = np.array([len(b) for b in bodies])
+    lengths = np.unique(length)
+    rows = {n: np.flatnonzero(length == n) for n in lengths.tolist()}
+    cells = {n: np.frombuffer(b"".join(bodies[i] for i in r), np.uint8).reshape(-1, n)
+             for n, r in rows.items()}
+    left, right = [], []
+    for n in rows:
+        for m in rows:
+            if m < n:
+                continue
+            other = cells[m].reshape(len(rows[m]), -1, n).sum(axis=1, dtype=np.uint8)
+            for k, i in enumerate(rows[n].tolist()):
+                j = rows[m]
+                able = (label[j] != label[i]) & (
+                    den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))
+                able &= (block[j] == q if block[i] == p else False) | (
+                    block[j] == p if block[i] == q else False)
+                at = np.flatnonzero(able)
+                if not len(at):
+                    continue
+                apart = np.count_nonzero(other[at] != cells[n][k], axis=1)
+                hit = j[at[(den + num) * apart <= (den - num) * (size[j[at]] + size[i])]]
+                left.append(np.full(len(hit), rep[i]))
+                right.append(rep[hit])
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        if both.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])

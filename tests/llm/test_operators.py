@@ -129,6 +129,7 @@ def shingle_set(text, k):
 @pytest.mark.parametrize("k,num,combine", [(4, 85, 3_000_000), (5, 80, 50), (2, 60, 200)])
 def test_jaccard_groups(docs, monkeypatch, k, num, combine):
     monkeypatch.setattr(jaccard_join, "COMBINE_ROWS", combine)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 4 if combine == 200 else 2_000)
     rows = once(jaccard_groups(docs, k, num, 100))
     sets = {i: shingle_set(t, k) for i, t in TEXTS.items()}
     root = {i: i for i in TEXTS}
@@ -148,6 +149,36 @@ def test_jaccard_groups(docs, monkeypatch, k, num, combine):
         i: (len(sets[i]), find(i)) for i in TEXTS}
 
 
+def test_near_copies_that_do_not_link(spark):
+    """Many versions of a text, some pairs similar and most not, without any star centre."""
+    rng = random.Random(8)
+    base = ["b%d" % i for i in range(120)]
+    texts = {}
+    for i in range(80):
+        own = list(texts[rng.randrange(i)].split(" ")) if i % 4 == 3 else list(base)
+        for _ in range(1 if i % 4 == 3 else 4):
+            own[rng.randrange(120)] = "x%d" % rng.randrange(10 ** 6)
+        texts[i] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_groups(df, 4, 85, 100).collect()}
+    sets = {i: shingle_set(t, 4) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in texts}
+    assert 10 < len(set(got.values())) < 70
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     random.Random(0).shuffle(edges)
