@@ -29,7 +29,7 @@ from gapwise.plans.sizing import broadcast_if_small
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
-COMBINE_ROWS = 3_000_000
+COMBINE_ROWS = 1_500_000
 # One more part than needed, so that a set with a single empty choice needs no
 # signature for it (a choice that is empty in many sets would be shared by all of them).
 SPARE = 1

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts are taken together up to this many bytes (one longer text stands alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
