@@ -18,13 +18,14 @@ from gapwise.llm.bpe import bpe_digests, bpe_round_trip
 from gapwise.llm.chains import shared_passages
 from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination
-from gapwise.llm import fm_index, jaccard_join
+from gapwise.llm import chains, fm_index, jaccard_join
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
 from gapwise.llm.repeats import repeated_spans, without_repeats
 from gapwise.llm.shared import components, drop_rows
 from gapwise.llm.token_files import read_tokens, write_tokens
 from gapwise.llm.toxicity import toxicity_scores
+from gapwise.llm.words import NOT_SPACE, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, seed long, "
@@ -336,6 +337,57 @@ def test_fuzzy_passage(spark):
     assert (got[2][0]["start_word"], got[2][0]["end_word"], got[2][0]["other_id"]) == (20, 99, 1)
 
 
+def pair_passages(x, y):
+    """Passages of two documents by all their common seeds, without any other document."""
+    data = [" ".join(t).encode() for t in (x, y)]
+    doc, _, _, hashes = words(np.frombuffer(b"".join(data), np.uint8),
+                              np.array([0, len(data[0]), len(data[0]) + len(data[1])]), NOT_SPACE)
+    of, at, value = chains.seeds(doc, hashes, 2, 5, 8, 50)
+    matches = sorted((int(q - p), int(p), int(q)) for p, u in zip(at[of == 0], value[of == 0])
+                     for q in at[of == 1][value[of == 1] == u])
+    if not matches:
+        return {1: [], 2: []}
+    n, (_, p, q) = len(matches), zip(*matches)
+    batch = chains.pa.RecordBatch.from_pydict({"a": [1] * n, "pa": p, "b": [2] * n, "pb": q})
+    found = {1: [], 2: []}
+    codes = [(hashes[doc == d] >> np.uint64(48)).astype("<u2") for d in (0, 1)]
+    for out in chains._chains(iter([batch]), 5, chains.MIN_PART):
+        whole = chains.pa.RecordBatch.from_pydict(
+            {**out.to_pydict(), "low": [0], "near": [codes[1].tobytes()],
+             "codes": [codes[0].tobytes()]})
+        for parts in chains._aligned(iter([whole]), 0.8, chains.MIN_PART):
+            for r in parts.to_pylist():
+                found[r["doc_id"]].append((r["start"], r["end"], r["other"]))
+    return {d: [s for s in chains.unite(f) if s[1] - s[0] >= 50] for d, f in found.items()}
+
+
+def test_passages_of_documents_that_are_not_first(spark, monkeypatch):
+    monkeypatch.setattr(chains, "BLOCK_SEEDS", 4, raising=False)
+    rng = random.Random(8)
+    word = lambda n: ["z%d" % rng.randrange(10 ** 6) for _ in range(n)]
+    lines = [word(15) for _ in range(12)]
+    texts = {1: sum((s + word(30) for s in lines[5::-1]), []), 10: word(30) + sum(lines, [])}
+    for i, glue in ((2, 1), (3, 2)):
+        texts[i] = word(20) + sum((s + word(glue) for s in lines[:6]), []) + word(25)
+    # the passage around the second place of a line of the first document
+    texts[4] = word(40) + lines[8] + word(60) + lines[7] + lines[8] + lines[9] + lines[10] + word(9)
+    texts[5] = word(33) + lines[7] + lines[8] + lines[9] + lines[10] + word(12)
+    for i in range(11, 40):
+        own = rng.sample(lines, rng.randint(1, 4))
+        texts[i] = sum((s + word(rng.choice([0, 0, 1, 2, 30])) for s in own), []) + word(50)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()],
+                               "doc_id long, text string").repartition(7)
+    got = by_id(shared_passages(df))
+    assert all(any(r["n_words"] >= 90 for r in got[i]) for i in (2, 3))
+    for i, x in texts.items():
+        for j, y in texts.items():
+            for own, spans in zip((i, j), pair_passages(x, y).values()) if i < j else ():
+                for a, b, _ in spans:
+                    # a word that grows by chance, and ends where no seed lies, may differ
+                    assert any(r["start_word"] - 3 <= a and b <= r["end_word"] + 3
+                               for r in got.get(own, [])), (i, j, own, a, b, got.get(own))
+
+
 PAGES = {
     1: ("http://h.example/a", "<html><body><nav>menu one</nav><article><h1>T&amp;t</h1><p>x  y"
         "</article></body></html>"), 2: (None, None), 3: ("bad\r\nurl", ""),
