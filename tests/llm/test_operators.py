@@ -18,7 +18,7 @@ from gapwise.llm.bpe import bpe_digests, bpe_round_trip
 from gapwise.llm.chains import shared_passages
 from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination
-from gapwise.llm import chains, fm_index, jaccard_join
+from gapwise.llm import chains, fm_index, jaccard_join, page_text
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
 from gapwise.llm.repeats import repeated_spans, without_repeats
@@ -435,6 +435,29 @@ def test_damaged_warc_raises(spark, pages):
         warc.read_warc(manifest).collect()
 
 
+def test_page_texts_of_a_large_host(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: " ".join("v%d" % rng.randrange(10 ** 6) for _ in range(n))
+    notice, rare, twin = word(12), word(9), word(10)
+    rows = []
+    for i in range(60):
+        body = [word(15)] + [t for t, on in ((notice, i % 7 == 0), (rare, i in (5, 33, 58)),
+                                             (twin, i in (8, 41))) if on]
+        rows.append((i, f"http://big.example/{i}", "".join(f"<p>{b}</p>" for b in body)))
+    # copies of a page are one page, and pages with an article count as well
+    rows += [(100 + i, "http://big.example/c", f"<p>{word(0)}{twin} copied page</p>") for i in range(5)]
+    rows += [(200 + i, f"http://big.example/a{i}", f"<article>x{i}</article><p>{twin}</p>{i}")
+             for i in range(2) if i]
+    rows += [(300 + i, "http://small.example/", f"<p>{notice}</p>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = {r["page_id"]: r["text"] for r in page_texts(df).collect()}
+    monkeypatch.setattr(page_text, "GROUP_PAGES", 4)
+    dealt = {r["page_id"]: r["text"] for r in page_texts(df).collect()}
+    assert dealt == whole and len(whole) == len(rows)
+    assert sum(notice in t for t in dealt.values()) == 2
+    assert not any(rare in t or twin in t for t in dealt.values())
+
+
 def test_page_texts(spark, pages):
     rows = by_id(page_texts(pages), "page_id")
     assert set(rows) == set(PAGES) and len(rows[4]) == 2
