@@ -145,6 +145,21 @@ def test_similar_sets_share_a_signature():
             assert set(sig[doc == 0]) & set(sig[doc == 1]), (len(a), len(b))
 
 
+def test_thinned_matches_make_the_same_segments():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, x, b, y = np.unique(np.stack([rng.integers(i, j, 400) for i, j in (
+            (1, 3), (0, 90), (3, 5), (0, 90))]), axis=1)
+        order = np.lexsort((x, y - x, b, a))
+        whole = chains.pa.RecordBatch.from_arrays(
+            [chains.pa.array(c[order]) for c in (a, x, b, y)], ["a", "pa", "b", "pb"])
+        got = [[t.to_pydict() for t in chains._chains(iter([m]), 5, 20)]
+               for m in (whole, chains._thinned(a, x, b, y, 5))]
+        assert got[0] == got[1]
+    x = np.arange(400)
+    assert chains._thinned(0 * x + 1, x, 0 * x + 2, x + 3, 5).num_rows < 70
+
+
 def test_chains_are_collinear():
     assert chains.chain([(0, 0, 10)], 4) == [[0]]
     assert chains.chain([(0, 0, 10), (12, 12, 10), (12, 40, 9), (30, 33, 12)], 4) == [[0, 1, 3], [2]]
