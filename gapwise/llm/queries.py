@@ -6,26 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gapwise.llm.bpe import bpe_digests
 from gapwise.llm.chains import shared_passages
+from gapwise.llm.collocations import collocations
 from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination_digests
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
+from gapwise.llm.prefix_counts import prefix_table, token_counts
 from gapwise.llm.repeats import without_repeats
+from gapwise.llm.shared import keep
 from gapwise.llm.token_files import read_tokens, write_tokens
 from gapwise.llm.toxicity import toxicity_scores
+from gapwise.llm.turn_repair import conversation_repairs, damaged
 from gapwise.llm.warc import read_warc, write_warc
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +75,20 @@ def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def turn_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversation_repairs(damaged(turns), turns)
+
+
+def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = prefix_table(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+    return token_counts(keep(table, "prefixes"), limit=4096)
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": warc,
     "op2_page_text": main_text,
@@ -81,6 +100,9 @@ QUERIES = {
     "op8_chains": chains,
     "op9_bpe": bpe_codes,
     "op10_content_sort": content_sort,
+    "op11_turn_repair": turn_repairs,
+    "op12_prefix_counts": prefix_counts,
+    "op13_collocations": phrases,
 }
 
 ORACLES = {
@@ -94,4 +116,44 @@ ORACLES = {
               FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM r""",
+    "op13_collocations": r"""
+        WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz') AS text
+                   FROM documents),
+        pieces AS (SELECT doc, lang, generate_subscripts(p, 1) AS piece, unnest(p) AS text
+                   FROM (SELECT doc, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS p FROM t)),
+        words AS (SELECT doc, lang, piece, generate_subscripts(w, 1) AS pos, unnest(w) AS w1
+                  FROM (SELECT doc, lang, piece, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM pieces)),
+        runs AS (SELECT lang, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3
+                 FROM words WINDOW s AS (PARTITION BY doc, piece ORDER BY pos)),
+        one AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+        two AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
+        three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL
+                  GROUP BY ALL HAVING count(*) >= 10),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+        inside AS (SELECT lang, w1, w2, max(f) AS most
+                   FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three)
+                   GROUP BY ALL),
+        found AS (
+            SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM two p JOIN one x ON x.lang = p.lang AND x.w1 = p.w1
+            JOIN one y ON y.lang = p.lang AND y.w1 = p.w2
+            LEFT JOIN inside i ON i.lang = p.lang AND i.w1 = p.w1 AND i.w2 = p.w2
+            WHERE p.f >= 10 AND (i.most IS NULL OR 100 * i.most < 50 * p.f)
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1
+            FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1
+            JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+            FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+            JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM found),
+        cut AS (SELECT * FROM scored
+                QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (
+                       PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM cut)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+        WHERE rank <= 2000""",
 }
