@@ -1,148 +1,136 @@
-"""Exact medians of many columns without gathering a column in one place.
-
-Each round is one aggregate over the table. A round keeps, for every column, a
-bracket around the middle ranks; approximate quantiles of the values inside the
-bracket give a bracket dozens of times narrower for the next round. Their accuracy is
-low, so that what every task sends of a column is a few hundred numbers. Where quantiles
-stop narrowing, the bracket is halved by the order of the doubles' bits, which ends after
-at most 64 halvings. Only when a bracket holds few values are they looked at one by one.
+"""Exact medians of many columns by radix selection.
+
+A pass counts, for every column, how many values fall into each bucket of the range that
+is still open: first by sign, power of two and the next five bits of a double, then by
+eleven further bits a pass. The bucket that holds the middle rank is the next range, so six
+passes at most settle every column, whatever its values; a bucket whose values are all
+equal ends the search at once, and most data need two or three passes. Counts are merged
+inside each task before they are shuffled, and a pass brings at most some thousand of them
+per column together.
+
+Buckets are told apart by arithmetic that is exact for doubles: values between two powers
+of two are multiples of one step, so their distance from the lower end and its quotient by
+a power of two have no rounding.
 """
 
 from __future__ import annotations
 
-import math
-import struct
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-ACCURACY = 200
-# Up to this many values of a column are sorted in one place at the end.
-COLLECT_VALUES = 5_000
+# Parts of a power of two in the first pass, and of a range in each later one.
+FIRST_PARTS, PARTS = 32, 2048
+# Powers of two of normal doubles; smaller ones share one range.
+_LEAST, _MOST = -1022, 1023
+_INFINITE = (_MOST - _LEAST + 2) * FIRST_PARTS
 
 
 @dataclass
 class _Search:
-    column: str
+    """The open range of a column: values from ``low`` to ``high``, ``below`` smaller ones,
+    buckets of the size of ``width`` / PARTS."""
+
     ranks: tuple[int, int] = (0, 0)
     below: int = 0
-    inside: int = 0
-    low: float = float("-inf")
-    high: float = float("inf")
-    guess: tuple[float, float] | None = None
-    stalled: bool = False
+    low: float = 0.0
+    high: float = 0.0
+    start: float = 0.0
+    width: float = 0.0
+    other: float | None = None
     median: float | None = None
-
-    def bracket(self, low, high):
-        return F.col(self.column).between(F.lit(low), F.lit(high))
-
-
-def exact_medians(df: DataFrame, columns, collect_values: int = COLLECT_VALUES,
-                  accuracy: int = ACCURACY) -> dict[str, float | None]:
-    """The median of every column (nulls ignored; mean of the two middle values for
-    an even count); None for a column without values, or whose middle values are the two
-    infinities, which have no mean."""
+    open: bool = True
+
+    def take(self, buckets) -> tuple | None:
+        """Go on with the bucket of the lower middle rank, if it has more than one value.
+        ``buckets``: (number, rows, least, largest value) in order."""
+        at = self.below
+        for i, (bucket, n, least, most) in enumerate(buckets):
+            if at + n > self.ranks[0]:
+                break
+            at += n
+        if self.ranks[1] >= at + n:
+            # The upper middle value is the next one there is.
+            self.other = buckets[i + 1][2]
+        self.below, self.low, self.high = at, least, most
+        if least == most or self.other is not None:
+            a = most
+            b = a if self.other is None else self.other
+            mean = a if a == b else a / 2 + b / 2 if abs(a) + abs(b) > 1e300 else (a + b) / 2
+            self.median, self.open = (None if mean != mean else mean), False
+        return bucket
+
+
+def _first_bucket(v: Column) -> Column:
+    """Sign, power of two and its part, in the order of the values."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(size))
+    power = F.greatest(F.least(guess, F.lit(_MOST)), F.lit(_LEAST)).cast("int")
+    # The logarithm may be off by one next to a power of two.
+    low = F.pow(F.lit(2.0), power)
+    power = F.when(size < low, power - 1).when(
+        (power < _MOST) & (size >= low * 2.0), power + 1).otherwise(power)
+    low = F.pow(F.lit(2.0), power)
+    part = F.floor((size / low - 1.0) * FIRST_PARTS)
+    place = (power - _LEAST + 1) * FIRST_PARTS + part
+    small = F.floor(size / F.lit(2.0 ** _LEAST) * FIRST_PARTS)
+    place = F.when(size < 2.0 ** _LEAST, small).when(
+        size == float("inf"), _INFINITE).otherwise(place).cast("long")
+    return F.when(v < 0, -place - 1).otherwise(place)
+
+
+def _first_range(bucket: int) -> tuple[float, float]:
+    """(start, width) of a first bucket, from its end next to zero."""
+    sign, place = (-1.0, -bucket - 1) if bucket < 0 else (1.0, bucket)
+    power, part = divmod(place, FIRST_PARTS)
+    if power == 0:
+        step = 2.0 ** (_LEAST - 5)
+        return sign * part * step, sign * step
+    low = 2.0 ** (power - 1 + _LEAST)
+    return sign * (low + part * (low / FIRST_PARTS)), sign * (low / FIRST_PARTS)
+
+
+def _counts(df: DataFrame, columns, bucket, ranges=None):
+    """Rows, least and largest value per column and bucket."""
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    rows = df.select(F.posexplode(values).alias("c", "v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    if ranges is not None:
+        for name in ("low", "high", "start", "width"):
+            bounds = F.array(*[F.lit(float(getattr(s, name))) for s in ranges])
+            rows = rows.withColumn(name, F.element_at(bounds, F.col("c") + 1))
+        rows = rows.filter("v >= low AND v <= high")
+    found = rows.select("c", "v", bucket.alias("b")).groupBy("c", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    buckets = [[] for _ in columns]
+    for c, b, n, least, most in found.collect():
+        buckets[c].append((b, n, least, most))
+    return [sorted(some) for some in buckets]
+
+
+def exact_medians(df: DataFrame, columns) -> dict[str, float | None]:
+    """The median of every column as a double (nulls and NaN ignored; mean of the two middle
+    values for an even count); None for a column without values, or whose middle values are the
+    two infinities, which have no mean."""
     columns = list(columns)
     if not columns:
         return {}
-    half = F.array(*[F.lit(p) for p in (0.5 - 2 / accuracy, 0.5 + 2 / accuracy)])
-    first = df.agg(*[
-        f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (
-            ("n", F.count),
-            ("guess", lambda c: F.percentile_approx(c, half, F.lit(accuracy))))]).first()
-    searches = []
-    for i, c in enumerate(columns):
-        s, n = _Search(c), first[f"n{i}"]
-        if n:
-            s.ranks = ((n - 1) // 2, n // 2)
-            s.inside, s.guess = n, tuple(first[f"guess{i}"])
-        searches.append(s)
-    pending = [s for s in searches if s.inside]
-    while pending:
-        for s in [s for s in pending if s.low == s.high]:
-            s.median = s.low
-        pending = [s for s in pending if s.median is None]
-        small = [s for s in pending if s.inside <= collect_values]
-        if small:
-            _finish(df, small)
-        pending = [s for s in pending if s.median is None]
-        if pending:
-            _narrow(df, pending, accuracy)
-    return {s.column: None if s.median is None or math.isnan(s.median) else s.median
-            for s in searches}
-
-
-def _bits(x: float) -> int:
-    """The place of a double in the order of all doubles."""
-    n = struct.unpack("<q", struct.pack("<d", x))[0]
-    return n if n >= 0 else -(n & 0x7FFFFFFFFFFFFFFF)
-
-
-def _halfway(low: float, high: float) -> float:
-    """The double in the middle between two, counted in doubles."""
-    n = (_bits(low) + _bits(high)) // 2
-    return struct.unpack("<d", struct.pack("<q", n if n >= 0 else -n | -0x8000000000000000))[0]
-
-
-def _finish(df: DataFrame, searches: list[_Search]) -> None:
-    """Read off the middle values of brackets that hold few values."""
-    row = df.agg(*[
-        F.sort_array(F.collect_list(F.when(s.bracket(s.low, s.high), F.col(s.column))))
-        .alias(f"v{i}") for i, s in enumerate(searches)]).first()
-    for values, s in zip(row, searches):
-        a, b = (values[r - s.below] for r in s.ranks)
-        s.median = a if a == b else (a + b) / 2
-
-
-def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Replace every bracket by the part of it (the guess, or what lies under or over
-    it) that holds both middle ranks, and guess again inside. If the two ranks lie in
-    neighbouring parts, their edges are the middle values."""
-    def measures(s: _Search, i: int):
-        low, high = s.guess
-        c = F.col(s.column)
-        ranges = {"under": (c >= F.lit(s.low)) & (c < F.lit(low)),
-                  "within": s.bracket(low, high),
-                  "over": (c > F.lit(high)) & (c <= F.lit(s.high))}
-        return [
-            f.alias(f"{name}_{kind}{i}") for name, inside in ranges.items()
-            for kind, f in (("n", F.count_if(inside)), ("min", F.min(F.when(inside, c))),
-                            ("max", F.max(F.when(inside, c))))]
-
-    row = df.agg(*[m for i, s in enumerate(searches) for m in measures(s, i)]).first()
-    for i, s in enumerate(searches):
-        parts, at = [], s.below
-        for name in ("under", "within", "over"):
-            parts.append((at, *[row[f"{name}_{kind}{i}"] for kind in ("n", "min", "max")]))
-            at += parts[-1][1]
-        held = [p for p in parts if p[1] and p[0] <= s.ranks[1] and p[0] + p[1] > s.ranks[0]]
-        if len(held) == 2:
-            s.median = (held[0][3] + held[1][2]) / 2
+    searches = [_Search() for _ in columns]
+    for s, buckets in zip(searches, _counts(df, columns, _first_bucket(F.col("v")))):
+        n = sum(b[1] for b in buckets)
+        if not n:
+            s.open = False
             continue
-        at, n, s.low, s.high = held[0]
-        s.stalled = n > s.inside // 2
-        s.below, s.inside = at, n
-    _guess(df, [s for s in searches
-                if s.median is None and s.low < s.high], accuracy)
-
-
-def _guess(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Approximate quantiles around the middle ranks inside each bracket; the double
-    halfway between its ends where quantiles stopped narrowing it."""
-    for s in [s for s in searches if s.stalled]:
-        middle = _halfway(s.low, s.high)
-        s.guess = (middle, middle)
-    searches = [s for s in searches if not s.stalled]
-    if not searches:
-        return
-
-    def around(s: _Search):
-        p = (s.ranks[0] - s.below + 0.5) / s.inside
-        return F.array(F.lit(max(0.0, p - 2 / accuracy)), F.lit(min(1.0, p + 2 / accuracy)))
-
-    row = df.agg(*[
-        F.percentile_approx(F.when(s.bracket(s.low, s.high), F.col(s.column)), around(s),
-                            F.lit(accuracy)).alias(f"g{i}")
-        for i, s in enumerate(searches)]).first()
-    for guess, s in zip(row, searches):
-        s.guess = tuple(guess)
+        s.ranks = ((n - 1) // 2, n // 2)
+        bucket = s.take(buckets)
+        if s.open:
+            s.start, s.width = _first_range(bucket)
+    # From the end next to zero, so that distances are exact on both sides of it.
+    part = F.floor((F.col("v") - F.col("start")) / F.col("width") * PARTS)
+    part = F.when(F.col("width") < 0, -part).otherwise(part).cast("long")
+    while any(s.open for s in searches):
+        going = [(c, s) for c, s in zip(columns, searches) if s.open]
+        found = _counts(df, [c for c, _ in going], part, [s for _, s in going])
+        for (_, s), buckets in zip(going, found):
+            bucket = s.take(buckets)
+            s.start, s.width = s.start + abs(bucket) * (s.width / PARTS), s.width / PARTS
+    return {c: s.median for c, s in zip(columns, searches)}

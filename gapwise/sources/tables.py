@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gapwise.functions.coerce import coerce_numeric, parse_time_or_drop
 from gapwise.functions.names import require_columns, snake_columns
@@ -27,17 +27,67 @@ NO_VALUE_TEXTS = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, columns=()) -> DataFrame:
-    """A CSV file with a header, every cell as text. The header names the columns, in any
-    order and number; those of ``columns`` that are there come first, the others follow.
-    Files that are read together need the same header: another one raises."""
-    df = spark.read.options(header=True, mode="PERMISSIVE", enforceSchema=False).csv(path)
-    first = [c for c in columns if c in df.columns]
-    df = df.select(*[F.col(f"`{c}`") for c in
-                     [*first, *[c for c in df.columns if c not in first]]])
-    return df.select(*[
-        F.when(~F.trim(F.col(f"`{c}`")).isin(*NO_VALUE_TEXTS), F.col(f"`{c}`")).alias(c)
-        for c in df.columns])
+# Columns that marked rows of a file carry beside its own: why a row is none of the table,
+# its line, and its place among the rows of all files.
+REASON, LINE = "__reason", "__line"
+FILE_ORDER = ("__file", "__block", "__row")
+_MARKS = (REASON, LINE, *FILE_ORDER)
+
+
+def marked_csv(spark: SparkSession, path: str, columns=(), multi_line: bool = False,
+               short_rows: bool = True) -> DataFrame:
+    """Every row of a CSV file with a header, each cell as text, and the marks.
+
+    Cells may be quoted by ``"``, with ``""`` for a quote inside; with ``multi_line`` quoted
+    cells may hold line ends, and a file is no longer read in pieces. The header names the
+    columns, in any order and number; those of ``columns`` that are there come first, the
+    others follow. Files that are read together need the same header: another one raises.
+
+    A row is marked, with its line, where its cells do not fit the header: ``surplus_cells``,
+    ``unclosed_quote``, or ``missing_cells`` unless ``short_rows`` takes the cells that a row
+    lacks at its end as empty. ``FILE_ORDER`` orders rows as the files have them.
+    """
+    reader = spark.read.options(header=True, quote='"', escape='"', mode="PERMISSIVE",
+                                enforceSchema=False, multiLine=multi_line)
+    names = reader.csv(path).schema.names
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, LINE]])
+    # Pruned scans would not see how many cells a row has.
+    df = reader.options(columnNameOfCorruptRecord=LINE, columnPruning=False).schema(schema).csv(path)
+    cells = F.regexp_replace(F.col(LINE), '"[^"]*"', "")
+    n_cells = F.length(cells) - F.length(F.replace(cells, F.lit(","))) + 1
+    # The scan refuses to give nothing but the line, so that a mere count needs a cell as well.
+    fits = F.col(LINE).isNull() & (F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)
+    reason = F.when(fits, None).when(
+        n_cells > len(names), "surplus_cells").when(
+        F.contains(cells, F.lit('"')), "unclosed_quote")
+    if not short_rows:
+        reason = F.when(~fits & reason.isNull(), "missing_cells").otherwise(reason)
+    first = [c for c in columns if c in names]
+    cell = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(*NO_VALUE_TEXTS), F.col(f"`{c}`")) for c in names}
+    return df.select(
+        *[cell[c].alias(c) for c in [*first, *[c for c in names if c not in first]]],
+        reason.alias(REASON), F.when(reason.isNotNull(), F.col(LINE)).alias(LINE),
+        F.col("_metadata.file_path").alias(FILE_ORDER[0]),
+        F.col("_metadata.file_block_start").alias(FILE_ORDER[1]),
+        F.monotonically_increasing_id().alias(FILE_ORDER[2]))
+
+
+def fitting_rows(marked: DataFrame, keep_order: bool = False) -> DataFrame:
+    """The rows of a marked table whose cells fit its header; with ``keep_order`` the columns
+    of their order in the files stay."""
+    dropped = (REASON, LINE) if keep_order else _MARKS
+    return marked.filter(F.col(REASON).isNull()).drop(*dropped)
+
+
+def misfit_lines(marked: DataFrame) -> DataFrame:
+    """The other rows: file, reason and line."""
+    return marked.filter(F.col(REASON).isNotNull()).select(
+        F.col(FILE_ORDER[0]).alias("file"), F.col(REASON).alias("reason"), F.col(LINE).alias("line"))
+
+
+def read_csv(spark: SparkSession, path: str, columns=(), multi_line: bool = False) -> DataFrame:
+    """The fitting rows of ``marked_csv``; ``misfit_lines`` has the others."""
+    return fitting_rows(marked_csv(spark, path, columns, multi_line))
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
