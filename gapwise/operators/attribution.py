@@ -13,11 +13,11 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gapwise.operators.models import PREDICTION, Forecaster
-from gapwise.operators.trees import leaf_tables
+from gapwise.operators.trees import leaf_files, read_leaves
 from gapwise.spec import TOP_FEATURES
 
-# Leaves a task holds at a time; larger ensembles go through in several passes.
-LEAVES_PER_PASS = 200_000
+# Leaves a task holds at a time (one larger tree stands alone).
+LEAVES_PER_FILE = 100_000
 # Cells (rows x leaves x path features) worked on at a time.
 CELLS_PER_BLOCK = 2_000_000
 
@@ -59,32 +59,29 @@ def tree_attribution(df: DataFrame, forecaster: Forecaster, kept=None) -> DataFr
     """Shapley values of a tree ensemble, with the training counts of the nodes as
     the weights of absent features (arXiv:1802.03888).
 
-    Rows are independent, so this is one narrow pass; the ensemble travels to the
-    tasks in groups of trees of a checked number of leaves.
+    Rows are independent, so this is one narrow pass, in which tasks read the leaves of the
+    ensemble from the shared folder, a bounded number at a time.
     """
-    base, groups = leaf_tables(forecaster.model, LEAVES_PER_PASS)
+    base, files = leaf_files(forecaster.model, LEAVES_PER_FILE)
     n = len(forecaster.features)
     scored = forecaster.predict(df).withColumns({
-        "base": F.lit(base), "x": F.array(*forecaster.inputs(df)),
-        "phi": F.array_repeat(F.lit(0.0), n)})
+        "base": F.lit(base), "x": F.array(*forecaster.inputs(df))})
     if kept is not None:
         # Only these columns travel through Python.
-        scored = scored.select(*kept, PREDICTION, "base", "x", "phi")
-    spark = df.sparkSession
-    for group in groups:
-        shared = spark.sparkContext.broadcast(group)
-
-        def add_shares(batches, shared=shared):
-            for rows in batches:
-                x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), n)
-                phi = np.array(rows["phi"].tolist(), dtype=float).reshape(len(rows), n)
-                for leaves in shared.value:
+        scored = scored.select(*kept, PREDICTION, "base", "x")
+
+    def add_shares(batches):
+        for rows in batches:
+            x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), n)
+            phi = np.zeros_like(x)
+            for file in files:
+                for leaves in read_leaves(file):
                     _add_leaf_shares(phi, x, *leaves)
-                rows["phi"] = pd.Series(list(phi), index=rows.index)
-                yield rows
+            rows["phi"] = pd.Series(list(phi), index=rows.index)
+            yield rows
 
-        scored = scored.mapInPandas(add_shares, _nullable(scored.schema))
-    return scored
+    schema = T.StructType([*scored.schema.fields, T.StructField("phi", T.ArrayType(T.DoubleType()))])
+    return scored.mapInPandas(add_shares, _nullable(schema))
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

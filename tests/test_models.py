@@ -68,10 +68,10 @@ def test_tree_attribution_is_exact(spark, points, kind, monkeypatch):
     else:
         model = fit_forest(train, numTrees=4, maxDepth=5)
     if kind == "tiny_groups":
-        monkeypatch.setattr(attr, "LEAVES_PER_PASS", 20)
+        monkeypatch.setattr(attr, "LEAVES_PER_FILE", 20)
     forecaster = Forecaster(kind, FEATURES, MEDIANS, model)
     got = attr.attribute(points.limit(30), forecaster).collect()
-    nodes, weights = node_table(model), np.array(model.treeWeights)
+    nodes, weights = node_table(model).orderBy("tree", "id").toPandas(), np.array(model.treeWeights)
     if kind != "boosted":
         weights = weights / weights.sum()
     for r in got:
