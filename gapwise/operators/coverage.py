@@ -9,30 +9,33 @@ from gapwise.spec import (
     MAX_MISSING_PCT, MIN_CONTINUITY_PCT, MIN_COVERAGE, MIN_RECORDS, MIN_SPAN_DAYS,
     SUBSET_SIZE, PanelSpec)
 
-_META = ("station_name", "city", "state")
+META = ("station_name", "city", "state")
 
 
 def _first_meta(df: DataFrame, spec: PanelSpec):
     """The dimension columns of each entity's earliest row, which may be null."""
-    return [F.min_by(c, spec.time).alias(c) for c in _META if c in df.columns]
+    return [F.min_by(c, spec.time).alias(c) for c in META if c in df.columns]
 
 
 def coverage_report(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Span in whole days, rows and share of rows with a value, best first.
     ``coverage_exact`` is the share before rounding."""
     measured = spec.target_of
-    span = F.timestamp_diff("DAY", F.col("first_reading"), F.col("last_reading"))
-    share = F.col("n_present") / F.col("n_records")
-    return (
+    return coverage_columns(
         df.filter(F.col(spec.entity).isNotNull())
         .groupBy(spec.entity)
         .agg(*_first_meta(df, spec),
              F.min(spec.time).alias("first_reading"), F.max(spec.time).alias("last_reading"),
-             F.count("*").alias("n_records"), F.count(measured).alias("n_present"))
-        .withColumns({"span_days": span, "coverage_exact": share,
-                      "coverage": F.round(share, 4)})
-        .orderBy(F.desc("coverage"), spec.entity)
-    )
+             F.count("*").alias("n_records"), F.count(measured).alias("n_present")), spec)
+
+
+def coverage_columns(counts: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Span and coverage of counted entities."""
+    span = F.timestamp_diff("DAY", F.col("first_reading"), F.col("last_reading"))
+    share = F.col("n_present") / F.col("n_records")
+    return counts.withColumns({"span_days": span, "coverage_exact": share,
+                               "coverage": F.round(share, 4)}
+                              ).orderBy(F.desc("coverage"), spec.entity)
 
 
 def select_entities(report: DataFrame, min_coverage: float = MIN_COVERAGE,
@@ -52,11 +55,8 @@ def usable(df: DataFrame, spec: PanelSpec):
 def deep_coverage(features: DataFrame, spec: PanelSpec) -> DataFrame:
     """Missing share, continuity on the clock and usable rows of every entity, most
     usable rows first."""
-    hours = F.floor((F.col("__last") - F.col("__first")) / F.lit(spec.step_seconds * 1_000_000))
-    missing = 100 * (1 - F.col("n_present") / F.col("n_observations"))
-    continuity = 100 * F.col("n_observations") / F.col("expected_slots")
     clock = epoch_micros(features, spec.time)
-    return (
+    return deep_columns(
         features.filter(F.col(spec.entity).isNotNull())
         .groupBy(spec.entity)
         .agg(*_first_meta(features, spec),
@@ -64,8 +64,16 @@ def deep_coverage(features: DataFrame, spec: PanelSpec) -> DataFrame:
              F.min(spec.time).alias("date_range_start"),
              F.max(spec.time).alias("date_range_end"),
              F.min(clock).alias("__first"), F.max(clock).alias("__last"),
-             F.count_if(usable(features, spec)).alias("usable_rows"))
-        .withColumn("expected_slots", (hours + 1).cast("long"))
+             F.count_if(usable(features, spec)).alias("usable_rows")), spec)
+
+
+def deep_columns(counts: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Shares of counted entities, ``__first`` and ``__last`` being their ends in microseconds."""
+    hours = F.floor((F.col("__last") - F.col("__first")) / F.lit(spec.step_seconds * 1_000_000))
+    missing = 100 * (1 - F.col("n_present") / F.col("n_observations"))
+    continuity = 100 * F.col("n_observations") / F.col("expected_slots")
+    return (
+        counts.withColumn("expected_slots", (hours + 1).cast("long"))
         .withColumns({"missing_pct": F.round(missing, 2),
                       "continuity_pct": F.round(continuity, 2)})
         .drop("__first", "__last", "n_present")

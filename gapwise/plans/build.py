@@ -14,6 +14,7 @@ from gapwise.operators.joins import enrich, keep_selected
 from gapwise.operators.series import add_lags, add_rolling_means, add_target, forward_fill
 from gapwise.operators.snapshot import snapshot_wide
 from gapwise.plans.chunks import CHUNK_ROWS, over_series
+from gapwise.plans.sizing import written
 from gapwise.spec import SNAPSHOT_TIME_FORMAT, PanelSpec
 
 
@@ -32,22 +33,26 @@ def split_readings(readings: DataFrame, spec: PanelSpec, pattern: str | None = N
 
 def clean_panel(readings: DataFrame, stations: DataFrame, spec: PanelSpec,
                 fill: bool = True, chunk_rows: int = CHUNK_ROWS,
-                pattern: str | None = None) -> DataFrame:
+                pattern: str | None = None, order=()) -> DataFrame:
     """Raw readings and stations to the cleaned panel: names, times, duplicates,
     numbers, negative flag, station columns, fill.
 
     Rows with a null entity or time belong to no series and are left out:
     ``split_readings`` returns them, ``audit.stage_counts`` counts them. ``pattern`` is the
-    format of the times; without it they are read as ISO times. Of several rows with one key the first by its
-    values stays, which removes exact duplicates in the same shuffle.
+    format of the times; without it they are read as ISO times. Of several rows with one key
+    the first in the ``order`` of the named columns stays (``tables.FILE_ORDER`` for the order of
+    files), else the first by its values; exact duplicates go in the same shuffle.
     """
     raw = snake_columns(readings)
     panel, _ = split_readings(readings, spec, pattern)
-    rest = [c for c in panel.columns if c not in spec.keys]
-    panel = keep_first(panel, spec.keys, [F.col(c).asc_nulls_last() for c in rest])
+    rest = [c for c in panel.columns if c not in (*spec.keys, *order)]
+    panel = keep_first(panel, spec.keys, [F.col(c).asc_nulls_last() for c in (*order, *rest)])
+    panel = panel.drop(*order)
     panel = add_negative_flag(coerce_numeric(panel, spec.values),
                               spec.present(panel.columns))
-    panel = enrich(panel, drop_exact_duplicates(snake_columns(stations)), spec.entity)
+    # Written, so that its size check and the join compute it once.
+    places = written(drop_exact_duplicates(snake_columns(stations)), "stations")
+    panel = enrich(panel, places, spec.entity)
     if not fill:
         return panel
     return over_series(panel, spec, lambda d, by: forward_fill(d, spec, by=by),

@@ -6,42 +6,56 @@ can be repeated alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from gapwise.functions.names import snake_columns
-from gapwise.operators import audit, coverage, dedup, joins, score, series
+from gapwise.functions.coerce import to_time
+from gapwise.functions.names import named, require_columns, snake_columns
+from gapwise.operators import audit, coverage, dedup, score, series, states
 from gapwise.operators import snapshot as snapshots
 from gapwise.operators.attribution import NotExplainable
 from gapwise.operators.models import MODEL_ORDER
 from gapwise.plans import train as training
+from gapwise.operators.states import PERIOD
 from gapwise.plans.build import clean_panel, feature_table, flagged_snapshot, split_readings
+from gapwise.plans.sizing import broadcast_if_small, written
 from gapwise.sources import bundle, sinks, tables
 from gapwise.spec import (
-    MIN_HISTORY_ROWS, SNAPSHOT_TIME_FORMAT, TRAIN_END, VALID_END, PanelSpec)
+    FILLED_SUFFIX, MIN_HISTORY_ROWS, SNAPSHOT_TIME_FORMAT, TRAIN_END, VALID_END, PanelSpec)
 
 # Raw columns the audit looks at.
 RAW_VALUES = ("PM2.5", "PM10", "NO", "NO2", "NOx", "NH3", "CO", "SO2", "O3", "Benzene",
               "Toluene", "Xylene", "AQI")
 
 
+# Why a raw row is not used.
+REASONS = ("surplus_cells", "unclosed_quote", "missing_cells", "unreadable_time", "null_entity")
+
+
 def build(spark: SparkSession, readings: str, stations: str, snapshot: str, out: str,
           spec: PanelSpec | None = None, gates: dict | None = None,
-          pattern: str | None = None) -> None:
-    """Audit and clean the raw tables, choose stations by coverage, build features. Rows
-    that belong to no series go to ``rejected``. ``pattern`` is the format of the
-    readings' times. Every table is written once and read back for what follows."""
+          pattern: str | None = None, multi_line: bool = False) -> None:
+    """Audit and clean the raw tables, choose stations by coverage, build features.
+
+    The readings are read once and kept as they are, by month, in ``readings``; rows that
+    cannot be used go to ``rejected`` with the reason. ``pattern`` is the format of their times;
+    ``multi_line`` allows line ends inside quoted cells. Every table is written once and read
+    back for what follows; panel, features and their states by month, so that
+    ``rebuild_months`` can replace some.
+    """
     spec = spec or PanelSpec()
     tables.verify_inputs(spark, [readings, stations, snapshot])
-    raw = tables.read_readings(spark, readings)
+    marked = tables.marked_csv(spark, readings, tables.READING_COLUMNS, multi_line)
+    read = stage_readings(marked, f"{out}/readings", spec, pattern)
+    staged = tables.staged_readings(spark, f"{out}/readings")
+    raw = tables.fitting_rows(staged.withColumn(tables.REASON, _misfit()))
     places = tables.read_stations(spark, stations)
     current = tables.read_snapshot(spark, snapshot)
     sinks.write_json(audit_raw(raw, places, current), f"{out}/audit")
+    sinks.write_table(staged.filter(F.col(tables.REASON).isNotNull()), f"{out}/rejected")
 
-    sinks.write_table(clean_panel(raw, places, spec, pattern=pattern), f"{out}/clean")
-    sinks.write_table(split_readings(raw, spec, pattern)[1], f"{out}/rejected")
+    told = write_clean(spark, staged, stations, out, spec, pattern)
     clean = tables.read_panel(spark, f"{out}/clean", spec)
-    rejected = spark.read.parquet(f"{out}/rejected")
-    for name, report in cleaning_log(raw, places, clean, rejected, spec, pattern).items():
+    for name, report in cleaning_log(raw, places, clean, read, told, spec, pattern).items():
         sinks.write_json(report, f"{out}/cleaning/{name}")
 
     sinks.write_table(flagged_snapshot(current), f"{out}/snapshot_long")
@@ -51,12 +65,132 @@ def build(spark: SparkSession, readings: str, stations: str, snapshot: str, out:
     for name, report in snapshot_log(current, long, wide).items():
         sinks.write_json(report, f"{out}/snapshot_log/{name}")
 
-    sinks.write_table(coverage.coverage_report(clean, spec), f"{out}/coverage_table")
+    write_states(spark, clean, f"{out}/clean_states", spec)
+    sinks.write_table(
+        states.coverage_of_states(spark.read.parquet(f"{out}/clean_states"), spec), f"{out}/coverage_table")
     report = spark.read.parquet(f"{out}/coverage_table")
     sinks.write_csv(report.orderBy(F.desc("coverage"), spec.entity), f"{out}/coverage",
                     single_file=True)
-    chosen = coverage.select_entities(report, **(gates or {}))
-    sinks.write_table(feature_table(clean, spec, chosen), f"{out}/features")
+    sinks.write_table(coverage.select_entities(report, **(gates or {})), f"{out}/selected")
+    chosen = spark.read.parquet(f"{out}/selected")
+    write_features(spark, clean, chosen, out, spec)
+
+
+def rebuild_months(spark: SparkSession, readings: str, stations: str, out: str,
+                   spec: PanelSpec | None = None, pattern: str | None = None,
+                   multi_line: bool = False) -> list[int]:
+    """Add a late file of readings to what ``build`` wrote and replace the months it touches.
+
+    The file's months are those of its readable times; also replaced are months whose fills,
+    features or targets reach into them. Only these months, and those that hold the rows which
+    windows look back or ahead to, are read; the files of all others stay untouched. The
+    stations with features stay those that were chosen. Returns the months of the new rows.
+    """
+    spec = spec or PanelSpec()
+    tables.verify_inputs(spark, [readings, stations, f"{out}/readings"])
+    marked = tables.marked_csv(spark, readings, tables.READING_COLUMNS, multi_line)
+    late = written(_placed(marked, spec, pattern), "late")
+    months = sorted(r[0] for r in late.filter(F.col(PERIOD).isNotNull()).select(PERIOD).distinct().collect())
+    late.write.mode("append").partitionBy(PERIOD).parquet(f"{out}/readings")
+    late.filter(F.col(tables.REASON).isNotNull()).drop(PERIOD).write.mode("append").parquet(f"{out}/rejected")
+    if not months:
+        return months
+
+    names = dict(zip(snake_columns(marked).columns, marked.columns))
+    touched = late.filter(F.col(PERIOD).isNotNull()).select(
+        named(names[spec.entity]).alias(spec.entity)).distinct()
+    fill, reach = spec.fill_limit, spec.feature_history
+
+    def states_of(entities=None):
+        known = spark.read.parquet(f"{out}/clean_states")
+        return known if entities is None else known.join(
+            broadcast_if_small(entities), spec.entity, "left_semi")
+
+    changed = states.reached_periods(states_of(touched), spec, months, ahead=fill)
+    read = states.reached_periods(states_of(), spec, changed, back=fill)
+    staged = tables.staged_readings(spark, f"{out}/readings", read)
+    write_clean(spark, staged, stations, out, spec, pattern, changed)
+    write_states(spark, tables.read_panel(spark, f"{out}/clean", spec, periods=changed),
+                 f"{out}/clean_states", spec, only_these=True)
+
+    wanted = states.reached_periods(
+        states_of(touched), spec, months, back=spec.horizon, ahead=reach + fill)
+    read = states.reached_periods(states_of(), spec, wanted, back=reach, ahead=spec.horizon)
+    clean = tables.read_panel(spark, f"{out}/clean", spec, periods=read)
+    write_features(spark, clean, spark.read.parquet(f"{out}/selected"), out, spec, wanted)
+    return months
+
+
+def _misfit():
+    """The reason of rows that do not fit the header; others are rows of the raw table."""
+    reason = F.col(tables.REASON)
+    return F.when(reason.isin(*REASONS[:3]), reason)
+
+
+def _placed(marked: DataFrame, spec: PanelSpec, pattern: str | None) -> DataFrame:
+    """Marked rows with the reason they are not used, if any, and their month."""
+    names = dict(zip(snake_columns(marked).columns, marked.columns))
+    require_columns(snake_columns(marked), spec.keys, "readings")
+    time = to_time(names[spec.time], marked.schema[names[spec.time]].dataType, pattern)
+    reason = F.coalesce(
+        tables.REASON, F.when(time.isNull(), "unreadable_time"),
+        F.when(named(names[spec.entity]).isNull(), "null_entity"))
+    return marked.withColumns({tables.REASON: reason, PERIOD: states.period_of(time)})
+
+
+def stage_readings(marked: DataFrame, path: str, spec: PanelSpec, pattern: str | None = None) -> dict:
+    """Write marked readings by month. Returns the rows read and rejected, counted on the way."""
+    told = Observation()
+    counts = [F.count_if(F.coalesce(F.col(tables.REASON) == r, F.lit(False))).alias(r) for r in REASONS]
+    placed = _placed(marked, spec, pattern)
+    sinks.write_periods(placed.observe(told, F.count(F.lit(1)).alias("rows_read"), *counts), path, PERIOD)
+    return told.get
+
+
+def write_clean(spark: SparkSession, staged: DataFrame, stations: str, out: str, spec: PanelSpec,
+                pattern: str | None = None, months=None) -> dict:
+    """Clean staged readings and write the panel by month, or only some months of it.
+    Returns what was counted on the way."""
+    good = tables.fitting_rows(staged, keep_order=True)
+    panel = clean_panel(good, tables.read_stations(spark, stations), spec, pattern=pattern,
+                        order=tables.FILE_ORDER)
+    panel = states.with_period(panel, spec)
+    if months is not None:
+        panel = panel.filter(F.col(PERIOD).isin(months))
+    told = Observation()
+    sinks.write_periods(panel.observe(told, *_counts(panel, spec)), f"{out}/clean", PERIOD,
+                        only_these=months is not None)
+    return told.get
+
+
+def _counts(panel: DataFrame, spec: PanelSpec) -> list:
+    """All that one pass over the cleaned panel tells, as flat aggregates."""
+    name = F.col("station_name") if "station_name" in panel.columns else F.lit(None)
+    out = [F.count(F.lit(1)).alias("n_rows"), F.count_if("negative_value_flag").alias("negative"),
+           F.min(spec.time).alias("min_time"), F.max(spec.time).alias("max_time"),
+           F.count_if(name.isNull()).alias("n_missing_metadata")]
+    for c in spec.present(panel.columns):
+        if c + FILLED_SUFFIX in panel.columns:
+            out += [F.count_if(F.col(c + FILLED_SUFFIX)).alias(f"{c}:filled"),
+                    F.count_if(F.col(c).isNull()).alias(f"{c}:missing_after")]
+    return out
+
+
+def write_states(spark: SparkSession, panel: DataFrame, path: str, spec: PanelSpec,
+                 only_these: bool = False) -> None:
+    """The states of a panel by month; a month's states are a small file."""
+    sinks.write_periods(states.period_states(panel, spec), path, PERIOD, only_these)
+
+
+def write_features(spark: SparkSession, clean: DataFrame, chosen: DataFrame, out: str,
+                   spec: PanelSpec, months=None) -> None:
+    """Features of the chosen stations by month, or only some months, and their states."""
+    table = states.with_period(feature_table(clean, spec, chosen), spec)
+    if months is not None:
+        table = table.filter(F.col(PERIOD).isin(months))
+    sinks.write_periods(table, f"{out}/features", PERIOD, only_these=months is not None)
+    features = tables.read_panel(spark, f"{out}/features", spec, periods=months)
+    write_states(spark, features, f"{out}/feature_states", spec, only_these=months is not None)
 
 
 def audit_raw(readings: DataFrame, stations: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -71,20 +205,33 @@ def audit_raw(readings: DataFrame, stations: DataFrame, snapshot: DataFrame) ->
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def cleaning_log(raw: DataFrame, places: DataFrame, clean: DataFrame, rejected: DataFrame,
+def cleaning_log(raw: DataFrame, places: DataFrame, clean: DataFrame, read: dict, told: dict,
                  spec: PanelSpec, pattern: str | None = None) -> dict[str, DataFrame]:
-    """What cleaning did, as small tables."""
+    """What cleaning did, as small tables. ``read`` and ``told`` were counted while staging
+    the readings and writing the panel."""
+    spark = raw.sparkSession
     good, _ = split_readings(raw, spec, pattern)
+    rejected = [(r, read[r]) for r in REASONS if read[r]]
+    fills = [(c, told[f"{c}:filled"] + told[f"{c}:missing_after"], told[f"{c}:filled"],
+              told[f"{c}:missing_after"])
+             for c in spec.values if f"{c}:filled" in told]
     return {
         "stages": audit.stage_counts(snake_columns(raw), spec, pattern),
         "duplicated_keys": dedup.rows_in_duplicated_keys(good, spec.keys),
         "station_duplicates": dedup.exact_duplicate_count(places),
-        "rejected": rejected.groupBy("reason").agg(F.count("*").alias("n_rows")),
-        "negative": clean.agg(F.count_if("negative_value_flag").alias("rows_with_negative_value")),
-        "fills": audit.fill_report(clean, spec),
-        "time_range": audit.time_range(clean, spec.time),
-        "distinct": audit.distinct_counts(clean, [spec.entity, "city"]),
-        "metadata": joins.missing_metadata(clean, "station_name"),
+        "rows": spark.createDataFrame([(read["rows_read"], told["n_rows"])],
+                                      "rows_read long, rows_cleaned long"),
+        "rejected": spark.createDataFrame(rejected, "reason string, n_rows long"),
+        "negative": spark.createDataFrame([(told["negative"],)], "rows_with_negative_value long"),
+        "fills": spark.createDataFrame(
+            fills, "column string, missing_before long, filled long, missing_after long"),
+        "time_range": spark.createDataFrame(
+            [(told["min_time"], told["max_time"], 0)],
+            "min_time timestamp_ntz, max_time timestamp_ntz, unparseable long"),
+        "distinct": audit.distinct_counts(
+            clean, [c for c in (spec.entity, "city") if c in clean.columns]),
+        "metadata": spark.createDataFrame(
+            [(told["n_rows"], told["n_missing_metadata"])], "n_rows long, n_missing_metadata long"),
     }
 
 
@@ -112,7 +259,8 @@ def learn(spark: SparkSession, out: str, spec: PanelSpec | None = None,
     """Choose the modelling stations, train and keep the best model."""
     spec = spec or PanelSpec()
     features = tables.read_panel(spark, f"{out}/features", spec)
-    sinks.write_table(coverage.deep_coverage(features, spec), f"{out}/coverage_deep_table")
+    known = spark.read.parquet(f"{out}/feature_states")
+    sinks.write_table(states.deep_coverage_of_states(known, spec), f"{out}/coverage_deep_table")
     report = spark.read.parquet(f"{out}/coverage_deep_table")
     sinks.write_csv(report.orderBy(F.desc("usable_rows"), spec.entity), f"{out}/coverage_deep",
                     single_file=True)
@@ -153,21 +301,36 @@ def judge(spark: SparkSession, out: str, spec: PanelSpec | None = None,
 
 def forecast(spark: SparkSession, out: str, spec: PanelSpec | None = None, station=None,
              min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
-    """Forecasts of all stations with enough history, or of one (which must have it)."""
+    """Forecasts of all stations with enough history, or of one (which must have it). Only
+    the months that hold a station's newest rows are read: its states name them."""
     spec = spec or PanelSpec()
     forecaster = bundle.load_bundle(spark, f"{out}/model")
-    clean = tables.read_panel(spark, f"{out}/clean", spec)
+    clean = newest_months(spark, out, spec, max(min_rows, spec.feature_history + 1), station)
     if station is not None:
         return score.score_station(clean, forecaster, spec, station, min_rows)
     trained_on = bundle.load_metadata(spark, f"{out}/model")["stations_used"]
     return score.score_latest(clean, forecaster, spec, min_rows=min_rows, trained_on=trained_on)
 
 
+def newest_months(spark: SparkSession, out: str, spec: PanelSpec, rows: int, station=None) -> DataFrame:
+    """The cleaned panel's months that hold the last ``rows`` rows of any station, or of one,
+    less the months of a station that lie before its own."""
+    known = spark.read.parquet(f"{out}/clean_states")
+    if station is not None:
+        known = known.filter(series.is_entity(known, spec, station))
+    wanted = written(states.newest_periods(known, spec, rows), "newest")
+    # At most as many as the calendar has months.
+    months = [r[0] for r in wanted.select(PERIOD).distinct().collect()]
+    clean = states.with_period(tables.read_panel(spark, f"{out}/clean", spec, periods=months), spec)
+    return clean.join(broadcast_if_small(wanted), [spec.entity, PERIOD], "left_semi").select(
+        *[c for c in clean.columns if c != PERIOD])
+
+
 def without_forecast(spark: SparkSession, out: str, spec: PanelSpec | None = None,
                      min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
-    """The stations ``forecast`` leaves out, with the reason."""
+    """The stations ``forecast`` leaves out, with the reason, from the states."""
     spec = spec or PanelSpec()
-    return series.short_histories(tables.read_panel(spark, f"{out}/clean", spec), spec, min_rows)
+    return states.short_entities(spark.read.parquet(f"{out}/clean_states"), spec, min_rows)
 
 
 def _ids(spark: SparkSession, ids, spec: PanelSpec) -> DataFrame:

@@ -5,13 +5,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by=()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_periods(df: DataFrame, path: str, period: str, only_these: bool = False) -> None:
+    """A table in one folder per value of the column ``period``, rows of a folder gathered in
+    few files. ``only_these`` replaces the folders that ``df`` has rows for and leaves all
+    others as they are; otherwise the table is replaced."""
+    gathered = df.hint("rebalance", F.col(f"`{period}`"))
+    gathered.write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic" if only_these else "static").partitionBy(period).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out = df.coalesce(1) if single_file else df
     out.write.mode("overwrite").option("header", True).csv(path)

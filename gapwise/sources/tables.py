@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gapwise.functions.coerce import coerce_numeric, parse_time_or_drop
 from gapwise.functions.names import require_columns, snake_columns
+from gapwise.operators.states import PERIOD
 from gapwise.spec import PanelSpec
 
 # Raw file layouts. Values are read as text and typed later, so that a
@@ -29,8 +30,8 @@ NO_VALUE_TEXTS = (
 
 # Columns that marked rows of a file carry beside its own: why a row is none of the table,
 # its line, and its place among the rows of all files.
-REASON, LINE = "__reason", "__line"
-FILE_ORDER = ("__file", "__block", "__row")
+REASON, LINE = "row_reason", "row_line"
+FILE_ORDER = ("source_file", "source_block", "source_row")
 _MARKS = (REASON, LINE, *FILE_ORDER)
 
 
@@ -85,6 +86,13 @@ def misfit_lines(marked: DataFrame) -> DataFrame:
         F.col(FILE_ORDER[0]).alias("file"), F.col(REASON).alias("reason"), F.col(LINE).alias("line"))
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """A Parquet table, as read, with the columns of ``FILE_ORDER``: file and row in it."""
+    return df.select("*", F.col("_metadata.file_path").alias(FILE_ORDER[0]),
+                     F.lit(0).cast("long").alias(FILE_ORDER[1]),
+                     F.col("_metadata.row_index").alias(FILE_ORDER[2]))
+
+
 def read_csv(spark: SparkSession, path: str, columns=(), multi_line: bool = False) -> DataFrame:
     """The fitting rows of ``marked_csv``; ``misfit_lines`` has the others."""
     return fitting_rows(marked_csv(spark, path, columns, multi_line))
@@ -94,6 +102,14 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, READING_COLUMNS)
 
 
+def staged_readings(spark: SparkSession, path: str, periods=None) -> DataFrame:
+    """Marked readings that were written by periods, all or those of some periods."""
+    df = spark.read.parquet(path)
+    if periods is not None:
+        df = df.filter(F.col(PERIOD).isin(list(periods)))
+    return df.drop(PERIOD)
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, STATION_COLUMNS)
 
@@ -109,10 +125,15 @@ def read_table(spark: SparkSession, path: str, split_camel: bool = True) -> Data
 
 
 def read_panel(spark: SparkSession, path: str, spec: PanelSpec,
-               split_camel: bool = True, pattern: str | None = None) -> DataFrame:
+               split_camel: bool = True, pattern: str | None = None,
+               periods=None) -> DataFrame:
     """A cleaned panel or feature table read back: keys checked, times parsed, rows
-    without a time left out. Columns nobody uses are pruned by the scan."""
+    without a time left out. Columns nobody uses are pruned by the scan. Of a table written
+    by periods, ``periods`` names those to read; the column of the period is left out."""
     df = read_table(spark, path, split_camel)
+    if periods is not None:
+        df = df.filter(F.col(PERIOD).isin(list(periods)))
+    df = df.drop(PERIOD)
     require_columns(df, spec.keys, "panel")
     df = coerce_numeric(parse_time_or_drop(df, spec.time, pattern), spec.values)
     flags = [c for c, kind in df.dtypes
