@@ -6,8 +6,8 @@ the shorter prefix without merging with it. One pass over a text therefore gives
 every prefix, and a stored table of counts answers how many tokens the first n characters
 have, or how many characters fit a budget, without encoding anything again.
 
-No piece joins white space to the character before it, so texts fall into segments of spaces
-and what follows them; a task works each distinct segment out once.
+Where two characters stand side by side in no piece, such as a letter and the space behind it,
+nothing is ever merged; texts are cut there, and a task works each distinct segment out once.
 """
 
 from __future__ import annotations
@@ -24,13 +24,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapwise.llm.shared import texts
 from gapwise.llm.units import gather
-from gapwise.llm.words import chunks
+from gapwise.llm.words import CHUNK_BYTES, chunks
 
 SPACE = "▁"
 # A text with every kind of white space and characters that other normalisers would change.
 _PROBE = "  ﬁ x²  \tÅ Ａ  é "
-# Distinct segments, their characters and pairs of pieces that a worker keeps.
-KEPT_SEGMENTS, KEPT_CHARS, KEPT_PAIRS = 600_000, 8_000_000, 300_000
+# Distinct segments and bytes of their counts, twice, and pairs of pieces that a worker keeps.
+KEPT_SEGMENTS, KEPT_BYTES, KEPT_PAIRS = 400_000, 24_000_000, 300_000
+
+# Segments of up to so many characters are worked out side by side.
+SHORT = 48
+# Texts are cut into segments by so many bytes, and into prefixes by CHUNK_BYTES.
+TOGETHER_BYTES = 32 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _SCHEMA = "doc_id long, n_bytes long, n_chars long, n_tokens long, deltas binary"
 
@@ -72,6 +78,29 @@ class PieceModel:
             sizes = self.sizes.setdefault(piece[-2:], [])
             if len(piece) > 1 and len(piece) not in sizes:
                 sizes.append(len(piece))
+        # Pieces by number and, for every size, the hashes of those of that size in order.
+        self.pieces = list(rest)
+        self.unknown = len(self.pieces)
+        self.space = self.pieces.index(SPACE)
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.array([len(p) for p in self.pieces])
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            codes = _codes("".join(self.pieces[i] for i in own)).reshape(-1, size)
+            value = np.zeros(len(own), np.uint64)
+            for column in codes.T:
+                value = value * _BASE + column
+            order = np.argsort(value)
+            self.hashes[size] = value[order], own[order].astype(np.int32)
+        self.number_pairs: dict[int, bool] = {}
+        # Pairs of ASCII characters that stand side by side in no piece.
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for piece in self.pieces:
+            for a, b in zip(piece.encode(), piece.encode()[1:]):
+                self.apart[a, b] = False
+        self.apart[32] = False
+        self.apart[:, 32] = [b != 32 for b in range(256)]
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.text, self.last, self.count, self.bare = "", [""], [0], [False]
@@ -180,31 +209,128 @@ class PieceModel:
         return spaces[1:] + [c + left[b] for c, b in zip(self.count[2:], self.bare[2:])]
 
 
+    def _all_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_follows`` for pairs of numbers; a left number of -1 asks whether the right one
+        stands alone. An unknown character is no part of any piece."""
+        keys, back = np.unique((left.astype(np.int64) + 1) << 20 | right, return_inverse=True)
+        known, pieces, found = self.number_pairs, self.pieces, []
+        if len(known) > KEPT_PAIRS:
+            known.clear()
+        for key in keys.tolist():
+            fits = known.get(key)
+            if fits is None:
+                a, b = (key >> 20) - 1, key & 0xFFFFF
+                if b == self.unknown:
+                    fits = True
+                elif a in (-1, self.unknown):
+                    fits = self._stands(pieces[b])
+                else:
+                    fits = self._follows(pieces[a], pieces[b])
+                known[key] = fits
+            found.append(fits)
+        return np.array(found, bool)[back]
+
+    def all_counts(self, segments: list[str]) -> list[bytes]:
+        """``counts`` of many segments, as bytes of 32-bit numbers: column by column for all
+        short ones, a segment of more than SHORT characters by itself."""
+        out = [b""] * len(segments)
+        spaces = np.array([len(s) - len(s.lstrip(" ")) for s in segments])
+        sizes = np.array([len(s) for s in segments]) - spaces + (spaces > 0)
+        short = np.flatnonzero(sizes <= SHORT)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = array("i", self.counts(segments[i])).tobytes()
+        if not len(short):
+            return out
+        # Longest first, so that those which reach a column are the first rows.
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        sizes, spaces = sizes[short], spaces[short]
+        texts_ = [(SPACE if k else "") + segments[i].lstrip(" ") for i, k in zip(short.tolist(), spaces.tolist())]
+        n, most = len(short), int(sizes[0])
+        rows = np.repeat(np.arange(n), sizes)
+        columns = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = np.zeros((most, n), np.uint64)
+        code[columns, rows] = _codes("".join(texts_))
+        hashed = np.zeros((most + 1, n), np.uint64)
+        for j in range(most):
+            hashed[j + 1] = hashed[j] * _BASE + code[j]
+        last = np.full((most + 1, n), -1, np.int32)
+        count = np.zeros((most + 1, n), np.int32)
+        bare = np.zeros((most + 1, n), bool)
+        powers = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(max(self.hashes) + 1)]
+        for end in range(1, most + 1):
+            todo = np.arange(int(np.searchsorted(-sizes, -end, "right")))
+            for size in sorted(self.hashes, reverse=True):
+                start = end - size
+                if start < 0 or not len(todo):
+                    continue
+                table, numbers = self.hashes[size]
+                value = hashed[end, todo] - hashed[start, todo] * powers[size]
+                at = np.minimum(np.searchsorted(table, value), len(table) - 1)
+                piece = np.where(table[at] == value, numbers[at], self.unknown).astype(np.int32)
+                fits = piece < self.unknown
+                if size > 1:
+                    own = np.flatnonzero(fits)
+                    fits[own] = self._all_follow(last[start, todo[own]], piece[own])
+                else:
+                    fits[:] = True
+                done, piece = todo[fits], piece[fits]
+                cost = np.ones(len(done), np.int32)
+                if size == 1:
+                    c = code[start, done]
+                    wide = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                    cost = np.where(piece == self.unknown, wide, 1).astype(np.int32)
+                last[end, done] = piece
+                count[end, done] = count[start, done] + cost
+                bare[end, done] = bare[start, done] if start else piece == self.space
+                todo = todo[~fits]
+        runs = {}
+        for j, (i, size, k) in enumerate(zip(short.tolist(), sizes.tolist(), spaces.tolist())):
+            own = count[1:size + 1, j]
+            if k > 1:
+                if k not in runs:
+                    runs[k] = np.array([self.run(m) for m in range(1, k + 1)], np.int32)
+                left = np.where(bare[2:size + 1, j], self.run(k) - 1, self.run(k - 1))
+                own = np.concatenate([runs[k], own[1:] + left.astype(np.int32)])
+            out[i] = own.tobytes()
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
 class _Segments:
-    """Counts of the distinct segments a worker has met, as bytes of 32-bit numbers."""
+    """Counts of the distinct segments a worker has met, as bytes of 32-bit numbers. When
+    they are too many, those that were not needed again are forgotten."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, bytes] = {}
-        self.chars = 0
+        self.before: dict[bytes, bytes] = {}
+        self.size = 0
 
     def of(self, segments: list[bytes]) -> list[bytes]:
-        if len(self.known) > KEPT_SEGMENTS or self.chars > KEPT_CHARS:
-            self.clear()
-        known = self.known
-        for s in sorted(s for s in segments if s not in known):
-            known[s] = array("i", self.model.counts(s.decode())).tobytes()
-            self.chars += len(s)
+        if len(self.known) > KEPT_SEGMENTS or self.size > KEPT_BYTES:
+            self.before, self.known, self.size = self.known, {}, 0
+        known, before = self.known, self.before
+        fresh = []
+        for s in segments:
+            if s not in known:
+                counts = before.get(s)
+                if counts is None:
+                    fresh.append(s)
+                else:
+                    known[s] = counts
+                    self.size += len(counts)
+        for s, counts in zip(fresh, self.model.all_counts([s.decode() for s in fresh])):
+            known[s] = counts
+            self.size += len(counts)
         return [known[s] for s in segments]
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _cuts(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> np.ndarray:
     at = np.zeros(len(data) + 1, bool)
-    space = data == 32
-    at[1:len(data)] = space[1:] & ~space[:-1]
+    at[1:len(data)] = apart[data[:-1], data[1:]]
     at[offsets] = True
     return np.flatnonzero(at)
 
@@ -215,25 +341,34 @@ def _table(batches: Iterator[pa.RecordBatch], proto: bytes, prefixes: bool
     segments = _Segments(PieceModel(proto))
     for batch in batches:
         rows = pa.RecordBatch.from_pydict({"doc_id": np.arange(batch.num_rows), "text": batch["text"]})
-        for which, data, offsets in chunks(iter([rows])):
-            own = batch.slice(int(which[0]), len(which))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": own["doc_id"], "n_bytes": own["n_bytes"],
-                **_counts(segments, data, offsets, prefixes)})
-
-
-def _counts(segments: _Segments, data: np.ndarray, offsets: np.ndarray, prefixes: bool) -> dict:
-    at = _cuts(data, offsets)
-    column = pa.Array.from_buffers(
-        pa.large_binary(), len(at) - 1,
-        [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)])
-    coded = pc.dictionary_encode(column)
-    code = coded.indices.to_numpy()
-    own = segments.of(coded.dictionary.to_pylist())
+        for which, data, offsets in chunks(iter([rows]), TOGETHER_BYTES):
+            at = _cuts(data, offsets, segments.model.apart)
+            column = pa.Array.from_buffers(
+                pa.large_binary(), len(at) - 1,
+                [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)])
+            coded = pc.dictionary_encode(column)
+            counts = segments.of(coded.dictionary.to_pylist())
+            code, first = coded.indices.to_numpy(), np.searchsorted(at, offsets)
+            del column, coded, at
+            a = 0
+            while a < len(which):
+                b = int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1
+                b = min(max(b, a + 1), len(which))
+                own = batch.slice(int(which[a]), b - a)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": own["doc_id"], "n_bytes": own["n_bytes"],
+                    **_counts(counts, code[first[a]:first[b]], first[a:b + 1] - first[a], prefixes)})
+                a = b
+
+
+def _counts(known: list[bytes], code: np.ndarray, first: np.ndarray, prefixes: bool) -> dict:
+    """Columns of some texts from their segments: the number of each, and where a text's
+    segments begin."""
+    used, code = np.unique(code, return_inverse=True)
+    own = [known[i] for i in used.tolist()]
     flat = np.frombuffer(b"".join(own), np.int32)
     sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
     total = flat[np.cumsum(sizes) - 1][code]
-    first = np.searchsorted(at, offsets)
     ends = np.concatenate([[0], np.cumsum(total)])
     chars = np.concatenate([[0], np.cumsum(sizes[code])])[first]
     columns = {
@@ -251,10 +386,10 @@ def _counts(segments: _Segments, data: np.ndarray, offsets: np.ndarray, prefixes
         sizes_out = np.concatenate([[0], np.cumsum(columns["n_chars"])]).astype(np.int64)
         body = np.ascontiguousarray(deltas[keep].astype(np.int8))
         columns["deltas"] = pa.Array.from_buffers(
-            pa.large_binary(), len(offsets) - 1,
+            pa.large_binary(), len(first) - 1,
             [None, pa.py_buffer(sizes_out), pa.py_buffer(body)]).cast(pa.binary())
     else:
-        columns["deltas"] = pa.nulls(len(offsets) - 1, pa.binary())
+        columns["deltas"] = pa.nulls(len(first) - 1, pa.binary())
     return columns
 
 
