@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import texts
+from gapwise.llm.shared import frugal, texts
 from gapwise.llm.units import PieceIds, gather
 from gapwise.llm.words import chunks
 
@@ -258,4 +258,4 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import keep, texts
+from gapwise.llm.shared import frugal, keep, texts
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 PREFIX = 24
@@ -107,7 +107,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumns({"head": F.substring("norm", 1, PREFIX), "digest": F.xxhash64("norm")})
     sorted_rows = rows.repartitionByRange("head", "digest", "doc_id").sortWithinPartitions(
         "head", "digest", "norm", F.desc("n_chars"), "doc_id")
-    found = keep(sorted_rows.select("doc_id", "n_chars", "norm").mapInArrow(_runs, _SCHEMA),
+    found = keep(sorted_rows.select("doc_id", "n_chars", "norm").mapInArrow(frugal(_runs), _SCHEMA),
                  "sorted")
     heads = keep(found.filter(F.col("edge_text").isNotNull()), "borders")
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("keep_id").alias("id"), "run"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import keep, texts
+from gapwise.llm.shared import frugal, keep, texts
 from gapwise.llm.words import ALNUM, chunks, words
 
 WINDOW = 13
@@ -267,7 +267,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Columns: doc_id, n_words, n_hit, spans (words from, to), items (sorted), contaminated.
 
     The distinct windows travel to the tasks ``WINDOWS_PER_ROUND`` at a time; a larger
-    benchmark takes several rounds over the documents, joined by document.
+    benchmark takes several rounds over the documents, joined by a hash of id and text.
     """
     rows = texts(docs, id_col, text_col)
     items = texts(benchmark, item_col, item_text_col)
@@ -277,22 +277,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     distinct = keep(distinct.withColumn(
         "round", F.pmod(F.xxhash64("words"), F.lit(1 << 20)).cast("int")), "windows")
     rounds = max(1, -(-distinct.count() // WINDOWS_PER_ROUND))
-    parts = []
+    parts, listed = [], rows
+    if rounds > 1:
+        # Rounds meet by a key of the whole row, as an id may have several texts.
+        key = F.xxhash64("doc_id", "text")
+        rows, listed = rows.select(key.alias("doc_id"), "text"), rows.select("doc_id", key.alias("key"))
     for r in range(rounds):
         own = distinct.filter(F.col("round") % rounds == r).select("items", "words").collect()
         phrases = Phrases([(x["items"], x["words"]) for x in own]) if own else None
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        parts.append(rows.mapInArrow(lambda b, p=shared: _search(b, p.value), _HITS))
+        parts.append(rows.mapInArrow(
+            frugal(lambda b, p=shared: _search(b, p.value)), _HITS))
     if rounds == 1:
         found = parts[0]
     else:
-        found = _joined(parts)
+        found = listed.join(_joined(parts).withColumnRenamed("doc_id", "key"), "key").drop("key")
     return found.withColumn(
         "contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def _joined(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the rows of several rounds (ids are taken as unique)."""
+    """One row per key from the rows of several rounds; equal rows have equal keys."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import components, keep, keep_rows, texts
+from gapwise.llm.shared import components, frugal, keep, keep_rows, texts
 from gapwise.plans.sizing import broadcast_if_small
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
@@ -287,7 +287,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     rows = texts(docs, id_col, text_col)
     sets = keep(rows.mapInArrow(
-        partial(_class_rows, k=k),
+        frugal(partial(_class_rows, k=k)),
         "doc_id long, n_shingles long, sketch binary, h1 long, h2 long"), "sets")
     key = ["h1", "h2", "n_shingles"]
     classes = keep(sets.filter("n_shingles > 0").groupBy(*key).agg(
@@ -295,12 +295,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     member = keep(sets.join(classes, key, "left").select(
         "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
-    found = rows.mapInArrow(partial(_signature_rows, k=k, num=num, den=den),
+    found = rows.mapInArrow(frugal(partial(_signature_rows, k=k, num=num, den=den)),
                             "sig long, a long, b long")
     # The firsts of all chunks meet by signature; a chunk's own pairs are dealt out by their
     # second document too, so that a signature of very many documents is spread.
     met = found.repartition(F.xxhash64("sig", "b")).sortWithinPartitions("sig", F.col("b").isNotNull(), "a")
-    pairs = keep(met.mapInArrow(_bucket_pairs, "sig long, a long, b long"), "bucket-pairs")
+    pairs = keep(met.mapInArrow(frugal(_bucket_pairs), "sig long, a long, b long"), "bucket-pairs")
 
     def as_classes(p: DataFrame) -> DataFrame:
         """Pairs of documents as distinct pairs of classes that can be similar by size."""
@@ -319,11 +319,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         p = p.join(own.withColumnsRenamed(
             {"doc_id": "a", "n_shingles": "na", "sketch": "sa"}), "a")
         return compared(keep(p.mapInArrow(
-            partial(_may_be_similar, num=num, den=den), "a long, b long"), "close-pairs"))
+            frugal(partial(_may_be_similar, num=num, den=den)), "a long, b long"), "close-pairs"))
 
     def compared(p: DataFrame) -> DataFrame:
         return keep(with_texts(p, rows).mapInArrow(
-            partial(_similar, k=k, num=num, den=den), "a long, b long"), "links")
+            frugal(partial(_similar, k=k, num=num, den=den)), "a long, b long"), "links")
 
     first = keep(as_classes(pairs.select("a", "b").distinct()), "candidates")
     links = verified(first)
@@ -378,7 +378,7 @@ def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     dealt = dealt.withColumn("meet", meet).select(
         "first", "meet.p", "meet.q", "block", "rep", "label", "n_shingles", "sketch")
     return dealt.repartition("first", "p", "q").sortWithinPartitions("first", "p", "q").mapInArrow(
-        partial(_compare_blocks, num=num, den=den), "a long, b long").distinct()
+        frugal(partial(_compare_blocks, num=num, den=den)), "a long, b long").distinct()
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int

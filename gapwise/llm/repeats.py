@@ -163,14 +163,16 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, lead: np.ndarray,
 
 
 def _ranges(which: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
-    """Runs of successive starts, by slice."""
+    """Runs of successive starts, by slice; nothing if there are no starts."""
+    if not len(which):
+        return
     order = np.lexsort((start, which))
     which, start = which[order], start[order]
     new = np.ones(len(which), bool)
     new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
     end = np.append(np.flatnonzero(new)[1:], len(which)) - 1
     own, a, b = which[new], start[new], start[end]
-    edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
+    edge = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     for i, j in zip(edge, np.append(edge, len(own))[1:]):
         yield int(own[i]), [{"a": int(x), "b": int(y)} for x, y in zip(a[i:j], b[i:j])]
 

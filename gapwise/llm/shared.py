@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapwise.llm import words
 from gapwise.plans.sizing import broadcast_if_small
 from gapwise.session import shared_dir
 
@@ -25,6 +31,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(fn: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """An Arrow function whose worker returns the memory it freed when it ends. Workers live
+    on between stages, and what one keeps for itself is missing for those beside it."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            words._powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                # Where the C library has it.
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def filesystem(uri: str):
     """The file system of a shared folder and the path in it, for use inside tasks."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -49,19 +72,35 @@ def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
-def drop_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is not in ``ids``; rows without an id, which no
-    operator can judge, go as well. ``once`` also leaves one row of an id that occurs several times."""
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``row_key`` that operators can take as the id: the doc_id, but
+    where several texts share one, only the first by hash keeps it and the others get a number
+    of their own beyond all ids. Rows without an id, which no operator can judge, go."""
     docs = docs.filter(F.col("doc_id").isNotNull())
-    gone = broadcast_if_small(keep(ids.select("doc_id").distinct(), "rejected"))
-    rows = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    shared = keep_rows(docs, again).groupBy("doc_id").agg(F.min(digest).alias("first"))
+    shared = keep(shared.withColumnRenamed("doc_id", "shared_id"), "shared-ids")
+    apart = F.lit(1 << 61) + F.shiftrightunsigned(F.xxhash64("doc_id", digest), 4)
+    key = F.when(F.col("first").isNull() | (F.col("first") == digest), F.col("doc_id").cast("long"))
+    return docs.join(broadcast_if_small(shared), F.col("doc_id") == F.col("shared_id"), "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], key.otherwise(apart).alias("row_key"))
+
+
+def drop_rows(keyed: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """Rows whose ``row_key`` is not in ``keys`` (column doc_id), without that column.
+    ``once`` also leaves one of several rows with one key, which have the same text."""
+    names = [F.col(f"`{c}`") for c in keyed.columns if c != "row_key"]
+    gone = broadcast_if_small(keep(keys.select(F.col("doc_id").alias("row_key")).distinct(), "rejected"))
+    rows = keyed.join(gone, "row_key", "left_anti")
     if not once:
-        return rows
+        return rows.select(*names)
     again = broadcast_if_small(keep(
-        docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(again, "doc_id", "left_anti").select(*names).unionByName(
-        rows.join(again, "doc_id", "left_semi").select(*names).dropDuplicates(["doc_id"]))
+        keyed.groupBy("row_key").count().filter("count > 1").select("row_key"), "again"))
+    return rows.join(again, "row_key", "left_anti").select(*names).unionByName(
+        rows.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*names))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import texts
+from gapwise.llm.shared import frugal, texts
 from gapwise.llm.words import ALNUM, _FOLDED_VALUES, chunks, prefix_hashes, span_hash, words
 
 # Identity terms by kind; the last of each kind names no group. Fixed word lists.
@@ -209,10 +209,12 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
-          train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+          train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text",
+          label_id_col: str | None = None) -> Model:
     """Fit on at most ``train_rows`` labelled documents outside the held-out fold, chosen by
-    a hash of the id. Labels other than 0 and 1 are not used."""
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+    a hash of the id, which labels have in ``label_id_col`` (default: that of the documents).
+    Labels other than 0 and 1 are not used."""
+    known = labels.select(F.col(f"`{label_id_col or id_col}`").cast("long").alias("doc_id"),
                           F.col(f"`{label_col}`").alias("toxic")).filter(
         "doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("doc_id"))
     # Without the text, and never more rows than asked for.
@@ -220,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     table = rows.mapInArrow(
-        _training_rows, "toxic double, own array<int>, other array<int>, swapped boolean"
+        frugal(_training_rows), "toxic double, own array<int>, other array<int>, swapped boolean"
     ).toArrow()
     return fit(table)
 
@@ -241,6 +243,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = docs.sparkSession.sparkContext.broadcast(
         train(docs, labels, id_col=id_col, text_col=text_col, **settings))
     found = texts(docs, id_col, text_col).mapInArrow(
-        partial(_score, model=model), "doc_id long, score double")
+        frugal(partial(_score, model=model)), "doc_id long, score double")
     return found.select("doc_id", held_out().alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))

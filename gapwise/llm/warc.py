@@ -28,7 +28,6 @@ SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
-_HEADER_LIMIT = 1 << 16
 _PIECE = 1 << 16
 
 _MANIFEST = "path string, n_records long, n_bytes long"
@@ -89,21 +88,28 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
             "path": [path], "n_records": [n], "n_bytes": [system.get_file_info(local).size]})
 
 
+_KEY = ["sha1", "n", "h"]
+
+
 def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload another page with a larger id also has.
+    """(page_id, sha1, n, h, refers_to) of payloads that another page with a larger id also has.
 
     Only digests and ids are shuffled. Payloads are equal if their SHA-1, length and a
     second hash are.
     """
     facts = keep(pages.filter(F.octet_length("payload") >= least_bytes).select(
-        "page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"),
-        F.xxhash64("payload").alias("h")), "payloads")
-    key = ["sha1", "n", "h"]
+        "page_id", *_payload_key()), "payloads")
+    key = _KEY
     shared = keep(facts.groupBy(*key).agg(
         F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter(
         "copies > 1").drop("copies"), "copied-payloads")
     return facts.join(shared, key).filter("page_id <> refers_to").select(
-        "page_id", "refers_to").distinct()
+        "page_id", *key, "refers_to").distinct()
+
+
+def _payload_key() -> list:
+    return [F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"),
+            F.xxhash64("payload").alias("h")]
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z",
@@ -126,7 +132,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, date: str = "2024-01
         F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload")
     ).filter(F.col("page_id").isNotNull())
     again = keep(revisits(rows, least_bytes), "revisits")
-    rows = rows.join(broadcast_if_small(again), "page_id", "left").select(
+    # Rows that repeat an id may have different payloads.
+    rows = rows.select("*", *_payload_key()).join(
+        broadcast_if_small(again), ["page_id", *_KEY], "left").select(
         "page_id", "url", "payload", "refers_to")
     return keep(rows.mapInArrow(partial(_write, folder=folder, date=date), _MANIFEST),
                 "warc-manifest")
@@ -171,7 +179,7 @@ def _inflate(source: _Bytes, at: int) -> tuple[bytes, int] | None:
 
 def parse_headers(block: bytes) -> tuple[dict[str, str], bytes] | None:
     """Header fields by lower-case name, and what follows the blank line."""
-    end = block.find(b"\r\n\r\n", 0, _HEADER_LIMIT)
+    end = block.find(b"\r\n\r\n")
     if end < 0:
         return None
     lines = block[:end].decode("utf-8", "replace").split("\r\n")
@@ -179,27 +187,48 @@ def parse_headers(block: bytes) -> tuple[dict[str, str], bytes] | None:
     return fields, block[end + 4:]
 
 
+def _record(source: _Bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers and block of the record whose member starts at ``at``, and where it ends."""
+    got = _inflate(source, at)
+    head = parse_headers(got[0]) if got else None
+    if head is None or "warc-type" not in head[0]:
+        return None
+    size = head[0].get("content-length", "")
+    if not size.isdigit() or len(head[1]) < int(size):
+        return None
+    return head[0], head[1][:int(size)], got[1]
+
+
 def members(source: _Bytes, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record whose member starts in [start, end)."""
-    at = start
+    """Headers and block of every record whose member starts in [start, end).
+
+    Members follow each other without a gap: behind a record, and at the start of a file, a
+    place that holds none raises. A range also looks at the member behind its last record,
+    which the next range would take for the inside of another one if it is damaged.
+    """
+    at, follows = start, start == 0
     while at < end:
-        near = source.get(at, min(_PIECE, end + len(MAGIC) - 1 - at))
-        found = near.tobytes().find(MAGIC)
-        if found < 0:
-            at += max(1, len(near) - len(MAGIC) + 1)
-            continue
-        at += found
-        if at >= end:
-            return
-        got = _inflate(source, at)
-        head = parse_headers(got[0]) if got else None
-        if (head is None or "warc-type" not in head[0]
-                or not head[0].get("content-length", "").isdigit()
-                or len(head[1]) < int(head[0]["content-length"])):
-            at += 1
-            continue
-        yield head[0], head[1][:int(head[0]["content-length"])]
-        at = got[1]
+        if follows:
+            got = _record(source, at)
+            if got is None:
+                raise ValueError(f"no readable record at byte {at}")
+        else:
+            near = source.get(at, min(_PIECE, end + len(MAGIC) - 1 - at))
+            found = near.tobytes().find(MAGIC)
+            if found < 0:
+                at += max(1, len(near) - len(MAGIC) + 1)
+                continue
+            at += found
+            if at >= end:
+                return
+            got = _record(source, at)
+            if got is None:
+                at += 1
+                continue
+        yield got[0], got[1]
+        at, follows = got[2], True
+    if follows and at < source.size and _record(source, at) is None:
+        raise ValueError(f"no readable record at byte {at}")
 
 
 def _page_of(value: str) -> int:
@@ -249,8 +278,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
     """Page records of the files of a manifest, read in ranges of ``split_bytes``.
 
     Columns: page_id, url, payload_bytes, payload_digest (hex SHA-1; both of the full
-    payload), record_type, refers_to and, on request, the payload of responses. A record
-    whose payload does not match its digest raises.
+    payload), record_type, refers_to and, on request, the payload of responses. A member
+    that cannot be read, or whose payload does not match its digest, raises.
     """
     n = manifest.agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
     ranges = manifest.select("path", "n_bytes", F.explode(F.expr(

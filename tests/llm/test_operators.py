@@ -22,7 +22,7 @@ from gapwise.llm import chains, fm_index, jaccard_join, page_text
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
 from gapwise.llm.repeats import repeated_spans, without_repeats
-from gapwise.llm.shared import components, drop_rows
+from gapwise.llm.shared import components, drop_rows, one_text_per_id
 from gapwise.llm.token_files import read_tokens, write_tokens
 from gapwise.llm.toxicity import toxicity_scores
 from gapwise.llm.words import NOT_SPACE, words
@@ -201,9 +201,12 @@ def test_contamination(spark, docs, monkeypatch, per_round):
              11: "zz yy"}
     bench = spark.createDataFrame([(i, t, "x") for i, t in items.items()],
                                   "item_id long, text string, doc_id string")
-    df = docs.dropDuplicates(["doc_id"]) if per_round == 40 else docs
-    rows = by_id(contamination(df, bench))
+    rows = by_id(contamination(docs, bench))
     assert set(rows) == set(TEXTS)
+    assert contamination(docs, bench).count() == docs.filter("doc_id IS NOT NULL").count()
+    twice = spark.createDataFrame([(1, TEXTS[3]), (1, "zz yy"), (1, "clean")], "doc_id long, text string")
+    assert sorted(r["n_hit"] for r in contamination(twice, bench).collect()) == [
+        0, 2, rows[3][0]["n_hit"]]
     of = collections.defaultdict(set)
     for i, t in items.items():
         for w in windows(t)[1]:
@@ -420,6 +423,48 @@ def test_warc(pages):
             assert row["payload"] == (None if to else bytearray(body))
 
 
+def test_pages_that_share_an_id(spark):
+    payloads = ["a" * 1500, "b" * 1500, "a" * 1500, "c" * 1500, "b" * 1500, "small"]
+    ids = [1, 1, 2, 2, 3, 3]
+    pages = spark.createDataFrame([(i, "u", p) for i, p in zip(ids, payloads)],
+                                  "page_id long, url string, html string")
+    rows = warc.read_warc(warc.write_warc(pages)).collect()
+    want = [(1, "revisit", 2), (1, "revisit", 3), (2, "response", None), (2, "response", None),
+            (3, "response", None), (3, "response", None)]
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"] or 0) for r in rows) == [
+        (i, k, t or 0) for i, k, t in want]
+    of = {("revisit", 2): "a", ("revisit", 3): "b"}
+    for r in rows:
+        if r["refers_to"]:
+            letter = of[r["record_type"], r["refers_to"]]
+            assert r["payload_digest"] == hashlib.sha1(letter.encode() * 1500).hexdigest()
+
+
+@pytest.mark.parametrize("split", [300, 1 << 20])
+def test_flipped_bytes_and_long_headers(spark, split):
+    from pyspark.errors import PythonException
+
+    long_url = "http://x/" + "é%" * 35_000
+    pages = spark.createDataFrame(
+        [(i, long_url if i == 4 else "u", "x" * 40 * i + str(i)) for i in range(10)],
+        "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages)
+    rows = by_id(warc.read_warc(manifest, split), "page_id")
+    assert len(rows) == 10 and rows[4][0]["url"] == long_url
+    system, local = warc.filesystem(manifest.first()["path"])
+    with system.open_input_stream(local, compression=None) as f:
+        whole = bytearray(f.read())
+    starts = [i for i in range(len(whole)) if whole[i:i + 3] == warc.MAGIC]
+    for at in (starts[3] + 20, starts[-1] + 15, 12):
+        hurt = bytearray(whole)
+        hurt[at] ^= 0x55
+        hurt[at + 1] ^= 0x55
+        with system.open_output_stream(local, compression=None) as f:
+            f.write(bytes(hurt))
+        with pytest.raises(PythonException, match="record"):
+            warc.read_warc(manifest, split).collect()
+
+
 def test_damaged_warc_raises(spark, pages):
     from pyspark.errors import PythonException
 
@@ -543,10 +588,11 @@ def test_empty_tables(spark, nothing):
 
 def test_drop_rows(spark, docs):
     gone = spark.createDataFrame([(3,), (3,), (7,)], "doc_id long")
-    left = drop_rows(docs, gone)
+    keyed = one_text_per_id(docs)
+    left = drop_rows(keyed, gone)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted([*(set(TEXTS) - {3, 7}), 5])
-    assert sorted(r["doc_id"] for r in drop_rows(docs, gone, once=True).collect()) == sorted(
+    assert sorted(r["doc_id"] for r in drop_rows(keyed, gone, once=True).collect()) == sorted(
         set(TEXTS) - {3, 7})
 
 

@@ -113,6 +113,16 @@ def test_columns_find_repeated_windows(rows):
     assert set(zip(which.tolist(), start.tolist())) == want
 
 
+def test_block_without_repeats():
+    bodies = [b"abcdefgh", b"abzzefgh", b"qwertyui"]
+    table = pa.table({"seed": [1, 1, 2], "doc_id": [1, 2, 3], "at": [0, 0, 0], "lead": [0, 0, 0],
+                      "n_starts": [5, 5, 5], "body": bodies})
+    assert list(repeats._build_up(iter(table.to_batches()), 4)) != []
+    assert list(repeats._build_up(iter(table.to_batches()), 5)) == []
+    none = np.empty(0, np.int64)
+    assert list(repeats._ranges(none, none)) == []
+
+
 def test_every_window_start_has_one_anchor():
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 90))) for _ in range(40)]

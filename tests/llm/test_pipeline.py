@@ -104,6 +104,29 @@ def test_stages(spark):
                      for i, t in texts(free).items()}
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    found = toxicity_scores(docs, labels)
+    toxic, calm = (found.filter(f"predicted = {p}").first()["doc_id"] for p in (1, 0))
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first()["text"]
+    text = {r["doc_id"]: r["text"] for r in docs.filter(docs.doc_id.isin(toxic, calm)).collect()}
+    copied = text[calm] + " \n"
+    rows = [(5, text[toxic]), (5, text[calm]), (5, text[calm]), (6, copied), (6, item), (6, "short")]
+    both = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+
+    def left(name):
+        out = dict(corpus_pipeline.STAGES)[name](spark, both, SF_DIR)
+        return sorted((r["doc_id"], r["text"]) for r in out.collect())
+
+    assert left("toxicity") == sorted(r for r in rows if r[1] != text[toxic])
+    assert left("exact dedup") == sorted({r for r in rows if r[1] != text[calm]})
+    # Which of two texts keeps their id is up to their hash.
+    assert left("n-gram Jaccard join") in [
+        sorted(r for r in rows if r[1] != gone) for gone in (copied, text[calm])]
+    assert left("benchmark decontamination") == sorted(r for r in rows if r[1] != item)
+
+
 def test_run_applies_all_stages(spark):
     rows = corpus_pipeline.run(spark, SF_DIR)
     assert 0 < rows.count() < 200
@@ -113,7 +136,7 @@ def test_run_applies_all_stages(spark):
 def test_registered_once():
     names = [n for n in entry.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
     assert sorted(re.match(r"op(\d+)_|pipeline", n)[1] or "p" for n in names) == sorted(
-        [*map(str, range(1, 11)), "p"])
+        [*map(str, range(1, 14)), "p"])
 
 
 @pytest.mark.parametrize("name", ["op1_warc", "op2_page_text", "op3_toxicity", "op6_repeats",
