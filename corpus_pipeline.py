@@ -2,7 +2,7 @@
 
 Every stage works on what the one before it kept, and all but the last return the columns
 of the documents. Rows without a doc_id cannot be judged by any operator and go in the first
-stage.
+stage. Texts that share an id are judged each by itself.
 """
 
 from __future__ import annotations
@@ -14,32 +14,39 @@ from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.queries import tokenizer_path
-from gapwise.llm.shared import drop_rows, keep
+from gapwise.llm.shared import drop_rows, keep, one_text_per_id
 from gapwise.llm.toxicity import toxicity_scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return drop_rows(docs, toxicity_scores(docs, labels).filter("predicted = 1"))
+    docs = one_text_per_id(docs)
+    found = toxicity_scores(docs, labels, id_col="row_key", label_id_col="doc_id")
+    return drop_rows(docs, found.filter("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of equal texts; a repeated row stays once."""
-    return drop_rows(docs, exact_duplicates(docs).filter("doc_id <> keep_id"), once=True)
+    docs = one_text_per_id(docs)
+    found = exact_duplicates(docs, id_col="row_key")
+    return drop_rows(docs, found.filter("doc_id <> keep_id"), once=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of similar texts: sets of five-word
     shingles with a Jaccard similarity of 0.8 or more."""
-    groups = jaccard_groups(docs, k=5, num=80, den=100)
+    docs = one_text_per_id(docs)
+    groups = jaccard_groups(docs, k=5, num=80, den=100, id_col="row_key")
     return drop_rows(docs, groups.filter("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return drop_rows(docs, contamination(docs, benchmark).filter(F.col("contaminated")))
+    docs = one_text_per_id(docs)
+    found = contamination(docs, benchmark, id_col="row_key")
+    return drop_rows(docs, found.filter(F.col("contaminated")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
