@@ -112,14 +112,16 @@ def test_texts_that_share_an_id_are_judged_apart(spark):
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first()["text"]
     text = {r["doc_id"]: r["text"] for r in docs.filter(docs.doc_id.isin(toxic, calm)).collect()}
     copied = text[calm] + " \n"
-    rows = [(5, text[toxic]), (5, text[calm]), (5, text[calm]), (6, copied), (6, item), (6, "short")]
+    a, b = 900_005, 900_006
+    rows = [(a, text[toxic]), (a, text[calm]), (a, text[calm]), (b, copied), (b, item), (b, "short")]
     both = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
 
-    def left(name):
-        out = dict(corpus_pipeline.STAGES)[name](spark, both, SF_DIR)
-        return sorted((r["doc_id"], r["text"]) for r in out.collect())
+    def left(name, more=None):
+        out = dict(corpus_pipeline.STAGES)[name](spark, both if more is None else both.union(more), SF_DIR)
+        return sorted((r["doc_id"], r["text"]) for r in out.filter("doc_id >= 900000").collect())
 
-    assert left("toxicity") == sorted(r for r in rows if r[1] != text[toxic])
+    # With the documents the labels belong to.
+    assert left("toxicity", docs) == sorted(r for r in rows if r[1] != text[toxic])
     assert left("exact dedup") == sorted({r for r in rows if r[1] != text[calm]})
     # Which of two texts keeps their id is up to their hash.
     assert left("n-gram Jaccard join") in [
