@@ -77,13 +77,15 @@ def flagged_snapshot(snapshot: DataFrame) -> DataFrame:
 
 
 def feature_table(clean: DataFrame, spec: PanelSpec, selected: DataFrame | None = None,
-                  fill: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  fill: bool = False, chunk_rows: int = CHUNK_ROWS,
+                  bound: DataFrame | None = None) -> DataFrame:
     """The modelling table of the selected entities: calendar features, lags, rolling
     means and the checked target.
 
     All window columns share one shuffle and one sort. ``fill`` fills short gaps on
     the way, for a panel that was not cleaned yet. Rolling means come first because
-    their helper columns are dropped before the row grows wide.
+    their helper columns are dropped before the row grows wide. ``bound`` is a cheaper table
+    with at least as many rows per entity (see ``over_series``).
     """
     panel = clean if selected is None else keep_selected(clean, selected, spec.entity)
 
@@ -95,7 +97,7 @@ def feature_table(clean: DataFrame, spec: PanelSpec, selected: DataFrame | None
 
     reach = spec.feature_history + (spec.fill_limit if fill else 0)
     table = over_series(panel, spec, windows, history=reach, lookahead=spec.horizon,
-                        chunk_rows=chunk_rows)
+                        chunk_rows=chunk_rows, bound=bound)
     table = add_cyclic_features(add_time_features(table, spec.time), spec.time)
     return table.select(*_in_order(table.columns, spec))
 

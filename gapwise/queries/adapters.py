@@ -99,16 +99,22 @@ def parsed_snapshot(spark, sf_dir) -> DataFrame:
                       into="timestamp")
 
 
+def sources(spark, sf_dir) -> DataFrame:
+    """The events behind the readings: never fewer per station."""
+    return table(spark, sf_dir, "events").select(station_of().alias("station_id"))
+
+
 def filled(spark, sf_dir) -> DataFrame:
     return over_series(readings(spark, sf_dir), SPEC,
-                       lambda d, by: forward_fill(d, SPEC, by=by), history=SPEC.fill_limit)
+                       lambda d, by: forward_fill(d, SPEC, by=by), history=SPEC.fill_limit,
+                       bound=sources(spark, sf_dir))
 
 
 def features(spark, sf_dir, only=None) -> DataFrame:
     panel = readings(spark, sf_dir)
     if only is not None:
         panel = panel.filter(F.col("station_id").isin(only))
-    return feature_table(panel, SPEC, fill=True)
+    return feature_table(panel, SPEC, fill=True, bound=sources(spark, sf_dir))
 
 
 def labelled(spark, sf_dir, only=None) -> DataFrame:
@@ -121,7 +127,8 @@ def labelled(spark, sf_dir, only=None) -> DataFrame:
         return add_target(forward_fill(df, SPEC, by=by), SPEC, by=by)
 
     return over_series(panel, SPEC, fill_then_target,
-                       history=SPEC.fill_limit, lookahead=SPEC.horizon)
+                       history=SPEC.fill_limit, lookahead=SPEC.horizon,
+                       bound=sources(spark, sf_dir))
 
 
 def recommended_ids(spark, sf_dir) -> list[int]:

@@ -459,3 +459,28 @@ ORACLES["score_one_station"] = f"""
 SELECT * FROM ({ORACLES['score_latest']})
 WHERE station = (SELECT CAST(station_id AS VARCHAR) FROM ({ORACLES['recommend_subset']})
   ORDER BY usable_rows DESC, station_id LIMIT 1)"""
+
+# The same results by other ways.
+ORACLES["coverage_deep_incremental"] = ORACLES["coverage_deep"]
+ORACLES["coverage_of_states"] = ORACLES["coverage_report"]
+ORACLES["newest_days"] = _with(PANEL, select="""
+SELECT DISTINCT station_id, CAST(strftime(datetime, '%Y%m%d') AS INTEGER) AS part_period
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY datetime DESC) AS newest FROM panel)
+WHERE newest <= 30""")
+ORACLES["audit_distinct_sketch"] = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, true AS estimate_is_close FROM events"
+    for c in ("event_id", "user_id", "ts"))
+ORACLES["exact_dedup_rows"] = _with(RAW, select="""
+SELECT DISTINCT station_id, datetime, event_type FROM raw""")
+ORACLES["exact_dup_count_rows"] = _with(RAW, select="""
+SELECT (SELECT count(*) FROM raw) AS n_rows, count(*) AS n_distinct,
+  (SELECT count(*) FROM raw) - count(*) AS duplicate_rows
+FROM (SELECT DISTINCT station_id, datetime, event_type FROM raw)""")
+_SORTED = sorted(FEATURE_NAMES)
+ORACLES["median_impute_all"] = _with(*_TO_MODELING, _imputed(_SORTED), select=f"""
+SELECT i.station_id, i.datetime, i.split, {" + ".join(f"(m.{c} IS NULL)::BIGINT" for c in _SORTED)} AS n_missing,
+  round({" + ".join(f"i.{c}::DOUBLE" for c in _SORTED)}, 3) + 0.0 AS total
+FROM imputed i JOIN modeling m ON m.station_id = i.station_id AND m.datetime = i.datetime""")
+ORACLES["valid_errors"] = _with(*_TO_MODELING, _imputed(["pm2_5"]), _pairs("valid"), select=f"""
+SELECT count(*) AS n_rows, {_r("avg(abs(actual - predicted))")} AS persistence_mae,
+  true AS model_is_better FROM pairs""")

@@ -14,7 +14,8 @@ from gapwise.functions.coerce import coerce_numeric, parse_time, parse_time_or_d
 from gapwise.functions.flags import add_geo_flag, add_impossible_flag, add_negative_flag
 from gapwise.functions.names import snake_columns
 from gapwise.operators import attribution as attr
-from gapwise.operators import audit, coverage, dedup, joins, metrics, series, snapshot, split
+from gapwise.operators import (
+    audit, coverage, dedup, joins, metrics, series, snapshot, split, states)
 from gapwise.operators.impute import impute, median_table
 from gapwise.operators.models import (
     BOOSTED, FOREST, LINEAR, MODEL_ORDER, PERSISTENCE, PREDICTION, Forecaster)
@@ -25,8 +26,9 @@ from gapwise.plans.chunks import over_series
 from gapwise.queries.adapters import (
     DEEP_GATES, GATES, LONG_HISTORY, RAW_NAMES, SNAPSHOT_NAMES, SPEC, TRAIN_END, USER_SPEC,
     VALID_END, features, filled, fitted_medians, labelled, modeling_rows, parsed_snapshot, raw_rows,
-    readings, recommended_ids, rounded, snapshot_long, station_of, stations, table, user_readings)
+    readings, recommended_ids, rounded, snapshot_long, sources, station_of, stations, table, user_readings)
 from gapwise.session import shared_dir
+from gapwise.sources import sinks
 from gapwise.sources.bundle import load_bundle, save_bundle
 
 QUERIES = {}
@@ -155,6 +157,21 @@ def exact_dup_count(spark, sf_dir):
         table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def _whole_rows(spark, sf_dir) -> DataFrame:
+    """Raw readings without the number of the event: many rows are equal in all columns."""
+    return raw_rows(spark, sf_dir).drop("event_id")
+
+
+@query
+def exact_dedup_rows(spark, sf_dir):
+    return dedup.drop_exact_duplicates(_whole_rows(spark, sf_dir))
+
+
+@query
+def exact_dup_count_rows(spark, sf_dir):
+    return dedup.exact_duplicate_count(_whole_rows(spark, sf_dir))
+
+
 @query
 def dup_key_rows(spark, sf_dir):
     return dedup.rows_in_duplicated_keys(
@@ -182,6 +199,18 @@ def audit_distinct(spark, sf_dir):
                                  ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query
+def audit_distinct_sketch(spark, sf_dir):
+    """Distinct values estimated from sketches per event type, and whether the estimate lies
+    within 3 % of the exact count."""
+    columns = ("event_id", "user_id", "ts")
+    e = table(spark, sf_dir, "events")
+    merged = states.distinct_estimates(states.distinct_sketches(e, columns, ["event_type"]), columns)
+    exact = audit.distinct_counts(e, columns)
+    close = F.abs(F.col("n_estimated") - F.col("n_distinct")) <= 0.03 * F.col("n_distinct")
+    return exact.join(merged, "column").select("column", "n_distinct", close.alias("estimate_is_close"))
+
+
 @query
 def audit_time_range(spark, sf_dir):
     return audit.time_range(raw_rows(spark, sf_dir), "datetime")
@@ -234,6 +263,35 @@ def coverage_deep(spark, sf_dir):
     return _deep(spark, sf_dir)
 
 
+@query
+def coverage_deep_incremental(spark, sf_dir):
+    """The same report from stored states per station and day: the earlier days first, then
+    each later part added to them without reading the earlier rows."""
+    path = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    rows = labelled(spark, sf_dir)
+    day = states.period_of(F.col(SPEC.time), "day")
+    for days in (day < 20240116, day == 20240116, day > 20240116):
+        part = states.period_states(rows.filter(days), SPEC, "day")
+        part.write.mode("append").partitionBy(states.PERIOD).parquet(path)
+    return states.deep_coverage_of_states(spark.read.parquet(path), SPEC)
+
+
+@query
+def coverage_of_states(spark, sf_dir):
+    """The first report from states per station and day, written and read back."""
+    path = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    rows = joins.enrich(filled(spark, sf_dir), stations(spark, sf_dir), "station_id")
+    sinks.write_periods(states.period_states(rows, SPEC, "day"), path, states.PERIOD)
+    return rounded(states.coverage_of_states(spark.read.parquet(path), SPEC))
+
+
+@query
+def newest_days(spark, sf_dir):
+    """The days, per station, that hold its last 30 rows, from the states alone."""
+    known = states.period_states(readings(spark, sf_dir), SPEC, "day")
+    return states.newest_periods(known, SPEC, 30)
+
+
 @query
 def recommend_subset(spark, sf_dir):
     return coverage.recommend_subset(_deep(spark, sf_dir), SPEC, **DEEP_GATES).select(
@@ -320,7 +378,8 @@ def cyclic_features(spark, sf_dir):
 
 
 def _over(spark, sf_dir, fn, history, lookahead=0):
-    return over_series(readings(spark, sf_dir), SPEC, fn, history, lookahead)
+    return over_series(readings(spark, sf_dir), SPEC, fn, history, lookahead,
+                       bound=sources(spark, sf_dir))
 
 
 @query
@@ -403,6 +462,17 @@ def median_impute(spark, sf_dir):
     return rounded(ready.select(*KEYS, "split", *SPEC.values))
 
 
+@query
+def median_impute_all(spark, sf_dir):
+    """All features imputed: per row how many had no value, and the sum of all of them."""
+    rows = modeling_rows(spark, sf_dir)
+    names = sorted(split.feature_columns(rows.columns, SPEC))
+    missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in names])
+    total = reduce(lambda a, b: a + b, [F.col(c).cast("double") for c in names])
+    ready = impute(rows.withColumn("n_missing", missing), fitted_medians(rows, names))
+    return ready.select(*KEYS, "split", "n_missing", F.round(total, 3).alias("total"))
+
+
 @query
 def seeded_sample(spark, sf_dir):
     return split.seeded_sample(table(spark, sf_dir, "orders"), ["o_orderkey"], 1000)
@@ -569,6 +639,19 @@ def boosted_trees(spark, sf_dir):
     return _recomputed(spark, sf_dir, _trained(spark, sf_dir, PERSISTENCE, BOOSTED))
 
 
+@query
+def valid_errors(spark, sf_dir):
+    """Error of the linear model on the valid rows beside that of persistence."""
+    trained = _trained(spark, sf_dir, PERSISTENCE, LINEAR)
+    mae = {c["model"]: c["mae"] for c in trained.comparison if c["split"] == "valid"}
+    rows = modeling_rows(spark, sf_dir).filter("split = 'valid'")
+    miss = F.abs(F.col(SPEC.target) - F.col(PREDICTION))
+    own = trained.forecasters[LINEAR].predict(rows, into=PREDICTION).agg(
+        F.count("*").alias("n_rows"), F.avg(miss).alias("mae"))
+    return own.select("n_rows", F.round(F.lit(mae[PERSISTENCE]), 6).alias("persistence_mae"),
+                      (F.col("mae") < mae[PERSISTENCE]).alias("model_is_better"))
+
+
 @query
 def test_winner(spark, sf_dir):
     """All four candidates; that the winner has the smallest valid error and that its test
@@ -624,10 +707,17 @@ def model_attribution(spark, sf_dir):
 
 @query
 def model_importance(spark, sf_dir):
-    """All features with a share of their own, largest first; the shares are the model's."""
+    """All features: whether the mean of each is that of the shares row by row, and whether
+    they come in order of that mean."""
     shares, names = _model_shares(spark, sf_dir)
-    return attr.global_importance(shares, names).select(
-        "feature", (F.col("mean_abs_shap") >= 0).alias("has_share"))
+    told = attr.global_importance(shares, names).collect()
+    every = F.array(*[F.lit(f) for f in names])
+    means = {r["feature"]: r["mean"] for r in shares.select(
+        F.explode(F.arrays_zip(every.alias("feature"), F.col("phi"))).alias("e")
+    ).groupBy("e.feature").agg(F.avg(F.abs("e.phi")).alias("mean")).collect()}
+    ordered = sorted(told, key=lambda r: (-r["mean_abs_shap"], r["feature"])) == told
+    rows = [(r["feature"], ordered and abs(means[r["feature"]] - r["mean_abs_shap"]) < 1e-9) for r in told]
+    return spark.createDataFrame(rows, "feature string, has_share boolean")
 
 
 @query

@@ -345,3 +345,107 @@ def test_one_entity_reaches_the_scan(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(station_id,3)" in plan and one.count() == 10
     assert series.recent_trend(df, PanelSpec(), entity="x").count() == 0
+
+
+# Raw files ------------------------------------------------------------------------
+
+def write_lines(path, *lines):
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_csv_cells_and_rows_that_do_not_fit(spark, tmp_path):
+    path = write_lines(
+        tmp_path / "a.csv", "StationId,Datetime,PM2.5",
+        '"A ""x"", y",2020-01-01 00:00:00,1', "B,2020-01-01 00:00:00", "C,2020-01-01 00:00:00,3,4",
+        '"D,2020-01-01 00:00:00,3', "E,,NA", "", '5" pipe,1,2', '"F,1","2,3",""')
+    good = tables.read_csv(spark, path, ["Datetime"])
+    assert good.columns == ["Datetime", "StationId", "PM2.5"]
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([
+        ("2020-01-01 00:00:00", 'A "x", y', "1"), ("2020-01-01 00:00:00", "B", None),
+        (None, "E", None), ("1", '5" pipe', "2"), ("2,3", "F,1", None)], key=str)
+    assert good.count() == 5 and good.select("`PM2.5`").count() == 5
+    marked = tables.marked_csv(spark, path)
+    lines = {r["reason"]: r["line"] for r in tables.misfit_lines(marked).collect()}
+    assert lines == {"surplus_cells": "C,2020-01-01 00:00:00,3,4",
+                     "unclosed_quote": '"D,2020-01-01 00:00:00,3'}
+    assert tables.misfit_lines(marked).first()["file"].endswith("a.csv")
+    strict = tables.misfit_lines(tables.marked_csv(spark, path, short_rows=False))
+    assert [r["line"] for r in strict.filter("reason = 'missing_cells'").collect()] == [
+        "B,2020-01-01 00:00:00"]
+
+
+def test_csv_with_line_ends_in_cells(spark, tmp_path):
+    path = write_lines(tmp_path / "a.csv", "a,b", '"x', 'y",1', "z,2,3")
+    rows = tables.read_csv(spark, path, multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("x\ny", "1")]
+    assert tables.misfit_lines(tables.marked_csv(spark, path, multi_line=True)).count() == 1
+
+
+def test_csv_without_rows(spark, tmp_path):
+    path = write_lines(tmp_path / "a.csv", "a,b")
+    assert tables.read_csv(spark, path).collect() == []
+    assert tables.misfit_lines(tables.marked_csv(spark, path)).collect() == []
+
+
+def test_first_in_file_order_stays(spark, tmp_path):
+    """The first row of a key is the first in the files, not the one of the smallest values."""
+    for name, rows in (("a", [("k", 9), ("k", 1), ("m", 5)]), ("b", [("k", 0), ("m", 1), ("n", 2)])):
+        spark.createDataFrame(rows, "key string, v long").coalesce(1).write.parquet(str(tmp_path / name))
+    paths = [str(next((tmp_path / n).glob("*.parquet"))) for n in ("a", "b")]
+    ordered = tables.in_file_order(spark.read.parquet(*paths))
+    by_file = {p: i for i, p in enumerate(paths)}
+    assert len(by_file) == ordered.select("source_file").distinct().count() == 2
+    got = dedup.keep_first(ordered, ["key"], tables.FILE_ORDER).select("key", "v").collect()
+    first = sorted(paths, key=lambda p: p)[0]
+    want = {"k": 9, "m": 5, "n": 2} if first == paths[0] else {"k": 0, "m": 1, "n": 2}
+    assert {r["key"]: r["v"] for r in got} == want
+
+    spec = PanelSpec(values=("pm2_5",), lagged=("pm2_5",))
+    path = write_lines(tmp_path / "r.csv", "StationId,Datetime,PM2.5",
+                       "S,2020-01-01 00:00:00,7", "S,2020-01-01 00:00:00,3")
+    places = spark.createDataFrame([("S", "One")], "station_id string, station_name string")
+    rows = tables.fitting_rows(tables.marked_csv(spark, path), keep_order=True)
+    assert clean_panel(rows, places, spec, order=tables.FILE_ORDER).first()["pm2_5"] == 7.0
+    assert clean_panel(tables.read_csv(spark, path), places, spec).first()["pm2_5"] == 3.0
+
+
+def test_states_merge_to_the_whole(spark):
+    from gapwise.operators import states
+
+
+    features = series.add_target(to_spark(spark, random_panel(2, hours=900)), SPEC).withColumn(
+        "city", F.concat(F.lit("c"), F.month("datetime").cast("string")))
+    for kind in ("month", "day"):
+        known = states.period_states(features, SPEC, kind)
+        got = states.deep_coverage_of_states(known, SPEC)
+        assert got.exceptAll(coverage.deep_coverage(features, SPEC).select(*got.columns)).count() == 0
+        got = states.coverage_of_states(known, SPEC)
+        assert got.exceptAll(coverage.coverage_report(features, SPEC).select(*got.columns)).count() == 0
+        newest = states.newest_periods(known, SPEC, 30)
+        want = states.with_period(series.newest_rows(features, SPEC, 30), SPEC, kind).select(
+            "station_id", states.PERIOD).distinct()
+        assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, want.collect()))
+    assert states.short_entities(known, SPEC, 10_000).count() == 3
+    with pytest.raises(ValueError):
+        states.period_of(F.col("datetime"), "year")
+
+
+def test_reached_periods(spark):
+    from gapwise.operators import states
+
+    spec = PanelSpec()
+    rows = [("a", 1, 5), ("a", 2, 1), ("a", 3, 4), ("a", 5, 9), ("b", 1, 3), ("b", 4, 2)]
+    known = spark.createDataFrame(rows, f"station_id string, {states.PERIOD} int, n_rows long")
+    reach = lambda *p, **k: states.reached_periods(known, spec, p, **k)
+    assert reach(3) == [3] and reach(3, back=1) == [1, 2, 3] and reach(3, ahead=1) == [3, 4, 5]
+    assert reach(5, back=2) == [3, 4, 5] and reach(5, back=5) == [1, 2, 3, 4, 5]
+    assert reach(2, 2, back=1, ahead=5) == [1, 2, 3, 4, 5] and reach() == []
+
+
+def test_sketches_of_nothing(spark):
+    from gapwise.operators import states
+
+    none = spark.createDataFrame([], "g string, a long")
+    sketches = states.distinct_sketches(none, ["a"], ["g"])
+    assert [tuple(r) for r in states.distinct_estimates(sketches, ["a"]).collect()] == [("a", 0)]
