@@ -542,6 +542,36 @@ def labelled(spark):
             spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels))
 
 
+def test_story_beside_an_article(spark):
+    """Outside of articles, what a host does not repeat stays; checked against all substrings
+    of eight words on three different pages."""
+    rng = random.Random(4)
+    word = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n))
+    frame = ["Our house has printed papers since the year of the flood", word(12)]
+    pages = []
+    for i in range(8):
+        story = word(40)
+        pages.append((i, f"http://one.example/{i}", f"<div>{frame[0]}</div><article>Teaser {i}</article>"
+                      f"<div>{story}</div><div>{frame[1]}</div><div>short one</div>", f"Teaser {i}\n\n{story}"))
+    pages += [(20, "http://two.example/", "<article>Teaser</article><div>a story of more words than "
+               "the teaser has in all</div>", "Teaser\n\na story of more words than the teaser has in all"),
+              (21, "http://three.example/", f"<article>{word(60)}</article><div>{word(10)}</div>", None)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_texts(df).collect()}
+    for i, _, page, text in pages:
+        assert got[i] == (text if text is not None else re.search("<article>(.*)</article>", page)[1])
+    streams = [re.sub("<article>.*</article>", "", p[2]) for p in pages[:8]]
+    tokens = [re.sub("<[^>]*>", " ", x).split() for x in streams]
+    where = collections.defaultdict(set)
+    for i, own in enumerate(tokens):
+        for j in range(len(own) - 7):
+            where[tuple(own[j:j + 8])].add(i)
+    for i, own in enumerate(tokens):
+        gone = {k for j in range(len(own) - 7) if len(where[tuple(own[j:j + 8])]) >= 3 for k in range(j, j + 8)}
+        left = [w for k, w in enumerate(own) if k not in gone]
+        assert " ".join(left).removesuffix(" short one") == got[i].split("\n\n")[1]
+
+
 def test_toxicity(labelled):
     docs, labels, truth = labelled
     rows = toxicity_scores(docs, labels).collect()

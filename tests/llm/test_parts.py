@@ -237,6 +237,19 @@ def test_page_blocks():
     assert page_text.page_blocks("<article><p>a <a hre")[0] == ["a"]
 
 
+def test_classes_of_states_and_sentences():
+    blocks = page_text.page_blocks
+    for page in ('<div class="layout has-sidebar"><article><p>story</p></article></div>',
+                 '<div class="no-comments"><main><p>story</p></main></div>',
+                 '<article><p class="notice-period">story</p></article>',
+                 '<body class="with-cookie-banner"><article><p>story</p></article></body>'):
+        assert blocks(page)[0] == ["story"], page
+    for page in ('<article><div class="cookie-notice">x</div><p>story</p></article>',
+                 '<article><p class="ad">x</p><p>story</p></article>',
+                 '<article><p>story</p><ul id="comments-list"><li>x</ul></article>'):
+        assert blocks(page)[0] == ["story"], page
+
+
 def test_covered_tokens():
     tokens, page = [], []
     shared = list(range(100, 110))
