@@ -296,7 +296,6 @@ def judge(spark: SparkSession, out: str, spec: PanelSpec | None = None,
         return
     sinks.write_csv(told["importance"], f"{out}/explanation/importance", single_file=True)
     sinks.write_json(told["example"], f"{out}/explanation/example")
-    told["attributions"].unpersist()
 
 
 def forecast(spark: SparkSession, out: str, spec: PanelSpec | None = None, station=None,

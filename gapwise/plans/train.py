@@ -16,6 +16,7 @@ from gapwise.operators.models import (
     fit_boosted, fit_forest, fit_linear, training_vectors)
 from gapwise.operators.split import (
     feature_columns, modeling_set, require_all_splits, seeded_sample, with_split)
+from gapwise.plans.sizing import written
 from gapwise.spec import SEED, TRAIN_END, VALID_END, PanelSpec
 
 
@@ -119,8 +120,9 @@ def batch_score(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec) -> Dat
 
 def evaluate(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec,
              names: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All test reports of a trained forecaster; nothing is fitted."""
-    scored = batch_score(rows, forecaster, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    """All test reports of a trained forecaster; nothing is fitted. The scores are written, so
+    that the reports share them and nothing stays in memory."""
+    scored = written(batch_score(rows, forecaster, spec), "scores")
     pair = (spec.target, PREDICTION)
     return {
         "overall": metrics.regression_metrics(scored, *pair),
@@ -133,14 +135,13 @@ def evaluate(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec,
 def explain(rows: DataFrame, forecaster: Forecaster, spec: PanelSpec, means=None,
             sample_rows: int | None = None) -> dict[str, DataFrame]:
     """Attribution of all rows, or of a seeded sample of ``sample_rows``: importance of all
-    features, and the example with the largest prediction in detail. ``attributions`` is
-    persisted; the caller releases it."""
+    features, and the example with the largest prediction in detail. ``attributions`` is a
+    written table."""
     if sample_rows is not None:
         tasks = rows.sparkSession.sparkContext.defaultParallelism
         rows = seeded_sample(rows, spec.keys, sample_rows).repartition(tasks, *spec.keys)
     shares = attribution.attribute(rows, forecaster, means, [*spec.keys, spec.target])
-    shares = shares.select(*spec.keys, spec.target, PREDICTION, "base", "phi", "x").persist(
-        StorageLevel.MEMORY_AND_DISK)
+    shares = written(shares.select(*spec.keys, spec.target, PREDICTION, "base", "phi", "x"), "shares")
     example = attribution.highest_prediction(shares, spec.keys)
     return {
         "attributions": shares,

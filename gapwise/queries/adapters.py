@@ -11,6 +11,7 @@ from gapwise.operators.series import add_target, forward_fill
 from gapwise.operators.split import feature_columns, usable_rows, with_split
 from gapwise.plans.build import feature_table
 from gapwise.plans.chunks import over_series
+from gapwise.plans.sizing import written
 from gapwise.spec import SNAPSHOT_TIME_FORMAT, PanelSpec
 
 # Which event type stands for which quantity.
@@ -138,7 +139,7 @@ def recommended_ids(spark, sf_dir) -> list[int]:
 
 
 def modeling_rows(spark, sf_dir, columns=None) -> DataFrame:
-    """Usable rows of the chosen stations with their split, kept for several passes.
+    """Usable rows of the chosen stations with their split, written for several passes.
     With ``columns`` only those and what they need are computed."""
     ids = recommended_ids(spark, sf_dir)
     plain = columns is not None and set(columns) <= set(SPEC.values)
@@ -146,7 +147,7 @@ def modeling_rows(spark, sf_dir, columns=None) -> DataFrame:
     rows = with_split(usable_rows(table_of(spark, sf_dir, ids), SPEC), SPEC, TRAIN_END, VALID_END)
     if columns is not None:
         rows = rows.select(*SPEC.keys, "split", SPEC.target, *columns)
-    return rows.persist()
+    return written(rows, "modeling")
 
 
 def fitted_medians(rows: DataFrame, columns=None) -> dict[str, float]:
