@@ -16,6 +16,7 @@ signature that ended up in different components are compared pair by pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,7 +26,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gapwise.llm.shared import components, frugal, keep, keep_rows, texts
-from gapwise.plans.sizing import broadcast_if_small
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
@@ -363,32 +363,42 @@ def _open_members(pairs: DataFrame, member: DataFrame, label: DataFrame) -> Data
 
 def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members (first, rep, label, n_shingles, sketch) of one first, with
-    different labels, that sketches do not rule out. A first of very many members is dealt
-    out in blocks, every block against every block."""
-    large = keep(members.groupBy("first").agg(F.count("*").alias("n")).filter(
-        F.col("n") > BLOCK_MEMBERS).select(
-        "first", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "large")
-    dealt = members.join(broadcast_if_small(large), "first", "left").withColumn(
-        "blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+    different labels, that sketches do not rule out.
+
+    Members meet by bands of sizes, each the quotient of sizes that are still similar wide: a
+    member is in its own band and carried into the next. A band of very many members is dealt out
+    in blocks, every block against every block."""
+    # A little wider, so that rounding parts no sizes that are similar.
+    width = math.log(den / num) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
+    members = members.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "band", F.when(F.col("own"), band).otherwise(band + 1))
+    # Bands where nothing is carried to, or nothing of its own, have no other pairs.
+    group = ["first", "band"]
+    large = keep(members.groupBy(*group).agg(F.count("*").alias("n"), F.max("own").alias("any")).filter(
+        F.col("any") & (F.col("n") > 1)).select(
+        *group, F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "bands")
+    dealt = members.join(large, group).withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meet = F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least(j, F.col("block")).alias("p"),
                            F.greatest(j, F.col("block")).alias("q"))))
     dealt = dealt.withColumn("meet", meet).select(
-        "first", "meet.p", "meet.q", "block", "rep", "label", "n_shingles", "sketch")
-    return dealt.repartition("first", "p", "q").sortWithinPartitions("first", "p", "q").mapInArrow(
+        *group, "meet.p", "meet.q", "block", "own", "rep", "label", "n_shingles", "sketch")
+    key = [*group, "p", "q"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(
         frugal(partial(_compare_blocks, num=num, den=den)), "a long, b long").distinct()
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int
                     ) -> Iterator[pa.RecordBatch]:
-    """Groups (first, p, q), sorted: members of block p against those of block q."""
+    """Groups (first, band, p, q), sorted: members of block p against those of block q."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
-        key = np.stack([table[c].to_numpy() for c in ("first", "p", "q")])
+        key = np.stack([table[c].to_numpy() for c in ("first", "band", "p", "q")])
         edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
         for i, j in zip(edge[:-1], edge[1:]):
             yield from _compare_group(table.slice(i, j - i), num, den)
@@ -398,8 +408,8 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int
 
 
 def _compare_group(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    rep, label, size, block = (table[c].to_numpy() for c in (
-        "rep", "label", "n_shingles", "block"))
+    rep, label, size, block, own = (table[c].to_numpy() for c in (
+        "rep", "label", "n_shingles", "block", "own"))
     p, q = table["p"][0].as_py(), table["q"][0].as_py()
     bodies = table["sketch"].to_pylist()
     length = np.array([len(b) for b in bodies])
@@ -412,17 +422,21 @@ def _compare_group(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBat
         for m in rows:
             if m < n:
                 continue
-            other = cells[m].reshape(len(rows[m]), -1, n).sum(axis=1, dtype=np.uint8)
-            for k, i in enumerate(rows[n].tolist()):
-                j = rows[m]
-                able = (label[j] != label[i]) & (
-                    den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))
+            # Members of the longer sketch by size, so that those similar in size stand together.
+            others = rows[m][np.argsort(size[rows[m]], kind="stable")]
+            other = cells[m][np.argsort(size[rows[m]], kind="stable")]
+            other = other.reshape(len(others), -1, n).sum(axis=1, dtype=np.uint8)
+            low = np.searchsorted(size[others] * den, num * size[rows[n]], "left")
+            high = np.searchsorted(size[others] * num, den * size[rows[n]], "right")
+            for k, (i, start, end) in enumerate(zip(rows[n].tolist(), low.tolist(), high.tolist())):
+                j = others[start:end]
+                able = (label[j] != label[i]) & (own[i] | own[j])
                 able &= (block[j] == q if block[i] == p else False) | (
                     block[j] == p if block[i] == q else False)
                 at = np.flatnonzero(able)
                 if not len(at):
                     continue
-                apart = np.count_nonzero(other[at] != cells[n][k], axis=1)
+                apart = np.count_nonzero(other[start:end][at] != cells[n][k], axis=1)
                 hit = j[at[(den + num) * apart <= (den - num) * (size[j[at]] + size[i])]]
                 left.append(np.full(len(hit), rep[i]))
                 right.append(rep[hit])
