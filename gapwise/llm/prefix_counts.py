@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import texts
+from gapwise.llm.shared import frugal, texts
 from gapwise.llm.units import gather
 from gapwise.llm.words import CHUNK_BYTES, chunks
 
@@ -30,12 +30,13 @@ SPACE = "▁"
 # A text with every kind of white space and characters that other normalisers would change.
 _PROBE = "  ﬁ x²  \tÅ Ａ  é "
 # Distinct segments and bytes of their counts, twice, and pairs of pieces that a worker keeps.
-KEPT_SEGMENTS, KEPT_BYTES, KEPT_PAIRS = 400_000, 24_000_000, 300_000
+KEPT_SEGMENTS, KEPT_BYTES, KEPT_PAIRS = 250_000, 16_000_000, 300_000
 
-# Segments of up to so many characters are worked out side by side.
-SHORT = 48
+# Segments of up to so many characters are worked out side by side, so many at a time.
+SHORT, SIDE_BY_SIDE = 48, 20_000
 # Texts are cut into segments by so many bytes, and into prefixes by CHUNK_BYTES.
-TOGETHER_BYTES = 32 << 20
+TOGETHER_BYTES = 8 << 20
+_PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _SCHEMA = "doc_id long, n_bytes long, n_chars long, n_tokens long, deltas binary"
@@ -239,11 +240,16 @@ class PieceModel:
         short = np.flatnonzero(sizes <= SHORT)
         for i in np.flatnonzero(sizes > SHORT).tolist():
             out[i] = array("i", self.counts(segments[i])).tobytes()
-        if not len(short):
-            return out
         # Longest first, so that those which reach a column are the first rows.
         short = short[np.argsort(-sizes[short], kind="stable")]
-        sizes, spaces = sizes[short], spaces[short]
+        for at in range(0, len(short), SIDE_BY_SIDE):
+            some = short[at:at + SIDE_BY_SIDE]
+            self._side_by_side(segments, some, sizes[some], spaces[some], out)
+        return out
+
+    def _side_by_side(self, segments: list[str], short: np.ndarray, sizes: np.ndarray,
+                      spaces: np.ndarray, out: list[bytes]) -> None:
+        """Fill in ``out`` for the segments ``short``, longest first."""
         texts_ = [(SPACE if k else "") + segments[i].lstrip(" ") for i, k in zip(short.tolist(), spaces.tolist())]
         n, most = len(short), int(sizes[0])
         rows = np.repeat(np.arange(n), sizes)
@@ -292,7 +298,6 @@ class PieceModel:
                 left = np.where(bare[2:size + 1, j], self.run(k) - 1, self.run(k - 1))
                 own = np.concatenate([runs[k], own[1:] + left.astype(np.int32)])
             out[i] = own.tobytes()
-        return out
 
 
 def _codes(text: str) -> np.ndarray:
@@ -330,7 +335,10 @@ class _Segments:
 
 def _cuts(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> np.ndarray:
     at = np.zeros(len(data) + 1, bool)
-    at[1:len(data)] = apart[data[:-1], data[1:]]
+    # Piece by piece, as look-ups take eight bytes for every byte.
+    for i in range(0, len(data) - 1, _PIECE):
+        before, after = data[i:min(i + _PIECE, len(data) - 1)], data[i + 1:i + 1 + _PIECE]
+        at[i + 1:i + 1 + len(before)] = apart[before, after]
     at[offsets] = True
     return np.flatnonzero(at)
 
@@ -410,7 +418,7 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     plain = F.translate("text", SPACE, " ")
     led = F.when(plain != "", F.concat(F.lit(" "), plain)).otherwise("")
     counted = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), led.alias("text"))
-    table = counted.mapInArrow(partial(_table, proto=proto, prefixes=prefixes), _SCHEMA)
+    table = counted.mapInArrow(frugal(partial(_table, proto=proto, prefixes=prefixes)), _SCHEMA)
     return table
 
 

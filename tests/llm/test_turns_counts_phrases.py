@@ -13,7 +13,8 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
 
-from gapwise.llm import collocations as phrases, quotient_filter as filters, turn_repair
+from gapwise.llm import (
+    collocations as phrases, prefix_counts, quotient_filter as filters, turn_repair)
 from gapwise.llm.collocations import collocations
 from gapwise.llm.prefix_counts import (
     PieceModel, longest_prefixes, prefix_table, token_counts, tokens_of_prefixes)
@@ -212,6 +213,19 @@ def test_counts_of_any_characters(text):
     assert segment_counts(text) == library_counts(text)
 
 
+@pytest.mark.parametrize("short, at_once", [(48, 20_000), (5, 7), (1, 1)])
+def test_segments_side_by_side(monkeypatch, short, at_once):
+    monkeypatch.setattr(prefix_counts, "SHORT", short)
+    monkeypatch.setattr(prefix_counts, "SIDE_BY_SIDE", at_once)
+    rng = random.Random(6)
+    solid = [b for b in BITS if not set(b) & {" ", "▁"}]
+    segments = [" " * rng.choice([0, 1, 1, 2, 15, 40]) + "".join(
+        rng.choice(solid) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    segments = [s for s in dict.fromkeys(segments) if s]
+    got = PIECES.all_counts(segments)
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [PIECES.counts(s) for s in segments]
+
+
 def test_prefix_table(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 60))) for _ in range(60)]
