@@ -24,13 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapwise.llm import quotient_filter as filters
-from gapwise.llm.shared import keep
+from gapwise.llm.shared import frugal, keep
 from gapwise.llm.words import buffers, mix
 
 # Bytes of text in a chunk (one longer text stands alone).
 CHUNK_BYTES = 8 << 20
+# Bytes of text that are taken apart at a time.
+PIECE_BYTES = 1 << 20
 # Occurrences counted together in a task, and expected in one range of keys.
 TOGETHER = 4 << 20
+# Entries of a range of keys that are sorted at a time.
+SLICE = 1 << 18
 # Bits of the table of frequent pairs: so many per pair, up to the largest size.
 BITS_PER_PAIR, MOST_BITS = 16, 1 << 26
 
@@ -45,8 +49,8 @@ _STREAMS = "lang string, chunk long, words array<string>, counts array<long>, co
 _FILTERS = "lang string, part long, filter binary"
 
 
-def _stream(data: np.ndarray, offsets: np.ndarray):
-    """(distinct words, their counts, codes of the texts: 0 for a break, else word + 1)."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(words of the texts in order, whether a break or the start lies before each)."""
     data = _LOWER[data]
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = _WORD[data]
@@ -56,35 +60,51 @@ def _stream(data: np.ndarray, offsets: np.ndarray):
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge))
     ends = np.flatnonzero(before & (~inside | edge))
-    marks = np.cumsum(_BREAK[data] | edge[:-1])[starts]
+    marks = np.searchsorted(np.flatnonzero(_BREAK[data] | edge[:-1]), starts, "right")
     at = np.concatenate([[0], np.cumsum(ends - starts)])
     column = pa.Array.from_buffers(
         pa.large_binary(), len(starts),
         [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[inside[:-1]]))])
-    coded = pc.dictionary_encode(column)
-    code = coded.indices.to_numpy()
-    words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
+    return pc.dictionary_encode(column), np.diff(marks, prepend=-1) > 0
+
+
+def _stream(texts: pa.Array, rows: np.ndarray, sizes: np.ndarray):
+    """(distinct words, their counts, codes of the chosen texts: 0 for a break, else word + 1).
+    Texts are taken apart some at a time."""
+    found = [_words(*buffers(texts.take(pa.array(rows[a:b]))))
+             for a, b in _cuts(sizes[rows], PIECE_BYTES)]
+    parts = pa.chunked_array([words for words, _ in found]).unify_dictionaries().chunks
+    code = np.concatenate([p.indices.to_numpy() for p in parts])
+    words = parts[0].dictionary.cast(pa.large_string()).cast(pa.string())
     counts = np.bincount(code, minlength=len(words))
-    place = np.arange(len(code)) + np.cumsum(np.diff(marks, prepend=marks[:1]) > 0)
-    out = np.zeros(place[-1] + 1 if len(place) else 0, np.uint32)
-    out[place] = code + 1
+    gap = np.concatenate([gap for _, gap in found])
+    gap[:1] = False
+    out = np.zeros(len(code) + int(gap.sum()), np.uint32)
+    out[np.arange(len(code)) + np.cumsum(gap)] = code + 1
     return words, counts, out
 
 
+def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of up to ``limit`` bytes; one longer text stands alone."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(sizes):
+        end = max(int(np.searchsorted(total, total[at] + limit, "right")) - 1, at + 1)
+        yield at, end
+        at = end
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         coded = pc.dictionary_encode(batch.column("lang"))
         code = coded.indices.to_numpy()
+        texts = batch.column("text")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         for which, lang in enumerate(coded.dictionary.to_pylist()):
-            data, offsets = buffers(batch.column("text").take(pa.array(np.flatnonzero(code == which))))
-            at = 0
-            while at < len(offsets) - 1:
-                end = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1
-                end = min(max(end, at + 1), len(offsets) - 1)
-                own = offsets[at:end + 1]
-                words, counts, codes = _stream(data[own[0]:own[-1]], own - own[0])
-                at = end
+            rows = np.flatnonzero(code == which)
+            for a, b in _cuts(sizes[rows], CHUNK_BYTES):
+                words, counts, codes = _stream(texts, rows[a:b], sizes)
                 if not len(words):
                     continue
                 yield pa.RecordBatch.from_pydict({
@@ -179,8 +199,9 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, width: int, parts: dict[st
     def flush(lang):
         low, high = zip(*held.pop(lang))
         sizes.pop(lang)
-        high = None if high[0] is None else np.concatenate(high)
-        keys = permutation.apply(np.concatenate(low), high)
+        low, high = np.concatenate(low), None if high[0] is None else np.concatenate(high)
+        keys = permutation.apply(low, high)
+        del low
         keys, high, counts = filters.counted(keys, high)
         lead = parts[lang]
         bits = permutation.bits - lead
@@ -207,46 +228,48 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, width: int, parts: dict[st
 
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int, n: int, width: int,
-           parts: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Filters of a range in a row in, one filter of the counts of at least ``least`` out."""
+           parts: dict[str, int], entries: int) -> Iterator[pa.RecordBatch]:
+    """Filters of a range in a row in, its n-grams that occur at least ``least`` times out."""
     name, held, waiting = None, [], 0
 
     def close():
-        keys, high, counts = filters.merged(held)
-        often = counts >= least
-        blob = filters.encode(keys[often], None if high is None else high[often], counts[often],
-                              _bits(n, width) - parts[name[0]])
-        return pa.RecordBatch.from_pydict({
-            "lang": [name[0]], "part": np.array([name[1]], np.int64), "filter": [blob]})
+        for keys, high, counts in filters.merged_slices(held, entries):
+            often = counts >= least
+            if often.any():
+                yield _entries(*name, keys[often], None if high is None else high[often],
+                               counts[often], n, width, parts)
 
     for batch in batches:
         for lang, part, blob in zip(batch.column("lang").to_pylist(),
                                     batch.column("part").to_pylist(), batch.column("filter")):
             if (lang, part) != name:
                 if held:
-                    yield close()
+                    yield from close()
                 name, held, waiting = (lang, part), [], 0
-            held.append(filters.decode(blob.as_buffer().to_pybytes()))
+            held.append(filters.decode(blob.as_buffer()))
             waiting += len(held[-1][0])
             if len(held) > 1 and waiting > 2 * TOGETHER:
-                held = [filters.merged(held)]
+                held = [_joined(filters.merged_slices(held, entries))]
                 waiting = 0
     if held:
-        yield close()
+        yield from close()
+
+
+def _joined(slices):
+    keys, high, counts = zip(*slices)
+    return (np.concatenate(keys), None if high[0] is None else np.concatenate(high),
+            np.concatenate(counts))
 
 
-def _entries(batches: Iterator[pa.RecordBatch], n: int, width: int, parts: dict[str, int]
-             ) -> Iterator[pa.RecordBatch]:
+def _entries(lang: str, part: int, keys: np.ndarray, high: np.ndarray | None, counts: np.ndarray,
+             n: int, width: int, parts: dict[str, int]) -> pa.RecordBatch:
     permutation = filters.Permutation(_bits(n, width))
-    for batch in batches:
-        for lang, part, blob in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "filter"))):
-            keys, high, counts = filters.decode(blob)
-            if parts[lang]:
-                keys = keys | np.uint64(part) << np.uint64(permutation.bits - parts[lang])
-            ids = _unpacked(permutation.undo(keys, high), high, n, width)
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(counts), pa.string()),
-                **{f"id{i + 1}": c for i, c in enumerate(ids)}, "f": counts})
+    if parts[lang]:
+        keys = keys | np.uint64(part) << np.uint64(permutation.bits - parts[lang])
+    ids = _unpacked(permutation.undo(keys, high), high, n, width)
+    return pa.RecordBatch.from_pydict({
+        "lang": pa.array([lang] * len(counts), pa.string()),
+        **{f"id{i + 1}": c for i, c in enumerate(ids)}, "f": counts})
 
 
 def _pair_bits(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
@@ -269,7 +292,7 @@ class Counts:
         self.least = least
         rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                            F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-        streams = keep(rows.mapInArrow(_streams, _STREAMS), "streams")
+        streams = keep(rows.mapInArrow(frugal(_streams), _STREAMS), "streams")
         listed = streams.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         every = keep(listed.groupBy("lang", F.col("w.words").alias("word")).agg(
             F.sum("w.counts").alias("f")), "vocabulary")
@@ -284,21 +307,16 @@ class Counts:
         known = local.join(self.words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(
             F.struct((F.col("pos") + 1).alias("local"), F.col("id"))).alias("known"))
         self.ids = keep(streams.select("lang", "chunk", "codes").join(known, "chunk").select(
-            "lang", "codes", "known").mapInArrow(_ids, "lang string, ids binary"), "ids")
-
-    def filters(self, n: int, table=None) -> DataFrame:
-        """Merged filters of all n-grams that occur often enough, one per range of keys."""
-        args = {"n": n, "width": self.width, "parts": self.parts}
-        single = self.ids.mapInArrow(partial(_count, table=table, **args), _FILTERS)
-        return single.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(
-            partial(_merge, least=self.least, **args), _FILTERS)
+            "lang", "codes", "known").mapInArrow(frugal(_ids), "lang string, ids binary"), "ids")
 
     def ngrams(self, n: int, table=None) -> DataFrame:
-        """N-grams that occur often enough: lang, id1.., f."""
+        """N-grams that occur often enough: lang, id1.., f. Filters meet by range of keys."""
+        args = {"n": n, "width": self.width, "parts": self.parts}
+        single = self.ids.mapInArrow(frugal(partial(_count, table=table, **args)), _FILTERS)
         names = ", ".join(f"id{i + 1} long" for i in range(n))
-        return keep(self.filters(n, table).mapInArrow(
-            partial(_entries, n=n, width=self.width, parts=self.parts),
-            f"lang string, {names}, f long"), f"ngrams{n}")
+        return keep(single.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(
+            frugal(partial(_merge, least=self.least, entries=SLICE, **args)), f"lang string, {names}, f long"),
+            f"ngrams{n}")
 
     def pair_table(self, pairs: DataFrame):
         """A broadcast bit table of the pairs; at most MOST_BITS bits."""
@@ -306,7 +324,7 @@ class Counts:
         wanted = pairs.count() * BITS_PER_PAIR
         while n_bits < min(wanted, MOST_BITS):
             n_bits *= 2
-        set_bits = pairs.mapInArrow(partial(_pair_bits, n_bits=n_bits), "word long, bits long")
+        set_bits = pairs.mapInArrow(frugal(partial(_pair_bits, n_bits=n_bits)), "word long, bits long")
         # At most MOST_BITS / 64 rows.
         found = set_bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         table = np.zeros(n_bits // 64, "<i8")

@@ -13,6 +13,7 @@ first and is stored beside the remainder.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -119,3 +120,23 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]):
     keys, high, counts = zip(*parts)
     return counted(np.concatenate(keys), None if high[0] is None else np.concatenate(high),
                    np.concatenate(counts))
+
+
+def merged_slices(parts: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]], entries: int
+                  ) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """``merged`` in slices of ascending keys made of about ``entries`` entries each, so that
+    only one slice is sorted at a time."""
+    sizes = np.array([len(p[0]) for p in parts])
+    n_slices = -(-int(sizes.sum()) // entries)
+    if n_slices < 2:
+        yield merged(parts)
+        return
+    # Bounds from evenly spaced entries of every filter; equal keys lie on one side of a bound.
+    spaced = np.sort(np.concatenate([p[0][::max(1, entries // 64)] for p in parts]))
+    bounds = np.unique(spaced[len(spaced) * np.arange(1, n_slices) // n_slices])
+    edges = [np.concatenate([[0], np.searchsorted(p[0], bounds), [len(p[0])]]) for p in parts]
+    for i in range(len(bounds) + 1):
+        own = [(keys[e[i]:e[i + 1]], None if high is None else high[e[i]:e[i + 1]],
+                counts[e[i]:e[i + 1]]) for (keys, high, counts), e in zip(parts, edges)]
+        if any(len(k) for k, _, _ in own):
+            yield merged(own)

@@ -295,6 +295,26 @@ def test_filters_lose_nothing(bits, keys, wide, rng):
     assert (np.diff(some.astype(object)) >= 0).all()
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=60), min_size=1, max_size=5),
+       st.booleans(), st.integers(1, 50))
+def test_filters_merge_in_slices(parts, wide, entries):
+    """No slice has more than its share of entries but for those of one key."""
+    decoded = []
+    for part in parts:
+        keys = np.array(part, np.uint64)
+        decoded.append(filters.counted(keys, keys.astype(np.uint32) % 3 if wide else None))
+    some, more, counts = filters.merged(decoded)
+    slices = list(filters.merged_slices(decoded, entries))
+    assert np.concatenate([s[0] for s in slices]).tolist() == some.tolist()
+    assert np.concatenate([s[2] for s in slices]).tolist() == counts.tolist()
+    if wide:
+        assert np.concatenate([s[1] for s in slices]).tolist() == more.tolist()
+    most = collections.Counter(np.concatenate([d[0] for d in decoded]).tolist()).most_common(1)[0][1]
+    for keys, _, _ in slices:
+        assert sum(np.isin(d[0], keys).sum() for d in decoded) <= 2 * entries + 2 * most + len(parts)
+
+
 def brute_phrases(rows, least=10, share=50, top=2000):
     found = []
     langs = collections.defaultdict(list)
@@ -348,6 +368,17 @@ def test_collocations(spark, monkeypatch, settings_):
     assert got == brute_phrases(rows, top=40)
 
 
+def test_collocations_by_slices(spark, monkeypatch):
+    """Ranges of which only a few entries are sorted at a time, also with wide numbers."""
+    monkeypatch.setattr(phrases, "SLICE", 5)
+    rows = make_sentences()
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    assert sorted(map(tuple, collocations(docs).collect())) == brute_phrases(rows)
+    wide, narrow = phrases.Counts(docs, 10), phrases.Counts(docs, 10)
+    wide.width = 32
+    assert {tuple(r) for r in wide.ngrams(3).collect()} == {tuple(r) for r in narrow.ngrams(3).collect()}
+
+
 def test_collocations_with_wide_numbers(spark, monkeypatch):
     rows = make_sentences()
     docs = spark.createDataFrame(rows, "lang string, text string")
