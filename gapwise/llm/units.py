@@ -78,17 +78,28 @@ class PieceIds:
     def clear(self) -> None:
         self.pieces = pa.array([], pa.large_binary())
         self.flat, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
         pieces, code, first = distinct_pieces(data, offsets)
         place = self._places(pieces)
-        if len(self.pieces) > KEPT_PIECES and len(self.pieces) > len(pieces):
-            self.clear()
-            place = self._places(pieces)
+        self.uses[place] += 1
         ids, ends = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, place[code])
+        if len(self.pieces) > KEPT_PIECES:
+            self._forget()
         return ids, ends[first]
 
+    def _forget(self) -> None:
+        """Keep the pieces of several calls, at most half of the bound, the most used ones."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > KEPT_PIECES // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:KEPT_PIECES // 2]])
+        self.flat, _ = gather(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, kept)
+        self.pieces, self.sizes = self.pieces.take(pa.array(kept)), self.sizes[kept]
+        # Uses of long ago count less.
+        self.uses = self.uses[kept] // 2 + 1
+
     def _places(self, pieces: pa.Array) -> np.ndarray:
         known = pc.index_in(pieces, value_set=self.pieces)
         new = pc.is_null(known)
@@ -100,4 +111,5 @@ class PieceIds:
             self.pieces = pa.concat_arrays([self.pieces, fresh])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
         return place

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from gapwise.llm import chains, fm_index, jaccard_join, page_text, repeats, simple8b, toxicity, warc
+from gapwise.llm import chains, fm_index, jaccard_join, page_text, repeats, simple8b, toxicity, units, warc
 from gapwise.llm.bpe import Vocabulary, coder
 from gapwise.llm.token_files import library_coder
 from gapwise.llm.words import NOT_SPACE, chunks, words
@@ -52,6 +52,27 @@ def test_both_encoders_equal_the_library(library, limit):
                     want, skip_special_tokens=False)
 
 
+def test_used_pieces_are_encoded_once(monkeypatch):
+    """A full store forgets pieces, but not those of several calls."""
+    monkeypatch.setattr(units, "KEPT_PIECES", 30)
+    asked = collections.Counter()
+
+    def encode(pieces):
+        asked.update(pieces)
+        return (np.concatenate([np.frombuffer(p, np.uint8) for p in pieces]).astype(np.int64),
+                np.array([len(p) for p in pieces]))
+
+    store = units.PieceIds(encode)
+    for i in range(40):
+        text = "often again " + " ".join(f"new{i}x{j}" for j in range(9))
+        for _, data, offsets in chunks([batch([text, "", text])]):
+            flat, ends = store.ids(data, offsets)
+            assert flat.astype(np.uint8).tobytes().decode() == 2 * text
+            assert ends.tolist() == [0, len(text), len(text), 2 * len(text)]
+        assert len(store.pieces) == len(store.sizes) == len(store.uses) <= 30
+    assert asked[b" again"] == asked[b"often"] == 1
+
+
 def test_vocabulary_refuses_merges_out_of_order():
     import json
 
