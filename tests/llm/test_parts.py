@@ -258,6 +258,20 @@ def test_page_blocks():
     assert page_text.page_blocks("<article><p>a <a hre")[0] == ["a"]
 
 
+def test_formulas_and_elements_without_an_end():
+    blocks = page_text.page_blocks
+    formula = "<math><mi>E</mi> <mo>=</mo> <msup><mi>c</mi><mn>2</mn></msup></math>"
+    assert blocks(f"<article><p>Here {formula} holds.</p><p>b</p></article>")[0] == [
+        "Here E = c2 holds.", "b"]
+    for lost in ("<svg><path d='x'>", "<select><option>x", "<template><b>x", "<noscript>x"):
+        page = f"<article><p>one {lost}</p><p>two</p></article>"
+        assert blocks(page)[0] == ["one", "two"], page
+    for gone in ("<svg><text>x</text></svg>", "<select><option>x</select>", "<script>if (a<b) x</script>",
+                 "<style>p > a {}</style>", "<noscript>x <img src=y></noscript>", "<textarea><p>x</textarea>"):
+        page = f"<article><p>one {gone}</p><p>two</p></article>"
+        assert blocks(page)[0] == ["one", "two"], page
+
+
 def test_classes_of_states_and_sentences():
     blocks = page_text.page_blocks
     for page in ('<div class="layout has-sidebar"><article><p>story</p></article></div>',
