@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,27 @@ def test_vocabulary_refuses_merges_out_of_order():
         Vocabulary(json.dumps(spec))
 
 
+def test_search_holds_one_shard():
+    """Memory follows the shard, not the batch."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(3000)) for _ in range(400)]
+    item = " ".join(texts[7].split()[100:113])
+    number = {w: int(h) for w, h in zip(item.split(), words(
+        np.frombuffer(item.encode(), np.uint8), np.array([0, len(item)]), fm_index.ALNUM)[3].view(np.int64))}
+    phrases = fm_index.Phrases([([1], [number[w] for w in item.split()])])
+    rows = batch(texts)
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(fm_index._search(iter([rows]), phrases))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found["doc_id"].to_pylist() == list(range(400))
+    assert found["n_words"].to_pylist() == [3000] * 400
+    assert found["n_hit"][7].as_py() >= 13 and rows.nbytes > 3 << 20
+    assert most < 80 << 20, most
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2 ** 64 - 1)),
                 max_size=300), st.integers(0, 6000))
