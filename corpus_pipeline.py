@@ -14,7 +14,7 @@ from gapwise.llm.content_sort import exact_duplicates
 from gapwise.llm.fm_index import contamination
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.queries import tokenizer_path
-from gapwise.llm.shared import drop_rows, keep, one_text_per_id
+from gapwise.llm.shared import TEXT_ROWS, drop_rows, keep, one_text_per_id
 from gapwise.llm.toxicity import toxicity_scores
 
 
@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents that are left."""
-    return bpe_digests(docs, tokenizer_path())
+    return keep(bpe_digests(docs, tokenizer_path()), "digests", batch_rows=TEXT_ROWS)
 
 
 STAGES = [

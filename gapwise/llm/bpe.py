@@ -20,14 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import frugal, texts
+from gapwise.llm.shared import frugal, give_back, texts
 from gapwise.llm.units import PieceIds, gather
 from gapwise.llm.words import chunks
 
 # Fixed value: the public byte-level pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 _SHIFT = 20
 
 
@@ -89,16 +89,17 @@ class Vocabulary:
         """Ids of all words one after another, and the number of ids of each."""
         sizes = np.array([len(w) for w in words], np.int64)
         sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         n = len(sym)
         if n == 0:
             return sym, sizes
-        place = np.arange(n)
+        place = np.arange(n, dtype=np.int32)
         joined = np.append(word[1:] == word[:-1], False)
-        nxt = np.where(joined, place + 1, -1)
-        prv = np.where(np.insert(joined[:-1], 0, False), place - 1, -1)
+        nxt = np.where(joined, place + 1, np.int32(-1))
+        prv = np.where(np.insert(joined[:-1], 0, False), place - 1, np.int32(-1))
+        at = place[joined]
+        del place
 
-        at = np.flatnonzero(joined)
         lists: dict[int, list[np.ndarray]] = {}
 
         def enlist(at: np.ndarray, ranks: np.ndarray) -> None:
@@ -205,6 +206,7 @@ def encoded(text: str, batches: Iterator[pa.RecordBatch]
     _, pieces = coder(text)
     for doc_ids, data, offsets in chunks(batches, CHUNK_BYTES):
         yield doc_ids, *pieces.ids(data, offsets)
+        give_back()
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import components, frugal, keep, keep_rows, texts
+from gapwise.llm.shared import TEXT_ROWS, components, frugal, keep, keep_rows, texts
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
@@ -288,7 +288,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = texts(docs, id_col, text_col)
     sets = keep(rows.mapInArrow(
         frugal(partial(_class_rows, k=k)),
-        "doc_id long, n_shingles long, sketch binary, h1 long, h2 long"), "sets")
+        "doc_id long, n_shingles long, sketch binary, h1 long, h2 long"), "sets",
+        batch_rows=TEXT_ROWS)
     key = ["h1", "h2", "n_shingles"]
     classes = keep(sets.filter("n_shingles > 0").groupBy(*key).agg(
         F.min("doc_id").alias("rep")), "classes")
@@ -323,7 +324,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     def compared(p: DataFrame) -> DataFrame:
         return keep(with_texts(p, rows).mapInArrow(
-            frugal(partial(_similar, k=k, num=num, den=den)), "a long, b long"), "links")
+            frugal(partial(_similar, k=k, num=num, den=den)), "a long, b long"), "links",
+            batch_rows=PAIRS_AT_ONCE)
 
     first = keep(as_classes(pairs.select("a", "b").distinct()), "candidates")
     links = verified(first)

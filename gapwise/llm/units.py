@@ -101,10 +101,13 @@ class PieceIds:
         self.uses = self.uses[kept] // 2 + 1
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
-        known = pc.index_in(pieces, value_set=self.pieces)
-        new = pc.is_null(known)
-        place = pc.fill_null(known, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        fresh = pieces.filter(new)
+        # The table of hashes is that of the chunk's pieces, as those kept are many more.
+        found = pc.fill_null(pc.index_in(self.pieces, value_set=pieces), -1).to_numpy(
+            zero_copy_only=False)
+        known = np.flatnonzero(found >= 0)
+        place = np.full(len(pieces), -1)
+        place[found[known]] = known
+        fresh = pieces.filter(pa.array(place < 0))
         if len(fresh):
             flat, sizes = self.encode(fresh.to_pylist())
             place[place < 0] = len(self.pieces) + np.arange(len(fresh))

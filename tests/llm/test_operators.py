@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from gapwise.llm import chains, fm_index, jaccard_join, page_text
 from gapwise.llm.jaccard_join import jaccard_groups
 from gapwise.llm.page_text import page_texts
 from gapwise.llm.repeats import repeated_spans, without_repeats
-from gapwise.llm.shared import components, drop_rows, one_text_per_id
+from gapwise.llm.shared import components, drop_rows, keep, one_text_per_id
 from gapwise.llm.token_files import read_tokens, write_tokens
 from gapwise.llm.toxicity import toxicity_scores
 from gapwise.llm.words import NOT_SPACE, words
@@ -616,6 +617,18 @@ def test_empty_tables(spark, nothing):
         assert df.collect() == []
 
 
+def test_batches_of_written_tables(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["n"] for r in keep(rows, "few", batch_rows=1000).collect()) == [500, 1000, 1000]
+    assert [r["n"] for r in keep(rows, "all").collect()] == [2500]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+
+
 def test_drop_rows(spark, docs):
     gone = spark.createDataFrame([(3,), (3,), (7,)], "doc_id long")
     keyed = one_text_per_id(docs)

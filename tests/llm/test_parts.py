@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from gapwise.llm import chains, fm_index, jaccard_join, page_text, repeats, simple8b, toxicity, units, warc
-from gapwise.llm.bpe import Vocabulary, coder
+from gapwise.llm.bpe import Vocabulary, coder, encoded
 from gapwise.llm.token_files import library_coder
 from gapwise.llm.words import NOT_SPACE, chunks, words
 
@@ -74,6 +74,27 @@ def test_used_pieces_are_encoded_once(monkeypatch):
     assert asked[b" again"] == asked[b"often"] == 1
 
 
+def test_encoding_holds_one_chunk():
+    """Memory follows the chunk, not the batch."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoinshr") + rng.choice(["", "", " "]) for _ in range(12_000))
+             for _ in range(400)]
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    coder.cache_clear()
+    coder(text)
+    rows = batch(texts)
+    tracemalloc.start()
+    try:
+        ids = [len(ids) for ids, _, _ in encoded(text, iter([rows]))]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        coder.cache_clear()
+    assert sum(ids) == 400 and rows.nbytes > 6 << 20
+    assert most < 160 << 20, most
+
+
 def test_vocabulary_refuses_merges_out_of_order():
     import json
 
