@@ -24,15 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapwise.llm import quotient_filter as filters
-from gapwise.llm.shared import frugal, keep
+from gapwise.llm.shared import TEXT_ROWS, frugal, keep
 from gapwise.llm.words import buffers, mix
 
 # Bytes of text in a chunk (one longer text stands alone).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+# Bytes of text that a task gathers from batches to fill the chunks of its languages.
+HELD_BYTES = 8 << 20
 # Bytes of text that are taken apart at a time.
 PIECE_BYTES = 1 << 20
 # Occurrences counted together in a task, and expected in one range of keys.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
+# Rows of streams or filters that go to a worker at a time.
+BLOB_ROWS = 8
 # Entries of a range of keys that are sorted at a time.
 SLICE = 1 << 18
 # Bits of the table of frequent pairs: so many per pair, up to the largest size.
@@ -96,24 +100,43 @@ def _cuts(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
+    held: dict[str, list[pa.Array]] = {}
+    held_bytes: dict[str, int] = {}
+
+    def flush(lang):
+        nonlocal number
+        texts = pa.concat_arrays(held.pop(lang))
+        held_bytes.pop(lang)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.arange(len(texts))
+        for a, b in _cuts(sizes, CHUNK_BYTES):
+            words, counts, codes = _stream(texts, rows[a:b], sizes)
+            if not len(words):
+                continue
+            yield pa.RecordBatch.from_pydict({
+                "lang": [lang], "chunk": np.array([number], np.int64),
+                "words": pa.ListArray.from_arrays(np.array([0, len(words)], np.int32), words),
+                "counts": pa.ListArray.from_arrays(
+                    np.array([0, len(words)], np.int32), pa.array(counts, pa.int64())),
+                "codes": [codes.astype("<u4").tobytes()]})
+            number += 1
+
+    # A language's texts are gathered over batches until they fill a chunk.
     for batch in batches:
         coded = pc.dictionary_encode(batch.column("lang"))
         code = coded.indices.to_numpy()
-        texts = batch.column("text")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = batch.column("text").cast(pa.large_string())
         for which, lang in enumerate(coded.dictionary.to_pylist()):
-            rows = np.flatnonzero(code == which)
-            for a, b in _cuts(sizes[rows], CHUNK_BYTES):
-                words, counts, codes = _stream(texts, rows[a:b], sizes)
-                if not len(words):
-                    continue
-                yield pa.RecordBatch.from_pydict({
-                    "lang": [lang], "chunk": np.array([number], np.int64),
-                    "words": pa.ListArray.from_arrays(np.array([0, len(words)], np.int32), words),
-                    "counts": pa.ListArray.from_arrays(
-                        np.array([0, len(words)], np.int32), pa.array(counts, pa.int64())),
-                    "codes": [codes.astype("<u4").tobytes()]})
-                number += 1
+            own = texts.filter(pa.array(code == which))
+            size = int(pc.sum(pc.binary_length(own)).as_py() or 0)
+            if held_bytes.get(lang, 0) + size > CHUNK_BYTES and lang in held:
+                yield from flush(lang)
+            held.setdefault(lang, []).append(own)
+            held_bytes[lang] = held_bytes.get(lang, 0) + size
+        while sum(held_bytes.values()) > HELD_BYTES:
+            yield from flush(max(held_bytes, key=held_bytes.get))
+    for lang in list(held):
+        yield from flush(lang)
 
 
 def _numbered(vocabulary: DataFrame) -> DataFrame:
@@ -292,7 +315,7 @@ class Counts:
         self.least = least
         rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                            F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-        streams = keep(rows.mapInArrow(frugal(_streams), _STREAMS), "streams")
+        streams = keep(rows.mapInArrow(frugal(_streams), _STREAMS), "streams", batch_rows=TEXT_ROWS)
         listed = streams.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
         every = keep(listed.groupBy("lang", F.col("w.words").alias("word")).agg(
             F.sum("w.counts").alias("f")), "vocabulary")
@@ -307,7 +330,8 @@ class Counts:
         known = local.join(self.words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(
             F.struct((F.col("pos") + 1).alias("local"), F.col("id"))).alias("known"))
         self.ids = keep(streams.select("lang", "chunk", "codes").join(known, "chunk").select(
-            "lang", "codes", "known").mapInArrow(frugal(_ids), "lang string, ids binary"), "ids")
+            "lang", "codes", "known").mapInArrow(frugal(_ids), "lang string, ids binary"), "ids",
+            batch_rows=BLOB_ROWS)
 
     def ngrams(self, n: int, table=None) -> DataFrame:
         """N-grams that occur often enough: lang, id1.., f. Filters meet by range of keys."""
@@ -316,7 +340,7 @@ class Counts:
         names = ", ".join(f"id{i + 1} long" for i in range(n))
         return keep(single.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(
             frugal(partial(_merge, least=self.least, entries=SLICE, **args)), f"lang string, {names}, f long"),
-            f"ngrams{n}")
+            f"ngrams{n}", batch_rows=BLOB_ROWS)
 
     def pair_table(self, pairs: DataFrame):
         """A broadcast bit table of the pairs; at most MOST_BITS bits."""

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -368,6 +369,31 @@ def test_collocations(spark, monkeypatch, settings_):
     assert got == brute_phrases(rows, top=40)
 
 
+def test_streams_gather_small_batches(monkeypatch):
+    """Chunks of a language are filled over batches, and no more than that is held."""
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 3)
+
+    monkeypatch.setattr(phrases, "TaskContext", Task)
+    rows = [("en" if i % 3 else "de", f"one{i} two. Three") for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"lang": [l], "text": [t]}) for l, t in rows]
+    whole = list(phrases._streams(iter(batches)))
+    assert sorted(b["lang"][0].as_py() for b in whole) == ["de", "en"]
+    monkeypatch.setattr(phrases, "HELD_BYTES", 100)
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 70)
+    parts = list(phrases._streams(iter(batches)))
+    assert len({b["chunk"][0].as_py() for b in parts}) == len(parts) > 10
+    for lang in ("de", "en"):
+        counts = [collections.Counter() for _ in range(2)]
+        for count, found in zip(counts, (whole, parts)):
+            for b in found:
+                if b["lang"][0].as_py() == lang:
+                    count.update(dict(zip(b["words"][0].as_py(), b["counts"][0].as_py())))
+        assert counts[0] == counts[1] == collections.Counter(
+            w for l, t in rows if l == lang for w in t.lower().replace(".", "").split())
+
+
 def test_collocations_by_slices(spark, monkeypatch):
     """Ranges of which only a few entries are sorted at a time, also with wide numbers."""
     monkeypatch.setattr(phrases, "SLICE", 5)
