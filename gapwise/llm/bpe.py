@@ -195,7 +195,7 @@ class Vocabulary:
 @lru_cache(maxsize=2)
 def coder(text: str) -> tuple[Vocabulary, PieceIds]:
     """The vocabulary of a tokenizer file and its encoder, kept by a worker from task to
-    task."""
+    task of a stage."""
     vocabulary = Vocabulary(text)
     return vocabulary, PieceIds(vocabulary.encode_pieces)
 
@@ -230,7 +230,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 ["doc_id", "ids", "decoded"])
 
     return texts(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, ids array<int>, decoded string")
+        frugal(run, keeps=coder), "doc_id long, ids array<int>, decoded string")
 
 
 def _shared_vocabulary(docs: DataFrame, path: str):
@@ -260,4 +260,5 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs, id_col, text_col).mapInArrow(
-        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        frugal(run, keeps=coder),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,6 +30,8 @@ from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
 COMBINE_ROWS = 1_000_000
+# Texts are taken together up to this many bytes.
+CHUNK_BYTES = 512 << 10
 # One more part than needed, so that a set with a single empty choice needs no
 # signature for it (a choice that is empty in many sets would be shared by all of them).
 SPARE = 1
@@ -59,7 +61,7 @@ def _sum_by(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for ids, data, offsets in chunks(batches):
+    for ids, data, offsets in chunks(batches, CHUNK_BYTES):
         of, value = shingle_sets(data, offsets, k)
         n = len(ids)
         yield pa.RecordBatch.from_pydict({
@@ -196,7 +198,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], k: int, num: int, den: in
                     ) -> Iterator[pa.RecordBatch]:
     bands = Bands(num, den)
     held, n = [], 0
-    for ids, data, offsets in chunks(batches):
+    for ids, data, offsets in chunks(batches, CHUNK_BYTES):
         doc, sig = signatures(*shingle_sets(data, offsets, k), len(ids), bands)
         held.append((sig, ids[doc]))
         n += len(sig)
@@ -255,7 +257,7 @@ def _sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     sets = []
     one = pa.RecordBatch.from_arrays(
         [pa.array(np.arange(len(coded.dictionary))), coded.dictionary], ["doc_id", "text"])
-    for ids, data, offsets in chunks([one]):
+    for ids, data, offsets in chunks([one], CHUNK_BYTES):
         of, value = shingle_sets(data, offsets, k)
         edge = np.searchsorted(of, np.arange(len(ids) + 1))
         sets += [value[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]

@@ -3,6 +3,7 @@
 import collections
 import random
 import tracemalloc
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 from gapwise.llm import chains, fm_index, jaccard_join, page_text, repeats, simple8b, toxicity, units, warc
 from gapwise.llm.bpe import Vocabulary, coder, encoded
+from gapwise.llm.shared import frugal
 from gapwise.llm.token_files import library_coder
 from gapwise.llm.words import NOT_SPACE, chunks, words
 
@@ -95,6 +97,42 @@ def test_encoding_holds_one_chunk():
     assert most < 160 << 20, most
 
 
+def test_scoring_holds_one_chunk():
+    """Memory follows the chunk, not the batch."""
+    text = "some words of a text that is neither long nor short " * 40
+    rows = batch([f"{text}{i}" for i in range(1000)])
+    model = types.SimpleNamespace(
+        value=toxicity.Model(np.arange(5, dtype=np.int64), np.ones(5), 0.0))
+    tracemalloc.start()
+    try:
+        scored = sum(b.num_rows for b in toxicity._score(iter([rows]), model))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert scored == 1000 and rows.nbytes > 2_000_000
+    assert most < 30 << 20, most
+
+
+def test_caches_go_when_a_worker_gets_other_work():
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+
+    def encode(batches):
+        for ids, _, _ in encoded(text, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], ["doc_id"])
+
+    def other(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([coder.cache_info().currsize])], ["n"])
+
+    coder.cache_clear()
+    task, rows = frugal(encode, keeps=coder), batch(["one text"])
+    for _ in range(2):
+        assert sum(b.num_rows for b in task(iter([rows]))) == 1
+    # the next task of the same function finds what the first one has read
+    assert coder.cache_info().misses == 1
+    assert [b["n"][0].as_py() for b in frugal(other)(iter([rows]))] == [0]
+
+
 def test_vocabulary_refuses_merges_out_of_order():
     import json
 
