@@ -25,13 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from gapwise.llm.shared import TEXT_ROWS, components, frugal, keep, keep_rows, texts
+from gapwise.llm.shared import TEXT_BYTES, TEXT_ROWS, components, frugal, keep, keep_rows, texts
 from gapwise.llm.words import NOT_SPACE, chunks, mix, shingles, words
 
 # Rows of signatures a task gathers before it combines those of equal hash.
-COMBINE_ROWS = 1_000_000
+COMBINE_ROWS = 250_000
 # Texts are taken together up to this many bytes.
-CHUNK_BYTES = 512 << 10
+CHUNK_BYTES = 256 << 10
 # One more part than needed, so that a set with a single empty choice needs no
 # signature for it (a choice that is empty in many sets would be shared by all of them).
 SPARE = 1
@@ -303,7 +303,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # The firsts of all chunks meet by signature; a chunk's own pairs are dealt out by their
     # second document too, so that a signature of very many documents is spread.
     met = found.repartition(F.xxhash64("sig", "b")).sortWithinPartitions("sig", F.col("b").isNotNull(), "a")
-    pairs = keep(met.mapInArrow(frugal(_bucket_pairs), "sig long, a long, b long"), "bucket-pairs")
+    pairs = keep(met.mapInArrow(frugal(_bucket_pairs), "sig long, a long, b long"), "bucket-pairs",
+                 batch_bytes=TEXT_BYTES)
 
     def as_classes(p: DataFrame) -> DataFrame:
         """Pairs of documents as distinct pairs of classes that can be similar by size."""

@@ -3,8 +3,11 @@ long texts, ties, repeated rows and columns of clashing names."""
 
 import collections
 import hashlib
+import os
 import random
 import re
+import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -629,6 +632,29 @@ def test_batches_of_written_tables(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
 
 
+def test_signatures_get_few_texts_at_a_time(spark, monkeypatch):
+    """Executor and worker both hold a batch, so it is bounded by the bytes of its texts."""
+    folder = tempfile.mkdtemp()
+    real = jaccard_join._signature_rows
+
+    def noted(batches, **settings):
+        def seen():
+            for b in batches:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(b.nbytes))
+                yield b
+
+        yield from real(seen(), **settings)
+
+    monkeypatch.setattr(jaccard_join, "_signature_rows", noted)
+    df = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(concat(id, ' w '), 500) AS text")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert jaccard_groups(df, k=5, num=80, den=100).count() == 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == usual
+    sizes = [int(open(f"{folder}/{n}").read()) for n in os.listdir(folder)]
+    assert sum(sizes) > 5_000_000 and max(sizes) < 2 << 20, sizes
+
+
 def test_drop_rows(spark, docs):
     gone = spark.createDataFrame([(3,), (3,), (7,)], "doc_id long")
     keyed = one_text_per_id(docs)
