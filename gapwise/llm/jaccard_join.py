@@ -16,7 +16,6 @@ signature that ended up in different components are compared pair by pair.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,8 +36,9 @@ CHUNK_BYTES = 256 << 10
 SPARE = 1
 # Pairs whose sets a task holds at a time.
 PAIRS_AT_ONCE = 256
-# Members of a signature that are held against each other at a time.
+# Members of a signature that are held against each other at a time, and their pairs.
 BLOCK_MEMBERS = 2_000
+PAIRS_OF_MEMBERS = 1 << 17
 _U = np.uint64
 
 
@@ -72,34 +72,38 @@ def _class_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 
 def _sketches(of: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
-    """Per set, a byte for each of about half as many cells as features: their hashes' sum.
+    """Per set, a bit for each of one to two times as many cells as features: whether an odd
+    number of them fell there.
 
-    Halving the cells adds the halves, so sketches of different sizes compare. Cells that
+    Halving the cells combines the halves, so sketches of different sizes compare. Cells that
     differ are at most as many as the features in which two sets differ.
     """
     sizes = np.bincount(of, minlength=n)
-    cells = 1 << np.ceil(np.log2(np.maximum(sizes / 2, 16))).astype(np.int64)
-    base = np.cumsum(cells) - cells
+    cells = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    base = np.cumsum(cells // 8) - cells // 8
     code = mix(value ^ _U(0x8EBC6AF09C88C6E3))
-    cell = base[of] + ((code >> _U(8)) & (cells[of] - 1).astype(_U)).astype(np.int64)
-    body = _sum_by(cell, code & _U(255), int(cells.sum())).astype(np.uint8)
+    cell = ((code >> _U(8)) & (cells[of] - 1).astype(_U)).astype(np.int64)
+    body = np.zeros(int(cells.sum()) // 8, np.uint8)
+    np.bitwise_xor.at(body, base[of] + (cell >> 3), (1 << (cell & 7)).astype(np.uint8))
     return pa.Array.from_buffers(
         pa.binary(), n, [None, pa.py_buffer(np.append(base, len(body)).astype(np.int32)),
                          pa.py_buffer(body)])
 
 
+def _folded(sketches: np.ndarray, n: int) -> np.ndarray:
+    """Rows of sketches in words of 64 cells, as sketches of ``n`` words."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, n), axis=1)
+
+
 def _may_be_similar(batches: Iterator[pa.RecordBatch], num: int, den: int
                     ) -> Iterator[pa.RecordBatch]:
     """Pairs with sketches in; out those whose sketches do not rule similarity out."""
-    def fold(x: np.ndarray, n: int) -> np.ndarray:
-        return x.reshape(-1, n).sum(axis=0, dtype=np.uint8)
-
     for batch in batches:
         possible = []
         for sa, sb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))):
-            x, y = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
-            n = min(len(x), len(y))
-            apart = int(np.count_nonzero(fold(x, n) != fold(y, n)))
+            x, y = np.frombuffer(sa, _U)[None], np.frombuffer(sb, _U)[None]
+            n = min(x.size, y.size)
+            apart = int(np.bitwise_count(_folded(x, n) ^ _folded(y, n)).sum())
             possible.append((den + num) * apart <= (den - num) * (na + nb))
         chosen = pa.array(possible, pa.bool_())
         yield pa.RecordBatch.from_arrays(
@@ -336,9 +340,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     label = keep(member.select("rep").distinct().join(
         labels.withColumnsRenamed({"node": "rep", "root": "label"}), "rep", "left").select(
         "rep", F.coalesce("label", "rep").alias("label")), "class-labels")
-    apart = _open_members(pairs, member, label)
     own = sets.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
-    rest = _open_pairs(apart.join(label, "rep").join(own, "rep"), num, den)
+    rest = _open_pairs(_open_members(pairs, member, label), own, num, den)
     rest = keep(rest.join(first, ["a", "b"], "left_anti"), "open-candidates")
     if not rest.isEmpty():
         labels = components(links.unionByName(compared(rest)))
@@ -348,8 +351,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def _open_members(pairs: DataFrame, member: DataFrame, label: DataFrame) -> DataFrame:
-    """(first, rep): the classes in signatures of three or more documents whose members are
-    not all in one component, under the signature's first document."""
+    """(sig, rep, label): the classes in signatures whose members are not all in one component."""
     of = member.select("doc_id", "rep").distinct().join(label, "rep")
     la = of.select(F.col("doc_id").alias("a"), F.col("label").alias("la"))
     lb = of.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"))
@@ -357,96 +359,100 @@ def _open_members(pairs: DataFrame, member: DataFrame, label: DataFrame) -> Data
     apart = keep(apart.select("a", "b"), "apart")
     sigs = pairs.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
     own = keep(pairs.join(keep(sigs, "open"), "sig", "left_semi"), "open-pairs")
-    firsts = keep(own.groupBy("sig").agg(
-        F.min("a").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
     every = own.select("sig", F.col("a").alias("doc_id")).union(
         own.select("sig", F.col("b").alias("doc_id"))).distinct()
-    every = every.join(firsts, "sig").select("first", "doc_id").distinct()
-    return keep(every.join(member.select("doc_id", "rep").distinct(), "doc_id").select(
-        "first", "rep").distinct(), "open-members")
-
-
-def _open_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members (first, rep, label, n_shingles, sketch) of one first, with
-    different labels, that sketches do not rule out.
-
-    Members meet by bands of sizes, each the quotient of sizes that are still similar wide: a
-    member is in its own band and carried into the next. A band of very many members is dealt out
-    in blocks, every block against every block."""
-    # A little wider, so that rounding parts no sizes that are similar.
-    width = math.log(den / num) * (1 + 1e-9)
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
-    members = members.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "band", F.when(F.col("own"), band).otherwise(band + 1))
-    # Bands where nothing is carried to, or nothing of its own, have no other pairs.
-    group = ["first", "band"]
-    large = keep(members.groupBy(*group).agg(F.count("*").alias("n"), F.max("own").alias("any")).filter(
-        F.col("any") & (F.col("n") > 1)).select(
-        *group, F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "bands")
-    dealt = members.join(large, group).withColumn(
+    return keep(every.join(of, "doc_id").select("sig", "rep", "label").distinct(), "open-members")
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (sig, rep, label) of one signature, with different labels, that
+    the sketches in ``sets`` (rep, n_shingles, sketch) do not rule out.
+
+    Two members of a signature have been compared before. Very many members are dealt out in
+    blocks, every block against every block; sketches join when it is known who meets where."""
+    large = keep(members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").select(
+        "sig", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "open-sizes")
+    dealt = members.join(large, "sig").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meet = F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least(j, F.col("block")).alias("p"),
                            F.greatest(j, F.col("block")).alias("q"))))
-    dealt = dealt.withColumn("meet", meet).select(
-        *group, "meet.p", "meet.q", "block", "own", "rep", "label", "n_shingles", "sketch")
-    key = [*group, "p", "q"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+    dealt = keep(dealt.withColumn("meet", meet).select(
+        "sig", "meet.p", "meet.q", "block", "rep", "label"), "dealt")
+    key = ["sig", "p", "q"]
+    return dealt.join(sets, "rep").repartition(*key).sortWithinPartitions(*key).mapInArrow(
         frugal(partial(_compare_blocks, num=num, den=den)), "a long, b long").distinct()
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch], num: int, den: int
                     ) -> Iterator[pa.RecordBatch]:
-    """Groups (first, band, p, q), sorted: members of block p against those of block q."""
+    """Groups (sig, p, q), sorted: members of block p against those of block q."""
     held: pa.Table | None = None
+
+    def compared(table: pa.Table, edge: list[int]) -> Iterator[pa.RecordBatch]:
+        columns = [table[c].to_numpy() for c in ("rep", "label", "n_shingles", "block", "p", "q")]
+        sketches = table["sketch"].to_pylist()
+        found = [pair for i, j in zip(edge[:-1], edge[1:])
+                 for pair in _compare_group(*(c[i:j] for c in columns), sketches[i:j], num, den)]
+        if found:
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
-        key = np.stack([table[c].to_numpy() for c in ("first", "band", "p", "q")])
-        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        for i, j in zip(edge[:-1], edge[1:]):
-            yield from _compare_group(table.slice(i, j - i), num, den)
-        held = table.slice(edge[-1]) if len(edge) else None
+        key = np.stack([table[c].to_numpy() for c in ("sig", "p", "q")])
+        edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))).tolist()
+        if table.num_rows:
+            yield from compared(table.slice(0, edge[-1]), edge)
+            held = table.slice(edge[-1])
     if held is not None and held.num_rows:
-        yield from _compare_group(held, num, den)
-
-
-def _compare_group(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    rep, label, size, block, own = (table[c].to_numpy() for c in (
-        "rep", "label", "n_shingles", "block", "own"))
-    p, q = table["p"][0].as_py(), table["q"][0].as_py()
-    bodies = table["sketch"].to_pylist()
-    length = np.array([len(b) for b in bodies])
-    lengths = np.unique(length)
-    rows = {n: np.flatnonzero(length == n) for n in lengths.tolist()}
-    cells = {n: np.frombuffer(b"".join(bodies[i] for i in r), np.uint8).reshape(-1, n)
-             for n, r in rows.items()}
-    left, right = [], []
-    for n in rows:
-        for m in rows:
-            if m < n:
+        yield from compared(held, [0, held.num_rows])
+
+
+def _compare_group(rep: np.ndarray, label: np.ndarray, size: np.ndarray, block: np.ndarray,
+                   p: np.ndarray, q: np.ndarray, sketches: list[bytes], num: int, den: int
+                   ) -> Iterator[np.ndarray]:
+    """Two rows, the smaller and the larger of every pair that may be similar."""
+    p, q = p[0], q[0]
+    length = np.array([len(s) // 8 for s in sketches])
+
+    def by_length(chosen: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows = {n: np.flatnonzero(chosen & (length == n)) for n in set(length[chosen].tolist())}
+        return {n: (r, np.frombuffer(b"".join([sketches[i] for i in r.tolist()]), _U).reshape(-1, n))
+                for n, r in rows.items()}
+
+    left = by_length(block == p)
+    right = left if p == q else by_length(block == q)
+    for n, (one, x) in left.items():
+        for m, (other, y) in right.items():
+            if p == q and m < n:
                 continue
-            # Members of the longer sketch by size, so that those similar in size stand together.
-            others = rows[m][np.argsort(size[rows[m]], kind="stable")]
-            other = cells[m][np.argsort(size[rows[m]], kind="stable")]
-            other = other.reshape(len(others), -1, n).sum(axis=1, dtype=np.uint8)
-            low = np.searchsorted(size[others] * den, num * size[rows[n]], "left")
-            high = np.searchsorted(size[others] * num, den * size[rows[n]], "right")
-            for k, (i, start, end) in enumerate(zip(rows[n].tolist(), low.tolist(), high.tolist())):
-                j = others[start:end]
-                able = (label[j] != label[i]) & (own[i] | own[j])
-                able &= (block[j] == q if block[i] == p else False) | (
-                    block[j] == p if block[i] == q else False)
-                at = np.flatnonzero(able)
-                if not len(at):
-                    continue
-                apart = np.count_nonzero(other[start:end][at] != cells[n][k], axis=1)
-                hit = j[at[(den + num) * apart <= (den - num) * (size[j[at]] + size[i])]]
-                left.append(np.full(len(hit), rep[i]))
-                right.append(rep[hit])
-    if left:
-        a, b = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        if both.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            least = min(n, m)
+            x_words = np.ascontiguousarray(_folded(x, least).T)
+            y_words = np.ascontiguousarray(_folded(y, least).T)
+            step = max(1, PAIRS_OF_MEMBERS // len(other))
+            for at in range(0, len(one), step):
+                # A block meets itself: every pair of it once.
+                i, j = one[at:at + step], other[at if p == q and n == m else 0:]
+                apart = _apart(x_words[:, at:at + step], y_words[:, len(other) - len(j):])
+                near = (den + num) * apart <= (den - num) * (size[i][:, None] + size[j])
+                row, col = np.nonzero(near & (label[i][:, None] != label[j]))
+                i, j = i[row], j[col]
+                able = den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])
+                if able.any():
+                    i, j = rep[i[able]], rep[j[able]]
+                    yield np.stack([np.minimum(i, j), np.maximum(i, j)])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cells in which columns of words x differ from columns of words y."""
+    apart = np.zeros((x.shape[1], y.shape[1]), np.int64)
+    # Three words differ in at most 192 cells, which a byte holds.
+    for at in range(0, len(x), 3):
+        some = np.zeros(apart.shape, np.uint8)
+        for a, b in zip(x[at:at + 3], y[at:at + 3]):
+            some += np.bitwise_count(a[:, None] ^ b)
+        apart += some
+    return apart

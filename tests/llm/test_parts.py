@@ -257,6 +257,47 @@ def test_similar_sets_share_a_signature():
             assert set(sig[doc == 0]) & set(sig[doc == 1]), (len(a), len(b))
 
 
+def test_sketches_are_small_and_rule_out_nothing_similar():
+    rng = np.random.default_rng(5)
+    for size in (3, 64, 65, 500, 1000, 1100):
+        a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        b = np.concatenate([a[:size - size // 10], rng.integers(1, 1 << 62, size // 7 + 1, dtype=np.uint64)])
+        c = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        sketches = jaccard_join._sketches(
+            np.repeat([0, 1, 2], [len(a), len(b), len(c)]), np.concatenate([a, b, c]), 3).to_pylist()
+        assert all(len(s) <= max(16, n / 4) for s, n in zip(sketches, map(len, (a, b, c))))
+        sizes = [len(a), len(b), len(c)]
+        i, j = [0, 0, 1], [1, 2, 2]
+        rows = pa.RecordBatch.from_pydict({
+            "a": i, "b": j, "sa": [sketches[x] for x in i], "sb": [sketches[x] for x in j],
+            "na": [sizes[x] for x in i], "nb": [sizes[x] for x in j]})
+        same = size - size // 10
+        similar = 100 * same >= 70 * (len(a) + len(b) - same)
+        left = [tuple(r.values()) for r in next(jaccard_join._may_be_similar(iter([rows]), 70, 100)).to_pylist()]
+        assert not similar or (0, 1) in left
+        assert size < 64 or left == [(0, 1)]
+
+
+def test_members_meet_within_their_signature():
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.append(base[i:], rng.integers(1, 1 << 62, 7 * i, dtype=np.uint64)) for i in range(8)]
+    sketches = jaccard_join._sketches(
+        np.repeat(range(8), [len(s) for s in sets]), np.concatenate(sets), 8).to_pylist()
+
+    def rows(sig, p, q, members):
+        return [dict(sig=sig, p=p, q=q, block=i % 2 if p != q else p, rep=i, label=i // 2,
+                     n_shingles=len(sets[i]), sketch=sketches[i]) for i in members]
+
+    def pairs(rows):
+        table = pa.Table.from_pylist(rows)
+        out = jaccard_join._compare_blocks(iter(table.to_batches(max_chunksize=3)), 80, 100)
+        return {(r["a"], r["b"]) for b in out for r in b.to_pylist()}
+
+    assert pairs(rows(1, 0, 0, [0, 1, 3]) + rows(2, 0, 0, [4, 2, 5])) == {(0, 3), (1, 3), (2, 4), (2, 5)}
+    assert pairs(rows(1, 0, 1, range(5))) == {(0, 3), (1, 2), (1, 4), (3, 4)}
+
+
 def test_thinned_matches_make_the_same_segments():
     rng = np.random.default_rng(1)
     for _ in range(20):
