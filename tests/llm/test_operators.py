@@ -395,6 +395,33 @@ def test_passages_of_documents_that_are_not_first(spark, monkeypatch):
                                for r in got.get(own, [])), (i, j, own, a, b, got.get(own))
 
 
+def test_runs_of_a_word_do_not_meet_place_by_place(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: ["r%d" % rng.randrange(10 ** 6) for _ in range(n)]
+    texts = {i: word(30) + ["the"] * (25 + i % 7) + word(30) for i in range(40)}
+    for i, n in ((50, 70), (51, 90)):
+        texts[i] = word(20) + ["at"] * n + word(25)
+    # runs too short for a passage, with what makes one of them
+    tail = word(40)
+    for i in (60, 61, 62):
+        texts[i] = word(20) + ["the"] * 22 + (tail if i > 60 else word(40)) + word(15)
+    counted, real = [], chains._parts
+
+    def parts(met, *others):
+        counted.append(met.count())
+        return real(met, *others)
+
+    monkeypatch.setattr(chains, "_parts", parts)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()],
+                               "doc_id long, text string").repartition(3)
+    got = by_id(shared_passages(df))
+    for i, n, j in ((50, 70, 51), (51, 90, 50)):
+        assert [(r["start_word"], r["end_word"], r["other_id"]) for r in got[i]] == [(20, 20 + n, j)]
+    for i in (61, 62):
+        assert any(r["start_word"] <= 20 and r["end_word"] >= 82 for r in got[i])
+    assert counted[1] < 1000
+
+
 PAGES = {
     1: ("http://h.example/a", "<html><body><nav>menu one</nav><article><h1>T&amp;t</h1><p>x  y"
         "</article></body></html>"), 2: (None, None), 3: ("bad\r\nurl", ""),
