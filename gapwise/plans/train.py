@@ -20,6 +20,11 @@ from gapwise.plans.sizing import written
 from gapwise.spec import SEED, TRAIN_END, VALID_END, PanelSpec
 
 
+# Rows a task of the fits has at least: each task of a tree fit holds and sends histograms of all
+# nodes of a pass, however few rows it has.
+ROWS_PER_TASK = 10_000
+
+
 @dataclass
 class Training:
     forecasters: dict[str, Forecaster]
@@ -60,7 +65,7 @@ def train(features: DataFrame, selected: DataFrame, spec: PanelSpec,
     medians = fit_medians(rows.filter(F.col("split") == "train"), names)
     vectors = training_vectors(
         rows, names, medians, spec.target, keep=[*spec.keys, "split", spec.target_of]
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).coalesce(-(-sum(counts.values()) // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     part = {s: vectors.filter(F.col("split") == s) for s in counts}
 
     fitted, extra = {}, {}

@@ -258,6 +258,23 @@ def test_training_course(spark):
     assert told["example"].count() == 5
 
 
+def test_fits_have_tasks_by_rows(spark, monkeypatch):
+    features = feature_table(to_spark(spark, random_panel(5, stations=("a",), hours=400)), SPEC)
+    chosen = spark.createDataFrame([("a",)], "station_id string")
+    tasks, real = [], training.fit_linear
+
+    def fit(train):
+        tasks.append(train.rdd.getNumPartitions())
+        return real(train)
+
+    monkeypatch.setattr(training, "fit_linear", fit)
+    for rows in (10_000, 100):
+        monkeypatch.setattr(training, "ROWS_PER_TASK", rows, raising=False)
+        done = training.train(features.repartition(8), chosen, SPEC, "2020-01-08", "2020-01-12",
+                              (PERSISTENCE, LINEAR))
+        assert tasks.pop() == min(8, -(-sum(done.row_counts.values()) // rows))
+
+
 def test_medians_ignore_later_rows(spark):
     pdf = random_panel(4, stations=("a",), hours=300)
     cut = "2020-01-08"
