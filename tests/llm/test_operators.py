@@ -555,6 +555,16 @@ def test_host_boilerplate_goes(spark):
     assert got[50] == f"{notice}\n\n{body[0]}"
 
 
+def test_menus_of_all_pages_count_as_host_boilerplate(spark):
+    notice = "all prices include tax unless the seller says otherwise on the label"
+    body = [" ".join(f"m{i}x{j}" for j in range(30)) for i in range(5)]
+    rows = [(i, "https://menu.example/p", f"<nav>{notice}</nav><p>{b}</p>") for i, b in enumerate(body)]
+    rows[4] = (4, "https://menu.example/q", f"<div>{notice}</div><p>{body[4]}</p>")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_texts(df).collect()}
+    assert got == dict(enumerate(body))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
